@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import exact_dedup
+from reelgrid.llm import exact_dedup, packing, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (exact_dedup,):
+for _module in (exact_dedup, packing, token_counts):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
