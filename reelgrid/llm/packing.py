@@ -116,7 +116,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", vocab: str | None =
     kind = table.schema[id_col].dataType.simpleString()
     dealt = table.withColumnRenamed(id_col, "id").withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
 
-    def place(key, rows: pa.Table) -> pa.Table:
+    def place(key, rows):
         rows = rows.drop_columns("part").sort_by([(c, "ascending") for c in ("id", "start", "ids_crc32", "doc_tokens")])
         window, offset = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + window)).append_column("offset", pa.array(offset))
