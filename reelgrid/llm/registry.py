@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import exact_dedup, packing, token_counts
+from reelgrid.llm import exact_dedup, line_dedup, packing, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (exact_dedup, packing, token_counts):
+for _module in (exact_dedup, line_dedup, packing, simhash, token_counts):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
