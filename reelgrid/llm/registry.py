@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import exact_dedup, line_dedup, packing, simhash, token_counts
+from reelgrid.llm import exact_dedup, language, line_dedup, packing, simhash, sketches, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (exact_dedup, line_dedup, packing, simhash, token_counts):
+for _module in (exact_dedup, line_dedup, packing, token_counts, simhash, sketches, language):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
