@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import exact_dedup, language, line_dedup, packing, quality, simhash, sketches, token_counts
+from reelgrid.llm import exact_dedup, language, line_dedup, packing, quality, simhash, sketches, token_counts, unigram
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (exact_dedup, line_dedup, packing, token_counts, simhash, sketches, language, quality):
+for _module in (exact_dedup, line_dedup, packing, token_counts, simhash, sketches, language, quality, unigram):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
