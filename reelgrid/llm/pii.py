@@ -33,7 +33,7 @@ SAMPLE_DOCS = 3_000
 SAMPLE_TOKENS = 60_000
 THRESHOLD, ROUNDS = 0.95, 10
 #: Where the weights of equal labels across a skip link are drawn to, before data speak: repeated mentions agree.
-AGREE = 3.0
+AGREE = 4.5
 #: Log potential of a label that an observed token hasn't.
 NEVER = -60.0
 
