@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import BLANKS, small_side, text_or_empty, written
+from reelgrid.llm.common import BLANKS, small_side, text_or_empty, unused, written
 
 
 def normalised(text: Column) -> Column:
@@ -27,9 +27,12 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", hash128=content_hash) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", hash128=content_hash, uid_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row_uid, id_col, keep_id, group_size, kept, text_sha256.
 
+    row_uid is ``uid_col`` if given, a long unique to each row; else it is made
+    here and tells rows of this result apart only.
+
     Texts are equal when their normalised forms are. Of equal texts the row with
     the most code points in its original text stays, then the smallest id.
     ``hash128`` maps a normalised text to its grouping hash. Equal hashes of
@@ -41,10 +44,11 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", hash128=conte
     not read, so their names can't clash. Texts of any length are hashed whole.
     """
     norm = normalised(text_or_empty(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("raw"), norm.alias("norm"))
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    texts = docs.select(uid.alias("row_uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("raw"), norm.alias("norm"))
     digests = written(
         texts.select(
-            F.monotonically_increasing_id().alias("row_uid"),
+            "row_uid",
             "id",
             F.char_length("raw").cast("long").alias("n_chars"),
             hash128(F.col("norm")).alias("h"),
@@ -80,6 +84,14 @@ def _compare_bytes(texts: DataFrame, groups: DataFrame, hash128) -> None:
         raise RuntimeError("different texts share both hashes; give exact_dedup another hash128")
 
 
+def without_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``docs`` with all its columns, one row of each group of equal texts."""
+    uid = unused(docs, "row_uid")
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
+    gone = written(exact_dedup(rows, id_col, text_col, uid_col=uid).where(~F.col("kept")).select(F.col("row_uid").alias(uid)), "copies")
+    return rows.join(small_side(gone, 8), uid, "left_anti").drop(uid)
+
+
 def op1_exact_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).drop("row_uid")

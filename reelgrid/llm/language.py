@@ -154,6 +154,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col="text") -> DataFrame:
+    """``docs`` with all its columns, without rows that have no letter or whose language is ambiguous. With no language learned, all rows stay."""
+    if not model.languages:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            got = held.value.predict(b.column(text_col).to_pylist())
+            yield b.filter(pa.array([not ambiguous for _, _, ambiguous in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, mod: int, rest: int):
     """True where crc32 of the id as text leaves ``rest``; false for null ids."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(False))

@@ -295,6 +295,26 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
+def redacted(docs: DataFrame, model: FieldModel, text_col="text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with all its columns, personal data in the text replaced by ``<KIND>``; null texts stay null.
+
+    ``length_col``, if given, becomes the code points of the new text.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            base = [base_spans(t or "") for t in texts]
+            more = added_spans(held.value, [tokens(t or "", s) for t, s in zip(texts, base, strict=True)])
+            new = [t and redact(t, s + m) for t, s, m in zip(texts, base, more, strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
+
+
 def op7_pii(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = find(docs, learn(docs))
