@@ -61,8 +61,8 @@ def extension(path: Column) -> Column:
 
 
 def with_scheme(url: Column) -> Column:
-    """``https:`` in front of a protocol-less address."""
-    return F.when(url.contains("http"), url).otherwise(F.concat(F.lit("https:"), url))
+    """``http:`` in front of an address without a protocol."""
+    return F.when(url.contains("http"), url).otherwise(F.concat(F.lit("http:"), url))
 
 
 def answer_letter(s: Column) -> Column:

@@ -52,7 +52,7 @@ ROUTES = {"http://m": "mobile", "https://m": "mobile", "http://": "plain", "http
            regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') AS stem,
            regexp_extract(url, '\.([^./]*)$', 1) AS ext,
            lower(regexp_replace(url, '^[^:]*:', '')) AS tail,
-           CASE WHEN contains(url, 'http') THEN url ELSE concat('https:', url) END AS with_scheme,
+           CASE WHEN contains(url, 'http') THEN url ELSE concat('http:', url) END AS with_scheme,
            ends_with(url, 'x') AS ends_x, replace(url, 'example', 'site') AS renamed
     FROM pages
     """,
