@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import joins, neighbours, scalars  # noqa: F401
+from reelgrid.plans import joins, neighbours, scalars, summaries  # noqa: F401
 from reelgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
