@@ -45,8 +45,8 @@ def graph_documents(nodes: DataFrame, edges: DataFrame, key: str = "video_id") -
     def run(pdf):
         import pandas as pd
 
-        rows = pdf.assign(attrs=[sorted((x["key"], x["value"]) for x in at) for at in pdf.attrs])
-        names = {k: sorted({a for at in rows[rows.kind == k].attrs for a, v in at if v is not None}) for k in "ne"}
+        rows = pdf.assign(attrs=[sorted((x["key"], x["value"]) for x in at) for at in pdf["attrs"]])
+        names = {k: sorted({a for at in rows["attrs"][rows["kind"] == k] for a, v in at if v is not None}) for k in "ne"}
         head = [f'<key id="{k}{i}" for="{"node" if k == "n" else "edge"}" attr.name={quoteattr(a)} attr.type="string"/>' for k in "ne" for i, a in enumerate(names[k])]
         body = []
         for r in sorted(rows.to_dict("records"), key=lambda r: (r["kind"] == "e", r["id"], r["dst"] or "")):
