@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,60 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Paths of written tables, one list for each open scope.
+_scopes: list[list] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that are written inside go when the block ends, but for those written with ``outer``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     This cuts the lineage: a lost executor costs the tasks that read the table
-    again, never the work that made it.
+    again, never the work that made it. ``outer`` hands the table to the scope
+    around the innermost one; without a scope it stays in the folder, since a
+    result may be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    _delete(df.sparkSession, df.written_path)
+
+
+def keyed_rows(docs: DataFrame, id_col: str, uid: str) -> DataFrame:
+    """``docs`` with a long ``uid`` unique to each row, the same at every reading.
+
+    Unique integer ids serve as they are. Only if an id is null or repeats is
+    the table written once more, with a number for each row.
+    """
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        n = docs.groupBy(F.col(id_col).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+        if not n.where("n > 1 OR i IS NULL").limit(1).count():
+            return docs.withColumn(uid, F.col(id_col).cast("long"))
+    return written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents", outer=True)
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:

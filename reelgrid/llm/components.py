@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import small_side, written
+from reelgrid.llm.common import discard, scratch, small_side, written
 
 
 def components(links: DataFrame, u="u", v="v") -> DataFrame:
@@ -23,8 +23,12 @@ def components(links: DataFrame, u="u", v="v") -> DataFrame:
     edges = written(links.select(lower.alias("a"), upper.alias("b")).where("a < b").distinct(), "links")
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_small_star(_large_star(edges)), "links")
-        if (now := _mark(edges)) == mark:
+        before = edges
+        with scratch():
+            edges = written(_small_star(_large_star(edges)), "links", outer=True)
+        now = _mark(edges)
+        discard(before)
+        if now == mark:
             break
         mark = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())

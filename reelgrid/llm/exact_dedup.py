@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import BLANKS, small_side, text_or_empty, unused, written
+from reelgrid.llm.common import BLANKS, keyed_rows, scratch, small_side, text_or_empty, unused, written
 
 
 def normalised(text: Column) -> Column:
@@ -87,8 +87,9 @@ def _compare_bytes(texts: DataFrame, groups: DataFrame, hash128) -> None:
 def without_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with all its columns, one row of each group of equal texts."""
     uid = unused(docs, "row_uid")
-    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
-    gone = written(exact_dedup(rows, id_col, text_col, uid_col=uid).where(~F.col("kept")).select(F.col("row_uid").alias(uid)), "copies")
+    with scratch():
+        rows = keyed_rows(docs, id_col, uid)
+        gone = written(exact_dedup(rows, id_col, text_col, uid_col=uid).where(~F.col("kept")).select(F.col("row_uid").alias(uid)), "copies", outer=True)
     return rows.join(small_side(gone, 8), uid, "left_anti").drop(uid)
 
 

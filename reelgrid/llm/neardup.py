@@ -1,19 +1,19 @@
 """Near duplicates by similarity of word shingles: SimHash candidates from multi-index hashing, then an exact check.
 
-A row's fingerprint has 64 bits for the distance test and some segments for the
-index. The width of a segment grows with the logarithm of the number of rows,
-so that chance matches of a row stay few, and the number of segments follows
-from the recall that is asked for at the similarity threshold. Each segment
-fetches its Hamming ball of radius one; a pair is fetched from the side that
-lacks the differing bit. Fetched pairs are verified on the 64 bits inside the
-join, and the rest by the Jaccard similarity of their whole shingle sets.
-
-Rows with one 64-bit fingerprint are one node. A key held by more than
-``CROWDED`` nodes gives no pairs at first: its nodes are compared with its
-least node only. When components are known, keys whose nodes ended in several
-components are taken up again, and pairs across components are compared. So a
-large group of copies costs a star, not its square, and no link between
-components is lost.
+A row's fingerprint has 64 bits that name its node, and 960 more for the
+distance test, whose first bits are also the segments of the index. The width of a segment follows the
+logarithm of the number of rows, so that chance matches of a row stay as many
+at any size, and the number of segments follows from the recall that is asked
+for at the similarity threshold. Each segment fetches its Hamming ball of
+radius one; a pair is fetched from the side that lacks the differing bit.
+Fetched pairs are verified on the bits, the first 128 of them inside the join,
+and what passes by the Jaccard similarity of the whole shingle sets.
+
+A key held by more than ``CROWDED`` nodes gives no pairs at first. In a few
+rounds its nodes are compared with one leader, another each round, and linked
+nodes fall into components. Then pairs of nodes in different components are
+compared, so a large group of copies costs some stars and not its square, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import small_side, text_or_empty, unused, written
+from reelgrid.llm.common import keyed_rows, scratch, small_side, text_or_empty, unused, written
 from reelgrid.llm.components import components
 from reelgrid.llm.line_dedup import mixed
 from reelgrid.llm.simhash import BITS, PLACES
 from reelgrid.llm.sketches import shingles
 
-WIDTH, SIMILARITY, RECALL, CROWDED = 5, 0.8, 0.99, 64
+WIDTH, SIMILARITY, RECALL, CROWDED, ROUNDS = 5, 0.8, 0.99, 6, 3
+#: The words of the distance test beside the first.
+CHECKS = [f"c{i}" for i in range(15)]
 
 
 def bit_odds(similarity: float) -> float:
@@ -39,13 +41,24 @@ def bit_odds(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
-    """(bits of a segment, segments, greatest distance on 64 bits) for so many rows."""
+def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a segment, segments) for so many rows."""
     p = bit_odds(similarity)
-    width = min(32, max(20, math.ceil(math.log2(max(2, rows))) + 2))
+    width = min(32, max(16, math.ceil(math.log2(max(2, rows))) - 1))
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    return width, segments, math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p)))
+    return width, segments
+
+
+def greatest_distance(bits: int, similarity: float = SIMILARITY) -> int:
+    """So many of ``bits`` differ at most, but for one pair of the similarity in a hundred."""
+    p = bit_odds(similarity)
+    return math.ceil(bits * p + 2.4 * math.sqrt(bits * p * (1 - p)))
+
+
+def apart(u: str, v: str):
+    """Differing bits of the words of the distance test, of columns that start with ``u`` and ``v``."""
+    return sum((F.bit_count(F.col(f"{u}_{c}").bitwiseXOR(F.col(f"{v}_{c}"))) for c in CHECKS), F.lit(0))
 
 
 def wide_fingerprint(text: str, words: int, width: int = WIDTH) -> bytes:
@@ -70,72 +83,86 @@ def segment_keys(raw: np.ndarray, width: int, segments: int) -> np.ndarray:
 
 
 def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int) -> DataFrame:
-    words = 1 + -(-width * segments // 64)
+    words = max(1 + len(CHECKS), 1 + -(-width * segments // 64))
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             raw = np.frombuffer(b"".join([wide_fingerprint(t, words, shingle) for t in texts]), np.uint8).reshape(len(texts), 8 * words)
-            fp = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64).view(np.int64)
+            longs = raw.view(">u8").astype(np.uint64).view(np.int64)
             keys = pa.array(list(segment_keys(raw, width, segments)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(fp), keys], ["uid", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), keys], ["uid", "fp", *CHECKS, "keys"])
 
-    return rows.mapInArrow(run, "uid long, fp long, keys array<bigint>")
+    return rows.mapInArrow(run, f"uid long, fp long, {', '.join(f'{c} long' for c in CHECKS)}, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity, compared whole."""
-    pairs = written(pairs.distinct(), "pairs")
-    used = written(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(nodes.select("fp", "uid"), "fp"), "used")
+    """The pairs whose bits are near and whose shingle sets, compared whole, reach the similarity."""
+    with scratch():
+        side = lambda name: nodes.select(F.col("fp").alias(name), F.col("uid").alias(f"{name}_uid"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
+        near = apart("u", "v") <= greatest_distance(64 * len(CHECKS), similarity)
+        pairs = written(pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v", "u_uid", "v_uid"), "pairs")
+        used = written(pairs.select(F.col("u_uid").alias("uid")).union(pairs.select("v_uid")).distinct(), "used")
 
-    def run(batches):
-        for b in batches:
-            sets = pa.array([shingles(t, shingle).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("fp"), sets], ["fp", "s"])
+        def run(batches):
+            for b in batches:
+                sets = pa.array([shingles(t, shingle).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("uid"), sets], ["uid", "s"])
 
-    texts = rows.join(small_side(used, 24), "uid").select("fp", "text")
-    sets = written(texts.mapInArrow(run, "fp long, s array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = common >= similarity * (F.size("a") + F.size("b") - common)
-    return written(both.where(alike).select("u", "v"), "links")
+        sets = written(rows.join(small_side(used, 8), "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, s array<bigint>"), "sets")
+        both = pairs.join(sets.select(F.col("uid").alias("u_uid"), F.col("s").alias("a")), "u_uid").join(sets.select(F.col("uid").alias("v_uid"), F.col("s").alias("b")), "v_uid")
+        common = F.size(F.array_intersect("a", "b"))
+        alike = common >= similarity * (F.size("a") + F.size("b") - common)
+        return written(both.where(alike).select("u", "v"), "links", outer=True)
 
 
 def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED) -> DataFrame:
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
-    width, segments, far = layout(rows.count(), similarity, recall)
+    width, segments = layout(rows.count(), similarity, recall)
     fps = written(_fingerprints(rows, width, segments, shingle), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("uid").alias("uid"))
     nodes = written(fps.join(least, ["fp", "uid"], "left_semi"), "nodes")
-    table = nodes.select(F.col("fp").alias("v"), F.explode("keys").alias("held"))
+    table = nodes.select(F.col("fp").alias("v"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     lacking = lambda k: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: k.bitwiseAND(one(i)) == 0)
-    ball = F.transform("keys", lambda k: F.concat(F.array(F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform(lacking(k), lambda i: F.struct(k.bitwiseOR(one(i)).alias("key"), F.lit(False).alias("own")))))
-    probes = nodes.select(F.col("fp").alias("u"), F.explode(F.flatten(ball)).alias("p")).select("u", "p.key", "p.own")
-    near = (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= far) & (F.col("u") != F.col("v")) & (~F.col("own") | (F.col("u") < F.col("v")))
-    sizes = written(table.groupBy("held").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where(F.col("n") > crowded), "crowded")
-    hot = small_side(sizes.select("held"), 8)
+    own = F.transform("keys", lambda k: k.bitwiseOR(F.lit(1 << 62)))
+    flips = F.flatten(F.transform("keys", lambda k: F.transform(lacking(k), lambda i: k.bitwiseOR(one(i)))))
+    # Bit 62 marks a node's own keys.
+    probes = nodes.select(F.col("fp").alias("u"), F.col("c0").alias("u_c0"), F.explode(F.concat(own, flips)).alias("k"))
+    key, is_own = F.col("k").bitwiseAND(F.lit((1 << 62) - 1)), F.col("k") >= 1 << 62
+    first, second = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in (("u", "v"), ("u_c0", "v_c0")))
+    close = (first <= greatest_distance(64, similarity)) & (first + second <= greatest_distance(128, similarity))
+    near = close & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
+    sizes = written(table.groupBy("held").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("held"), "crowded")
+    hot = small_side(sizes, 8)
     full = sizes.limit(1).count() > 0
     calm = table.join(hot, "held", "left_anti") if full else table
-    pairs = probes.join(calm, (F.col("key") == F.col("held")) & near).select("u", "v")
-    if not full:
-        return _rooted(fps, _verified(pairs, nodes, rows, similarity, shingle))
-    asking = written(probes.join(hot.withColumnRenamed("held", "key"), "key", "left_semi"), "asking")
-    stars = asking.join(small_side(sizes.select(F.col("held").alias("key"), F.col("leader").alias("v")), 16), "key").where((F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= far) & (F.col("u") != F.col("v")))
-    links = _verified(pairs.union(stars.select("u", "v")), nodes, rows, similarity, shingle)
+    pairs = probes.join(calm, (key == F.col("held")) & near).select("u", "v")
+    links = _verified(pairs, nodes, rows, similarity, shingle)
     roots = written(components(links), "roots")
-    rooted = asking.join(small_side(roots.withColumnRenamed("node", "u"), 16), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    rooted = written(rooted, "rooted")
-    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_rows = written(rooted.join(small_side(written(mixed_keys, "mixed"), 8), "key", "left_semi"), "open")
-    holders = open_rows.where("own").select(F.col("key").alias("held"), F.col("u").alias("v"), F.col("root").alias("other"))
-    across = open_rows.join(holders, (F.col("key") == F.col("held")) & (F.col("root") != F.col("other")) & near).select("u", "v")
-    return _rooted(fps, links.union(_verified(across, nodes, rows, similarity, shingle)))
+    if full:
+        bits = lambda name: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS[1:]])
+        alike = close & (apart("u", "v") <= greatest_distance(64 * len(CHECKS), similarity))
+        held = written(table.join(hot, "held", "left_semi").join(bits("v"), "v"), "held")
+        asking = written(probes.withColumn("key", key).join(hot.withColumnRenamed("held", "key"), "key", "left_semi").join(bits("u"), "u"), "asking")
+        for turn in range(ROUNDS):
+            leaders = held.groupBy("held").agg(F.min_by(F.struct(F.col("v").alias("u"), *[F.col(f"v_{c}").alias(f"u_{c}") for c in CHECKS]), F.xxhash64("v", F.lit(turn))).alias("_l")).select("held", "_l.*")
+            stars = _rooted(held, "v", roots).join(_rooted(leaders, "u", roots, "other"), "held").where(alike & (F.col("root") != F.col("other"))).select("u", "v")
+            roots = _merged(roots, _verified(stars, nodes, rows, similarity, shingle))
+        across = _rooted(asking, "u", roots).join(_rooted(held, "v", roots, "other"), (F.col("key") == F.col("held")) & (F.col("root") != F.col("other")) & near & alike).select("u", "v")
+        roots = _merged(roots, _verified(across, nodes, rows, similarity, shingle))
+    return _rooted(fps.select("uid", "fp"), "fp", roots).select("uid", "root")
 
 
-def _rooted(fps: DataFrame, links: DataFrame) -> DataFrame:
-    roots = written(components(links), "roots")
-    return fps.select("uid", "fp").join(small_side(roots.withColumnRenamed("node", "fp"), 16), "fp", "left").select("uid", F.coalesce("root", "fp").alias("root"))
+def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str = "root") -> DataFrame:
+    """``df`` with the root of its node, which is the node itself where nothing links it."""
+    known = roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    return df.join(small_side(known, 16), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: the components of a star for each known component, and the links."""
+    return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
 
 
 def without_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, shingle: int = WIDTH) -> DataFrame:
@@ -147,12 +174,13 @@ def without_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", simil
     that repeat an id one stays. An empty table gives an empty result.
     """
     uid = unused(docs, "row_uid")
-    kept = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
-    rows = kept.select(F.col(uid).alias("uid"), text_or_empty(text_col).alias("text"))
-    groups = written(near_groups(rows, similarity, shingle), "groups")
-    several = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "several")
-    members = groups.join(small_side(several, 8), "root", "left_semi").join(kept.select(F.col(uid).alias("uid"), F.col(id_col).alias("id")), "uid")
-    members = written(members, "members")
-    best = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")).select("root", F.col("best.uid").alias("best"))
-    gone = written(members.join(small_side(written(best, "best"), 16), "root").where("uid <> best").select(F.col("uid").alias(uid)), "gone")
+    with scratch():
+        kept = keyed_rows(docs, id_col, uid)
+        rows = kept.select(F.col(uid).alias("uid"), text_or_empty(text_col).alias("text"))
+        groups = written(near_groups(rows, similarity, shingle), "groups")
+        several = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "several")
+        members = groups.join(small_side(several, 8), "root", "left_semi").join(kept.select(F.col(uid).alias("uid"), F.col(id_col).alias("id")), "uid")
+        members = written(members, "members")
+        best = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")).select("root", F.col("best.uid").alias("best"))
+        gone = written(members.join(small_side(written(best, "best"), 16), "root").where("uid <> best").select(F.col("uid").alias(uid)), "gone", outer=True)
     return kept.join(small_side(gone, 8), uid, "left_anti").drop(uid)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import small_side, text_or_empty, written
+from reelgrid.llm.common import scratch, small_side, text_or_empty, written
 from reelgrid.llm.components import components
 
 #: Distinct fingerprints with one half in common, above which balls are looked up whole.
@@ -107,13 +107,14 @@ def near_components(docs: DataFrame, id_col="doc_id", text_col="text", width: in
     share a component. An empty table gives an empty result; other columns are
     not read.
     """
-    fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
-    roots = components(near_links(nodes), "u", "v")
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = written(placed.select("fp", "root", "least_id"), "placed")
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = written(placed.join(least, "root").select("fp", "component_id"), "named")
+    with scratch():
+        fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints", outer=True)
+        nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
+        roots = components(near_links(nodes), "u", "v")
+        placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        placed = written(placed.select("fp", "root", "least_id"), "placed")
+        least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        named = written(placed.join(least, "root").select("fp", "component_id"), "named", outer=True)
     return fps.join(small_side(named, 24), "fp").select(
         F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
