@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm import exact_dedup, language, neardup, packing, pii
-from reelgrid.llm.common import written
+from reelgrid.llm.common import small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification by output codes; documents without a letter or with an ambiguous language go."""
+    small_batches(spark)
     return language.keep_identified(docs, language.learn(docs))
 
 
@@ -24,16 +25,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup over shingles of five words, similarity 0.8 or more; the smallest id of each group stays."""
+    small_batches(spark)
     return neardup.without_near_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data by skip-chain field; what is found is replaced by its kind, and n_chars follows the new text."""
+    small_batches(spark)
     return pii.redacted(docs, pii.learn(docs), length_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 1024 tokens, a row for each piece."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

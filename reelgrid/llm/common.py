@@ -95,6 +95,11 @@ def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(df) if fits else df
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand workers so many rows at once, that a batch of long texts stays small beside a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 
