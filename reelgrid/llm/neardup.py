@@ -6,8 +6,11 @@ logarithm of the number of rows, so that chance matches of a row stay as many
 at any size, and the number of segments follows from the recall that is asked
 for at the similarity threshold. Each segment fetches its Hamming ball of
 radius one; a pair is fetched from the side that lacks the differing bit.
-Fetched pairs are verified on the bits, the first 128 of them inside the join,
-and what passes by the Jaccard similarity of the whole shingle sets.
+Sets of ``SHORT`` shingles at most, whose bits differ by other odds, also have
+keys of their own: so many of their least shingles that two similar sets share
+one. Fetched pairs are verified on the bits, the first 128 of them inside the
+join, within limits that lose about ``LOSS`` of the pairs at the threshold, and
+what passes by the Jaccard similarity of the whole shingle sets.
 
 A key held by more than ``CROWDED`` nodes gives no pairs at first. In a few
 rounds its nodes are compared with one leader, another each round, and linked
@@ -19,6 +22,7 @@ no link between components is lost.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,28 @@ from reelgrid.llm.sketches import shingles
 WIDTH, SIMILARITY, RECALL, CROWDED, ROUNDS = 5, 0.8, 0.99, 6, 1
 #: The words of the distance test beside the first.
 CHECKS = [f"c{i}" for i in range(15)]
+#: Sets of so many shingles at most also meet by their least shingles.
+SHORT = 36
+#: Share of the pairs at the threshold that one test of the bits may lose.
+LOSS = 1e-5
+#: Keys from here on are shingles, keys below are segments.
+SHINGLE = 1 << 61
 
 
-def bit_odds(similarity: float) -> float:
-    """Chance that a fingerprint bit differs between sets of equal size with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def exact_odds(a: int, b: int, c: int) -> float:
+    """Chance that a bit differs between sets with ``c`` shingles in common and ``a`` and ``b`` of their own."""
+    coins = lambda n: np.array([math.comb(n, i) for i in range(n + 1)]) / 2.0**n
+    above = lambda n: np.array([coins(n)[2 * (x + np.arange(n + 1)) > c + n].sum() for x in range(c + 1)])
+    u, v = above(a), above(b)
+    return float((coins(c) * (u * (1 - v) + v * (1 - u))).sum())
+
+
+@lru_cache(maxsize=64)
+def bit_odds(similarity: float, short: bool = False) -> float:
+    """Greatest chance that a bit differs between sets of at least this Jaccard similarity; ``short``: of ``SHORT`` at most."""
+    unions = range(2, SHORT + 1) if short else range(SHORT + 1, SHORT + 41)
+    exact = [exact_odds(a, d - a, n - d) for n in unions for d in [int((1 - similarity) * n + 1e-9)] for a in range((d + 1) // 2, d + 1)]
+    return max(exact) if short else max(*exact, math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -50,10 +71,19 @@ def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) ->
     return width, segments
 
 
-def greatest_distance(bits: int, similarity: float = SIMILARITY) -> int:
-    """So many of ``bits`` differ at most, but for one pair of the similarity in a hundred."""
-    p = bit_odds(similarity)
-    return math.ceil(bits * p + 2.4 * math.sqrt(bits * p * (1 - p)))
+@lru_cache(maxsize=64)
+def greatest_distance(bits: int, similarity: float = SIMILARITY, short: bool = False) -> int:
+    """So many of ``bits`` differ at most, but for ``LOSS`` of the pairs of the similarity."""
+    p, d, over = bit_odds(similarity, short), -1, 1.0
+    while over > LOSS:
+        d += 1
+        over -= math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+    return d
+
+
+def _limit(bits: int, similarity: float, short):
+    """The greatest distance, where the column ``short`` tells pairs of short sets."""
+    return F.when(short, greatest_distance(bits, similarity, True)).otherwise(greatest_distance(bits, similarity))
 
 
 def apart(u: str, v: str):
@@ -61,9 +91,8 @@ def apart(u: str, v: str):
     return sum((F.bit_count(F.col(f"{u}_{c}").bitwiseXOR(F.col(f"{v}_{c}"))) for c in CHECKS), F.lit(0))
 
 
-def wide_fingerprint(text: str, words: int, width: int = WIDTH) -> bytes:
+def wide_fingerprint(own: np.ndarray, words: int) -> bytes:
     """``words`` times 64 bits over the set of shingles; zeros where a text has none."""
-    own = shingles(text, width)
     n = len(own)
     if not n:
         return bytes(8 * words)
@@ -82,25 +111,34 @@ def segment_keys(raw: np.ndarray, width: int, segments: int) -> np.ndarray:
     return values + (np.arange(segments, dtype=np.int64) << 32)
 
 
-def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int) -> DataFrame:
+def shingle_keys(own: np.ndarray, similarity: float) -> list[int]:
+    """Keys of which two short sets share one at least, if they reach the similarity; long sets have none."""
+    n = len(own)
+    held = n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= SHORT else 0
+    return [SHINGLE | x & SHINGLE - 1 for x in own[:held].tolist()]
+
+
+def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int, similarity: float) -> DataFrame:
     words = max(1 + len(CHECKS), 1 + -(-width * segments // 64))
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            raw = np.frombuffer(b"".join([wide_fingerprint(t, words, shingle) for t in texts]), np.uint8).reshape(len(texts), 8 * words)
+            sets = [shingles(t, shingle) for t in texts]
+            raw = np.frombuffer(b"".join([wide_fingerprint(s, words) for s in sets]), np.uint8).reshape(len(texts), 8 * words)
             longs = raw.view(">u8").astype(np.uint64).view(np.int64)
-            keys = pa.array(list(segment_keys(raw, width, segments)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), keys], ["uid", "fp", *CHECKS, "keys"])
+            keys = pa.array([[*k, *shingle_keys(s, similarity)] for k, s in zip(segment_keys(raw, width, segments).tolist(), sets, strict=True)], pa.list_(pa.int64()))
+            short = pa.array([len(s) <= SHORT for s in sets])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), short, keys], ["uid", "fp", *CHECKS, "short", "keys"])
 
-    return rows.mapInArrow(run, f"uid long, fp long, {', '.join(f'{c} long' for c in CHECKS)}, keys array<bigint>")
+    return rows.mapInArrow(run, f"uid long, fp long, {', '.join(f'{c} long' for c in CHECKS)}, short boolean, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs whose bits are near and whose shingle sets, compared whole, reach the similarity."""
     with scratch():
-        side = lambda name: nodes.select(F.col("fp").alias(name), F.col("uid").alias(f"{name}_uid"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
-        near = apart("u", "v") <= greatest_distance(64 * len(CHECKS), similarity)
+        side = lambda name: nodes.select(F.col("fp").alias(name), F.col("uid").alias(f"{name}_uid"), F.col("short").alias(f"{name}_short"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
+        near = apart("u", "v") <= _limit(64 * len(CHECKS), similarity, F.col("u_short") & F.col("v_short"))
         pairs = written(pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v", "u_uid", "v_uid"), "pairs")
         used = written(pairs.select(F.col("u_uid").alias("uid")).union(pairs.select("v_uid")).distinct(), "used")
 
@@ -119,19 +157,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
 def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED) -> DataFrame:
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
     width, segments = layout(rows.count(), similarity, recall)
-    fps = written(_fingerprints(rows, width, segments, shingle), "fingerprints")
+    fps = written(_fingerprints(rows, width, segments, shingle, similarity), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("uid").alias("uid"))
     nodes = written(fps.join(least, ["fp", "uid"], "left_semi"), "nodes")
     table = nodes.select(F.col("fp").alias("v"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     lacking = lambda k: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: k.bitwiseAND(one(i)) == 0)
     own = F.transform("keys", lambda k: k.bitwiseOR(F.lit(1 << 62)))
-    flips = F.flatten(F.transform("keys", lambda k: F.transform(lacking(k), lambda i: k.bitwiseOR(one(i)))))
+    flips = F.flatten(F.transform(F.filter("keys", lambda k: k < SHINGLE), lambda k: F.transform(lacking(k), lambda i: k.bitwiseOR(one(i)))))
     # Bit 62 marks a node's own keys.
     probes = nodes.select(F.col("fp").alias("u"), F.col("c0").alias("u_c0"), F.explode(F.concat(own, flips)).alias("k"))
     key, is_own = F.col("k").bitwiseAND(F.lit((1 << 62) - 1)), F.col("k") >= 1 << 62
     first, second = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in (("u", "v"), ("u_c0", "v_c0")))
-    close = (first <= greatest_distance(64, similarity)) & (first + second <= greatest_distance(128, similarity))
+    by_shingle = F.col("held") >= SHINGLE
+    close = (first <= _limit(64, similarity, by_shingle)) & (first + second <= _limit(128, similarity, by_shingle))
     near = close & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
     sizes = written(table.groupBy("held").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("held"), "crowded")
     hot = small_side(sizes, 8)
@@ -142,7 +181,7 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     roots = written(components(links), "roots")
     if full:
         bits = lambda name: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS[1:]])
-        alike = close & (apart("u", "v") <= greatest_distance(64 * len(CHECKS), similarity))
+        alike = close & (apart("u", "v") <= _limit(64 * len(CHECKS), similarity, by_shingle))
         held = written(table.join(hot, "held", "left_semi").join(bits("v"), "v"), "held")
         asking = written(probes.withColumn("key", key).join(hot.withColumnRenamed("held", "key"), "key", "left_semi").join(bits("u"), "u"), "asking")
         for turn in range(ROUNDS):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -172,6 +173,27 @@ def test_near_groups_against_brute_force(spark, crowded):
         assert len({want[u] for u in group}) == 1
 
 
+def test_bit_tests_keep_pairs_at_the_threshold():
+    assert neardup.exact_odds(1, 0, 4) == 0.1875
+    for short, sizes in ((True, (1, 0, 4)), (False, (5, 4, 36)), (False, (100, 100, 800))):
+        p = neardup.exact_odds(*sizes)
+        for bits in (64, 128, 960):
+            most = neardup.greatest_distance(bits, 0.8, short)
+            assert 1 - sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(most + 1)) < 1e-4
+
+
+def test_short_texts_with_a_word_added_are_found(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(400):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    out = {r.uid: r.root for r in neardup.near_groups(df).collect()}
+    found = sum(out[i] == out[i + 1] for i in range(0, len(texts), 2))
+    assert found == 400 and len(set(out.values())) == 400
+
+
 def test_near_copies_keep_one(spark):
     kept = neardup.without_near_copies(awkward(spark))
     assert kept.columns == awkward(spark).columns
