@@ -1,7 +1,9 @@
 """Near duplicates by similarity of word shingles: SimHash candidates from multi-index hashing, then an exact check.
 
-A row's fingerprint has 64 bits that name its node, and 960 more for the
-distance test, whose first bits are also the segments of the index. The width of a segment follows the
+A node is a distinct set of shingles, named by the least uid of its rows; a
+128-bit hash of the whole set tells sets apart. Its fingerprint has 1024 bits,
+and the last 960, whose first bits are also the segments of the index, are the
+main distance test. Nodes of equal fingerprints are compared like others. The width of a segment follows the
 logarithm of the number of rows, so that chance matches of a row stay as many
 at any size, and the number of segments follows from the recall that is asked
 for at the similarity threshold. Each segment fetches its Hamming ball of
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -129,18 +132,19 @@ def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int, simi
             longs = raw.view(">u8").astype(np.uint64).view(np.int64)
             keys = pa.array([[*k, *shingle_keys(s, similarity)] for k, s in zip(segment_keys(raw, width, segments).tolist(), sets, strict=True)], pa.list_(pa.int64()))
             short = pa.array([len(s) <= SHORT for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column("uid"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), short, keys], ["uid", "fp", *CHECKS, "short", "keys"])
+            names = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("uid"), names, *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), short, keys], ["uid", "set", "fp", *CHECKS, "short", "keys"])
 
-    return rows.mapInArrow(run, f"uid long, fp long, {', '.join(f'{c} long' for c in CHECKS)}, short boolean, keys array<bigint>")
+    return rows.mapInArrow(run, f"uid long, set binary, fp long, {', '.join(f'{c} long' for c in CHECKS)}, short boolean, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs whose bits are near and whose shingle sets, compared whole, reach the similarity."""
     with scratch():
-        side = lambda name: nodes.select(F.col("fp").alias(name), F.col("uid").alias(f"{name}_uid"), F.col("short").alias(f"{name}_short"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
+        side = lambda name: nodes.select(F.col("uid").alias(name), F.col("short").alias(f"{name}_short"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
         near = apart("u", "v") <= _limit(64 * len(CHECKS), similarity, F.col("u_short") & F.col("v_short"))
-        pairs = written(pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v", "u_uid", "v_uid"), "pairs")
-        used = written(pairs.select(F.col("u_uid").alias("uid")).union(pairs.select("v_uid")).distinct(), "used")
+        pairs = written(pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "pairs")
+        used = written(pairs.select(F.col("u").alias("uid")).union(pairs.select("v")).distinct(), "used")
 
         def run(batches):
             for b in batches:
@@ -148,7 +152,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
                 yield pa.RecordBatch.from_arrays([b.column("uid"), sets], ["uid", "s"])
 
         sets = written(rows.join(small_side(used, 8), "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, s array<bigint>"), "sets")
-        both = pairs.join(sets.select(F.col("uid").alias("u_uid"), F.col("s").alias("a")), "u_uid").join(sets.select(F.col("uid").alias("v_uid"), F.col("s").alias("b")), "v_uid")
+        both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))
         alike = common >= similarity * (F.size("a") + F.size("b") - common)
         return written(both.where(alike).select("u", "v"), "links", outer=True)
@@ -158,17 +162,19 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
     width, segments = layout(rows.count(), similarity, recall)
     fps = written(_fingerprints(rows, width, segments, shingle, similarity), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("uid").alias("uid"))
-    nodes = written(fps.join(least, ["fp", "uid"], "left_semi"), "nodes")
-    table = nodes.select(F.col("fp").alias("v"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
+    least = fps.groupBy("set").agg(F.min("uid").alias("node"))
+    named = written(fps.select("uid", "set").join(least, "set").select("uid", "node"), "named")
+    twins = named.where("uid <> node").select("uid")
+    nodes = written(fps.join(small_side(twins, 8), "uid", "left_anti").drop("set"), "nodes")
+    table = nodes.select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     lacking = lambda k: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: k.bitwiseAND(one(i)) == 0)
     own = F.transform("keys", lambda k: k.bitwiseOR(F.lit(1 << 62)))
     flips = F.flatten(F.transform(F.filter("keys", lambda k: k < SHINGLE), lambda k: F.transform(lacking(k), lambda i: k.bitwiseOR(one(i)))))
     # Bit 62 marks a node's own keys.
-    probes = nodes.select(F.col("fp").alias("u"), F.col("c0").alias("u_c0"), F.explode(F.concat(own, flips)).alias("k"))
+    probes = nodes.select(F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.explode(F.concat(own, flips)).alias("k"))
     key, is_own = F.col("k").bitwiseAND(F.lit((1 << 62) - 1)), F.col("k") >= 1 << 62
-    first, second = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in (("u", "v"), ("u_c0", "v_c0")))
+    first, second = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in (("u_fp", "v_fp"), ("u_c0", "v_c0")))
     by_shingle = F.col("held") >= SHINGLE
     close = (first <= _limit(64, similarity, by_shingle)) & (first + second <= _limit(128, similarity, by_shingle))
     near = close & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
@@ -180,17 +186,17 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     links = _verified(pairs, nodes, rows, similarity, shingle)
     roots = written(components(links), "roots")
     if full:
-        bits = lambda name: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS[1:]])
+        bits = lambda name: nodes.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS[1:]])
         alike = close & (apart("u", "v") <= _limit(64 * len(CHECKS), similarity, by_shingle))
         held = written(table.join(hot, "held", "left_semi").join(bits("v"), "v"), "held")
         asking = written(probes.withColumn("key", key).join(hot.withColumnRenamed("held", "key"), "key", "left_semi").join(bits("u"), "u"), "asking")
         for turn in range(ROUNDS):
-            leaders = held.groupBy("held").agg(F.min_by(F.struct(F.col("v").alias("u"), *[F.col(f"v_{c}").alias(f"u_{c}") for c in CHECKS]), F.xxhash64("v", F.lit(turn))).alias("_l")).select("held", "_l.*")
+            leaders = held.groupBy("held").agg(F.min_by(F.struct(F.col("v").alias("u"), *[F.col(f"v_{c}").alias(f"u_{c}") for c in ("fp", *CHECKS)]), F.xxhash64("v", F.lit(turn))).alias("_l")).select("held", "_l.*")
             stars = _rooted(held, "v", roots).join(_rooted(leaders, "u", roots, "other"), "held").where(alike & (F.col("root") != F.col("other"))).select("u", "v")
             roots = _merged(roots, _verified(stars, nodes, rows, similarity, shingle))
         across = _rooted(asking, "u", roots).join(_rooted(held, "v", roots, "other"), (F.col("key") == F.col("held")) & (F.col("root") != F.col("other")) & near & alike).select("u", "v")
         roots = _merged(roots, _verified(across, nodes, rows, similarity, shingle))
-    return _rooted(fps.select("uid", "fp"), "fp", roots).select("uid", "root")
+    return _rooted(named, "node", roots).select("uid", "root")
 
 
 def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str = "root") -> DataFrame:

@@ -194,6 +194,17 @@ def test_short_texts_with_a_word_added_are_found(spark):
     assert found == 400 and len(set(out.values())) == 400
 
 
+def test_equal_fingerprints_are_not_equal_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(12)]
+    texts += [t + " end" for t in texts] + texts[:2]
+    real = neardup.wide_fingerprint
+    monkeypatch.setattr(neardup, "wide_fingerprint", lambda *a: bytes(8) + real(*a)[8:])
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    out = {r.uid: r.root for r in neardup.near_groups(df).collect()}
+    assert all(out[i] == i and out[i + 12] == i for i in range(12)) and out[24] == 0 and out[25] == 1
+
+
 def test_near_copies_keep_one(spark):
     kept = neardup.without_near_copies(awkward(spark))
     assert kept.columns == awkward(spark).columns
