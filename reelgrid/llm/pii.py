@@ -31,7 +31,12 @@ LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 3_000
 #: Tokens learned from, at most.
 SAMPLE_TOKENS = 60_000
+#: Texts whose messages have settled are set aside every so many ROUNDS.
 THRESHOLD, ROUNDS = 0.95, 10
+#: Messages have settled when none changes by more in a round.
+TOLERANCE = 1e-8
+#: After so many rounds the step is halved, and again: messages that swing for ever settle too.
+CALM = 1_000
 #: Where the weights of equal labels across a skip link are drawn to, before data speak: repeated mentions agree.
 AGREE = 4.5
 #: Log potential of a label that an observed token hasn't.
@@ -183,9 +188,14 @@ def fit(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, y: np.ndarray, steps
     return FieldModel(node, (c + c.T) / 2, (s + s.T) / 2)
 
 
-def marginals(model: FieldModel, potentials: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Label marginals of each node by loopy sum-product; links are rows (i, j)."""
+def marginals(model: FieldModel, potentials: np.ndarray, chain: np.ndarray, skip: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+    """Label marginals of each node by loopy sum-product until the messages settle; links are rows (i, j).
+
+    ``owner`` numbers the text of each node: links stay inside a text, and each text settles by itself.
+    """
     n, k = potentials.shape
+    owner = np.zeros(n, np.int64) if owner is None else owner
+    names, text = np.unique(owner, return_inverse=True)
     links = np.concatenate([chain.reshape(-1, 2), skip.reshape(-1, 2)])
     pair = np.concatenate([np.repeat(model.chain[None], len(chain), 0), np.repeat(model.skip[None], len(skip), 0)]).reshape(-1, k, k)
     source, goal = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
@@ -193,15 +203,27 @@ def marginals(model: FieldModel, potentials: np.ndarray, chain: np.ndarray, skip
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     message = np.zeros((len(source), k))
 
-    def gathered():
-        return potentials + np.stack([np.bincount(goal, message[:, c], n) for c in range(k)], axis=1)
-
-    for _ in range(ROUNDS if len(links) else 0):
-        own = gathered()[source] - message[back]
-        new = np.logaddexp.reduce(own[:, :, None] + pair, axis=1)
-        new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    belief = gathered()
+    def gathered(message, goal, potentials):
+        return potentials + np.stack([np.bincount(goal, message[:, c], len(potentials)) for c in range(k)], axis=1)
+
+    active, turn = np.arange(len(source)), 0
+    while len(active):
+        # The links of the texts that still move, with their nodes and returns numbered anew.
+        nodes, ends = np.unique(np.concatenate([source[active], goal[active]]), return_inverse=True)
+        s, g = ends[: len(active)], ends[len(active) :]
+        b, pairs, held, local = np.searchsorted(active, back[active]), pair[active], message[active], potentials[nodes]
+        for _ in range(ROUNDS):
+            own = gathered(held, g, local)[s] - held[b]
+            new = np.logaddexp.reduce(own[:, :, None] + pairs, axis=1)
+            new -= new.max(axis=1, keepdims=True)
+            change = 0.5 ** (1 + turn // CALM) * (new - held)
+            held = held + change
+            turn += 1
+        message[active] = held
+        moving = np.zeros(len(names), bool)
+        moving[text[source[active][np.abs(change).max(axis=1) > TOLERANCE]]] = True
+        active = active[moving[text[source[active]]]]
+    belief = gathered(message, goal, potentials)
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)
 
@@ -219,9 +241,9 @@ def added_spans(model: FieldModel, found: list[Tokens], threshold: float = THRES
     potentials[observed] = NEVER
     potentials[observed, labels[observed]] = 0
     links = [np.array([(a + f, b + f) for t, f in zip(found, first.tolist(), strict=True) for a, b in getattr(t, name)], np.int64).reshape(-1, 2) for name in ("chain", "skip")]
-    p = marginals(model, potentials, *links)
-    sure = ~observed & (p[:, 1:].max(axis=1) >= threshold)
     owner = np.repeat(np.arange(len(found)), sizes)
+    p = marginals(model, potentials, *links, owner)
+    sure = ~observed & (p[:, 1:].max(axis=1) >= threshold)
     for i in np.flatnonzero(sure).tolist():
         d = int(owner[i])
         out[d].append((int(p[i, 1:].argmax()), *found[d].spans[i - int(first[d])]))
@@ -236,23 +258,25 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs: int =
     """Fit on the tokens of about ``sample_docs`` documents, ``sample_tokens`` tokens at most; null ids are left out."""
     ids = docs.where(F.col(id_col).isNotNull())
     chance = min(1.0, sample_docs / max(1, ids.count()))
-    sample = ids.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1).select(text_or_empty(text_col).alias("text"))
+    sample = ids.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1).select(F.xxhash64(F.col(id_col)).alias("doc"), text_or_empty(text_col).alias("text"))
     k = len(LABELS)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
+            docs, places, rows = [], [], []
+            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                 t = tokens(text, base_spans(text))
                 near = np.zeros((len(t.labels), 2 * k), np.int64)
                 for at, links in ((0, t.chain), (k, t.skip)):
                     for i, j in links:
                         near[i, at + t.labels[j]] += 1
                         near[j, at + t.labels[i]] += 1
+                docs += [doc] * len(t.labels)
+                places += range(len(t.labels))
                 rows += [[y, *map(int, shape), *n] for y, shape, n in zip(t.labels, t.shapes, near.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["row"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc", "place", "row"])
 
-    drawn = sample.mapInArrow(run, "row array<int>").withColumn("order", F.xxhash64("row")).orderBy("order", "row").limit(sample_tokens)
+    drawn = sample.mapInArrow(run, "doc long, place long, row array<int>").withColumn("order", F.xxhash64("doc", "place")).orderBy("order", "doc", "place", "row").limit(sample_tokens)
     rows = np.array([r["row"] for r in drawn.select("row").collect()], np.float64).reshape(-1, 1 + FEATURES + 2 * k)
     return fit(rows[:, 1 : 1 + FEATURES], rows[:, 1 + FEATURES : 1 + FEATURES + k], rows[:, 1 + FEATURES + k :], rows[:, 0].astype(int))
 

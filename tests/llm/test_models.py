@@ -120,6 +120,41 @@ def test_messages_are_exact_on_trees():
         assert np.allclose(got[i], full.sum(axis=tuple(j for j in range(4) if j != i)), atol=1e-6)
 
 
+def chain_by_elimination(model, pot, links):
+    """Marginals of a plain chain, forward and backward."""
+    fore, back = pot.copy(), np.zeros_like(pot)
+    for i, j in links:
+        fore[j] += np.logaddexp.reduce(fore[i][:, None] + model.skip, axis=0)
+    for i, j in reversed(links):
+        back[i] = np.logaddexp.reduce((pot[j] + back[j])[None] + model.skip, axis=1)
+    p = fore + back
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_a_number_repeated_forty_times_is_settled():
+    k = len(pii.LABELS)
+    model = pii.FieldModel(np.zeros((pii.FEATURES, k)), np.zeros((k, k)), np.diag([4.0, 6, 6, 6, 6]))
+    pot = np.tile([1.0, 0, 0, 0, 0.5], (41, 1))
+    pot[0] = [pii.NEVER] * 4 + [0]
+    links = [(i, i + 1) for i in range(40)]
+    want = chain_by_elimination(model, pot, links)
+    assert (want[1:, 4] > 0.95).sum() > 20
+    got = pii.marginals(model, pot, np.zeros((0, 2), np.int64), np.array(links))
+    assert np.allclose(got, want, atol=1e-6)
+    swing = pii.FieldModel(model.node, np.zeros((k, k)), -6.0 * np.ones((k, k)) * np.eye(k))
+    three = np.array([(0, 1), (1, 2), (0, 2)])
+    assert np.isfinite(pii.marginals(swing, pot[1:4], np.zeros((0, 2), np.int64), three)).all()
+
+
+def test_the_sample_of_tokens_draws_places_not_shapes(spark, monkeypatch):
+    texts = [" ".join(f"{i}{j:02d} x" for j in range(40)) + " 12:30" for i in range(1, 30)]
+    seen = {}
+    monkeypatch.setattr(pii, "fit", lambda x, chain, skip, y: seen.update(x=x))
+    pii.learn(frame(spark, texts), sample_tokens=300)
+    assert len(seen["x"]) == 300 and len(np.unique(seen["x"], axis=0)) == 2
+
+
 def test_repeated_mentions_agree(spark):
     model = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     text = "Call +1 (706) 555-3138 now. Much later he said 555-3138 twice."
