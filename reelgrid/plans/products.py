@@ -64,7 +64,7 @@ def face_analysis(spark, sf):
 @query("turn_feature_vectors")
 def turn_feature_vectors(spark, sf):
     """Role and situation features of turns; long vectors, so rows only."""
-    v = A.intervals(spark, sf).where("e > s AND video_id < 200").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end")
+    v = A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end")
     p = A.points(spark, sf).selectExpr("video_id", "cast(t AS double) AS t", "value / 50 AS value", "label")
     seg = v.selectExpr("video_id", "start AS s", "end AS e", "cast(idx AS int) AS idx")
     sent = seg.selectExpr("video_id", "s", "e", "0.5 AS positive", "0.3 AS negative", "0.2 AS neutral")

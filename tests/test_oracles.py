@@ -59,3 +59,10 @@ def test_entry():
 
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_turn_features_cover_every_turn(spark):
+    from reelgrid.plans import adapters as A
+
+    sf = "/root/testdata/sf0.01"
+    assert catalog.QUERIES["turn_feature_vectors"](spark, sf).count() == A.intervals(spark, sf).where("e > s").count()
