@@ -66,3 +66,9 @@ def test_turn_features_cover_every_turn(spark):
 
     sf = "/root/testdata/sf0.01"
     assert catalog.QUERIES["turn_feature_vectors"](spark, sf).count() == A.intervals(spark, sf).where("e > s").count()
+
+
+def test_face_tracks_cover_every_shot(spark):
+    sf = "/root/testdata/sf0.01"
+    shots = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert shots > 19 and catalog.QUERIES["face_tracks"](spark, sf).select("shot").distinct().count() == shots
