@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelgrid.functions.models import apply_model
+from reelgrid.functions.models import SLOTS, apply_model
 from reelgrid.operators import fusion, tiers
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
@@ -193,9 +193,11 @@ def event_sessions(spark, sf):
 
 @query("model_slots")
 def model_slots(spark, sf):
-    """A model slot with its stand-in."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("text"))
-    return apply_model(d, "sentiment", F.col("text"), "scores").select("doc_id", F.expr("array_max(transform(scores, x -> struct(x.prob, x.label))).label").alias("label"))
+    """Each model slot with its stand-in, over whole texts; of the sentiment the best label."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    for name in SLOTS:
+        d = apply_model(d, name, F.col("text"), name)
+    return d.select("doc_id", F.expr("array_max(transform(sentiment, x -> struct(x.prob, x.label))).label").alias("label"), *[n for n in SLOTS if n != "sentiment"])
 
 
 @query("calibration_sample")

@@ -158,7 +158,7 @@ def text_chunks(spark, sf):
 @query("text_char_chunks")
 def text_char_chunks(spark, sf):
     """Greedy chunks of at most 128 characters, cut at words; a fold, so rows only."""
-    return table(spark, sf, "benchmark").select("item_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "words"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "words"))
 
 
 @query(

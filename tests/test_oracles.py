@@ -72,3 +72,19 @@ def test_face_tracks_cover_every_shot(spark):
     sf = "/root/testdata/sf0.01"
     shots = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert shots > 19 and catalog.QUERIES["face_tracks"](spark, sf).select("shot").distinct().count() == shots
+
+
+def test_slots_and_folds_read_whole_documents(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from reelgrid.functions.models import SLOTS, _stand_in
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where(F.length("text") > 200)
+    got = catalog.QUERIES["model_slots"](spark, SF)
+    assert set(SLOTS) - set(got.columns) == {"sentiment"}
+    row = docs.first()
+    assert list(_stand_in("embed_text")(pd.Series([row.text]))[0]) == pytest.approx(got.where(F.col("doc_id") == row.doc_id).first().embed_text)
+    chunks = catalog.QUERIES["text_char_chunks"](spark, SF)
+    want = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("text").rlike(r"\S"))
+    assert chunks.select("doc_id").distinct().count() == want.count()
