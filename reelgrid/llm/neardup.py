@@ -1,24 +1,29 @@
 """Near duplicates by similarity of word shingles: SimHash candidates from multi-index hashing, then an exact check.
 
 A node is a distinct set of shingles, named by the least uid of its rows; a
-128-bit hash of the whole set tells sets apart. Its fingerprint has 1024 bits,
-and the last 960, whose first bits are also the segments of the index, are the
-main distance test. Nodes of equal fingerprints are compared like others. The width of a segment follows the
-logarithm of the number of rows, so that chance matches of a row stay as many
-at any size, and the number of segments follows from the recall that is asked
-for at the similarity threshold. Each segment fetches its Hamming ball of
-radius one; a pair is fetched from the side that lacks the differing bit.
-Sets of ``SHORT`` shingles at most, whose bits differ by other odds, also have
-keys of their own: so many of their least shingles that two similar sets share
-one. Fetched pairs are verified on the bits, the first 128 of them inside the
-join, within limits that lose about ``LOSS`` of the pairs at the threshold, and
-what passes by the Jaccard similarity of the whole shingle sets.
-
-A key held by more than ``CROWDED`` nodes gives no pairs at first. In a few
-rounds its nodes are compared with one leader, another each round, and linked
-nodes fall into components. Then pairs of nodes in different components are
-compared, so a large group of copies costs some stars and not its square, and
-no link between components is lost.
+128-bit hash of the whole set tells sets apart. The words of its SimHash after
+the first also hold the segments of the index. The width of a segment follows
+the logarithm of the number of rows, and the number of segments follows from
+the recall that is asked for at the similarity threshold. Each segment fetches
+its Hamming ball of radius one; a pair is fetched from the side that lacks the
+differing bit. Sets of ``SHORT`` shingles at most, whose bits differ by other
+odds, also have keys of their own: so many of their rarest shingles that two
+similar sets share one.
+
+Fetched pairs are verified on 128 bits inside the join, then on ``WIDE`` words
+more, within limits that lose about ``LOSS`` of the pairs at the threshold, and
+what passes by the Jaccard similarity of the whole shingle sets. Wide words and
+sets are made only for the nodes of fetched pairs.
+
+Groups cost about their size, not its square. First the holders of each key
+with more than ``CROWDED`` of them are compared with one leader: the holder
+that is most at home in crowded keys, so the middle of its group. What is
+linked falls into components. Nodes that are near each other by the leaders,
+linked or not, form families; those of over ``BUSY`` nodes are busy. Then
+pairs of different components are compared: those of two busy nodes are asked
+for by the node of the smaller component, in keys where a larger one is held,
+on all words inside the join; all others by the index as it is. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -38,15 +43,17 @@ from reelgrid.llm.line_dedup import mixed
 from reelgrid.llm.simhash import BITS, PLACES
 from reelgrid.llm.sketches import shingles
 
-WIDTH, SIMILARITY, RECALL, CROWDED, ROUNDS = 5, 0.8, 0.99, 6, 1
-#: The words of the distance test beside the first.
-CHECKS = [f"c{i}" for i in range(15)]
-#: Sets of so many shingles at most also meet by their least shingles.
+WIDTH, SIMILARITY, RECALL, CROWDED, BUSY = 5, 0.8, 0.99, 4, 16
+#: Words of 64 bits of the wide distance test, the first not among them.
+WIDE = 63
+#: Sets of so many shingles at most also meet by their rarest shingles.
 SHORT = 36
 #: Share of the pairs at the threshold that one test of the bits may lose.
 LOSS = 1e-5
-#: Keys from here on are shingles, keys below are segments.
-SHINGLE = 1 << 61
+#: Keys from here on are shingles, keys below are segments: their number above ``SEGMENT_BITS`` bits.
+SHINGLE, SEGMENT_BITS = 1 << 61, 48
+#: Marks a node's own key, where pairs are fetched from one side only.
+OWN = 1 << 62
 
 
 def exact_odds(a: int, b: int, c: int) -> float:
@@ -68,7 +75,7 @@ def bit_odds(similarity: float, short: bool = False) -> float:
 def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a segment, segments) for so many rows."""
     p = bit_odds(similarity)
-    width = min(32, max(16, math.ceil(math.log2(max(2, rows))) - 1))
+    width = min(SEGMENT_BITS, max(16, math.ceil(math.log2(max(2, rows))) - 1))
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     return width, segments
@@ -78,9 +85,10 @@ def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) ->
 def greatest_distance(bits: int, similarity: float = SIMILARITY, short: bool = False) -> int:
     """So many of ``bits`` differ at most, but for ``LOSS`` of the pairs of the similarity."""
     p, d, over = bit_odds(similarity, short), -1, 1.0
+    ways = lambda d: math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1)
     while over > LOSS:
         d += 1
-        over -= math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+        over -= math.exp(ways(d) + d * math.log(p) + (bits - d) * math.log(1 - p))
     return d
 
 
@@ -89,125 +97,211 @@ def _limit(bits: int, similarity: float, short):
     return F.when(short, greatest_distance(bits, similarity, True)).otherwise(greatest_distance(bits, similarity))
 
 
-def apart(u: str, v: str):
-    """Differing bits of the words of the distance test, of columns that start with ``u`` and ``v``."""
-    return sum((F.bit_count(F.col(f"{u}_{c}").bitwiseXOR(F.col(f"{v}_{c}"))) for c in CHECKS), F.lit(0))
+def _near(similarity: float, by_shingle):
+    """The test on 128 bits, of columns that start with ``u`` and ``v``."""
+    first, second = (F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in ("fp", "c0"))
+    return (first <= _limit(64, similarity, by_shingle)) & (first + second <= _limit(128, similarity, by_shingle))
 
 
-def wide_fingerprint(own: np.ndarray, words: int) -> bytes:
-    """``words`` times 64 bits over the set of shingles; zeros where a text has none."""
+def _near_wide(similarity: float):
+    """The test on the wide words."""
+    apart = sum((F.bit_count(F.col("u_wide")[i].bitwiseXOR(F.col("v_wide")[i])) for i in range(WIDE)), F.lit(0))
+    return apart <= _limit(64 * WIDE, similarity, F.col("u_short") & F.col("v_short"))
+
+
+def fingerprint_words(own: np.ndarray, first: int, last: int) -> bytes:
+    """The 64-bit words ``first`` to ``last`` (not included) of the fingerprint of a set of shingles; zeros where a text has none."""
     n = len(own)
     if not n:
-        return bytes(8 * words)
-    out = []
-    for i in range(words):
-        h = (own if i == 0 else mixed(own, 100 + i)).astype(">u8").view(np.uint8).reshape(n, 8)
-        counts = np.bincount((h + PLACES).ravel(), minlength=2048).reshape(8, 256)
+        return bytes(8 * (last - first))
+    out, step = [], max(1, (1 << 16) // n)
+    for at in range(first, last, step):
+        h = np.stack([own if i == 0 else mixed(own, 100 + i) for i in range(at, min(last, at + step))])
+        places = h.astype(">u8").view(np.uint8).reshape(len(h), n, 8) + PLACES + 2048 * np.arange(len(h))[:, None, None]
+        counts = np.bincount(places.ravel(), minlength=2048 * len(h)).reshape(-1, 256)
         out.append(np.packbits((2 * (counts @ BITS) > n).ravel()).tobytes())
     return b"".join(out)
 
 
-def segment_keys(raw: np.ndarray, width: int, segments: int) -> np.ndarray:
-    """For each row of fingerprint bytes, a key for each segment: its number above its bits."""
-    bits = np.unpackbits(raw, axis=1)[:, 64 : 64 + width * segments].reshape(len(raw), segments, width).astype(np.int64)
-    values = (bits << np.arange(width, dtype=np.int64)).sum(axis=2)
-    return values + (np.arange(segments, dtype=np.int64) << 32)
+def segment_keys(words: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """For each row of fingerprint words, a key for each segment: its number above its bits."""
+    per = 64 // width
+    number = np.arange(segments)
+    bits = words[:, number // per] >> (number % per * width).astype(np.uint64) & np.uint64((1 << width) - 1)
+    return bits.astype(np.int64) + (number.astype(np.int64) << SEGMENT_BITS)
 
 
-def shingle_keys(own: np.ndarray, similarity: float) -> list[int]:
-    """Keys of which two short sets share one at least, if they reach the similarity; long sets have none."""
-    n = len(own)
-    held = n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= SHORT else 0
-    return [SHINGLE | x & SHINGLE - 1 for x in own[:held].tolist()]
+def prefix_size(n, similarity: float):
+    """So many of the least of ``n`` shingles, in any one order, that two sets of the similarity share one."""
+    return n - F.ceil(similarity * n - F.lit(1e-9)).cast("int") + 1
+
 
+def _words(raw: list[bytes], count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), count)
 
-def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int, similarity: float) -> DataFrame:
-    words = max(1 + len(CHECKS), 1 + -(-width * segments // 64))
+
+def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int) -> DataFrame:
+    """uid, hash of the set, the first two words, segment keys, and the shingles of short sets."""
+    words = 1 + -(-segments // (64 // width))
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            sets = [shingles(t, shingle) for t in texts]
-            raw = np.frombuffer(b"".join([wide_fingerprint(s, words) for s in sets]), np.uint8).reshape(len(texts), 8 * words)
-            longs = raw.view(">u8").astype(np.uint64).view(np.int64)
-            keys = pa.array([[*k, *shingle_keys(s, similarity)] for k, s in zip(segment_keys(raw, width, segments).tolist(), sets, strict=True)], pa.list_(pa.int64()))
-            short = pa.array([len(s) <= SHORT for s in sets])
+            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
+            w = _words([fingerprint_words(s, 0, words) for s in sets], words)
+            firsts = w.view(np.int64)[:, :2]
+            keys = pa.array(segment_keys(w[:, 1:], width, segments).tolist(), pa.list_(pa.int64()))
+            few = pa.array([s.view(np.int64).tolist() if len(s) <= SHORT else None for s in sets], pa.list_(pa.int64()))
             names = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("uid"), names, *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(1 + len(CHECKS))), short, keys], ["uid", "set", "fp", *CHECKS, "short", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), names, *(pa.array(np.ascontiguousarray(firsts[:, i])) for i in range(2)), keys, few], ["uid", "set", "fp", "c0", "keys", "few"])
 
-    return rows.mapInArrow(run, f"uid long, set binary, fp long, {', '.join(f'{c} long' for c in CHECKS)}, short boolean, keys array<bigint>")
+    return rows.mapInArrow(run, "uid long, set binary, fp long, c0 long, keys array<bigint>, few array<bigint>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs whose bits are near and whose shingle sets, compared whole, reach the similarity."""
-    with scratch():
-        side = lambda name: nodes.select(F.col("uid").alias(name), F.col("short").alias(f"{name}_short"), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS])
-        near = apart("u", "v") <= _limit(64 * len(CHECKS), similarity, F.col("u_short") & F.col("v_short"))
-        pairs = written(pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "pairs")
-        used = written(pairs.select(F.col("u").alias("uid")).union(pairs.select("v")).distinct(), "used")
+def _features(rows: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
+    """uid, wide words, short, and the shingle set of each row whose uid is in ``used``."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
+            wide = pa.array(list(_words([fingerprint_words(s, 1, 1 + WIDE) for s in sets], WIDE).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), wide, pa.array([len(s) <= SHORT for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["uid", "wide", "short", "shingles"])
+
+    return rows.join(small_side(used, 8), "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, wide array<bigint>, short boolean, shingles array<bigint>")
+
+
+def _side(table: DataFrame, name: str, *cols: str) -> DataFrame:
+    return table.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+
 
-        def run(batches):
-            for b in batches:
-                sets = pa.array([shingles(t, shingle).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("uid"), sets], ["uid", "s"])
+def _ends(*pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of tables of pairs."""
+    both = [p.select(F.col(c).alias("uid")) for p in pairs for c in ("u", "v")]
+    out = both[0]
+    for p in both[1:]:
+        out = out.union(p)
+    return out.distinct()
 
-        sets = written(rows.join(small_side(used, 8), "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, s array<bigint>"), "sets")
-        both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        alike = common >= similarity * (F.size("a") + F.size("b") - common)
-        return written(both.where(alike).select("u", "v"), "links", outer=True)
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED) -> DataFrame:
+
+def _still_near(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that pass the wide test."""
+    both = pairs.join(_side(features, "u", "wide", "short"), "u").join(_side(features, "v", "wide", "short"), "v")
+    return both.where(_near_wide(similarity)).select("u", "v")
+
+
+def _alike(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets, compared whole, reach the similarity."""
+    both = pairs.join(_side(features, "u", "shingles"), "u").join(_side(features, "v", "shingles"), "v")
+    common, sizes = F.size(F.array_intersect("u_shingles", "v_shingles")), F.size("u_shingles") + F.size("v_shingles")
+    return both.where(common >= similarity * (sizes - common)).select("u", "v")
+
+
+def _with_short_keys(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``nodes`` whose keys include, for short sets, those of their rarest shingles that another short set has too."""
+    has = written(nodes.where(F.size("few") > 0).select("uid", F.size("few").alias("n"), F.explode("few").alias("x")), "few")
+    counts = has.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    ranked = has.join(counts, "x").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("by"))
+    least = F.filter(F.slice("by", 1, prefix_size(F.col("n"), similarity)), lambda s: s["df"] > 1)
+    keys = F.transform(least, lambda s: s["x"].bitwiseAND(F.lit(SHINGLE - 1)).bitwiseOR(F.lit(SHINGLE)))
+    more = written(ranked.select("uid", keys.alias("more")).where(F.size("more") > 0), "more")
+    return nodes.join(small_side(more, 96), "uid", "left").select("uid", "fp", "c0", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.concat("keys", "more")).alias("keys"))
+
+
+def _led(nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int, crowded: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Pairs of holders of crowded keys with their leaders: (features of their nodes, near pairs, links); None if no key is crowded."""
+    entries = nodes.select("uid", "fp", "c0", F.explode("keys").alias("key"))
+    counts = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded), "crowded")
+    if not counts.limit(1).count():
+        return None
+    held = written(entries.join(small_side(counts, 16), "key"), "held")
+    home = written(held.groupBy("uid").agg(F.sum("n").alias("home")), "home")
+    first = F.max_by(F.struct(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0")), F.struct("home", -F.col("uid")))
+    leaders = written(held.join(small_side(home, 16), "uid").groupBy("key").agg(first.alias("l")).select("key", "l.*"), "leaders")
+    asking = held.select("key", F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"))
+    stars = asking.join(small_side(leaders, 32), "key").where(_near(similarity, F.col("key") >= SHINGLE) & (F.col("u") != F.col("v")))
+    stars = written(_ordered(stars), "stars")
+    features = written(_features(rows, written(_ends(stars), "ends"), shingle), "features")
+    near = written(_still_near(stars, features, similarity), "near")
+    return features, near, written(_alike(near, features, similarity), "links")
+
+
+def _probes(keys, width: int, busy):
+    """The keys that a node asks for: its own, and those of its balls; of pairs between nodes that aren't busy, one side asks."""
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    places, segments = F.sequence(F.lit(0), F.lit(width - 1)), F.filter(keys, lambda k: k < SHINGLE)
+    balls = F.flatten(F.transform(segments, lambda k: F.transform(places, lambda i: k.bitwiseXOR(one(i)))))
+    upper = F.flatten(F.transform(segments, lambda k: F.transform(F.filter(places, lambda i: k.bitwiseAND(one(i)) == 0), lambda i: k.bitwiseOR(one(i)))))
+    return F.when(busy, F.concat(keys, balls)).otherwise(F.concat(F.transform(keys, lambda k: k.bitwiseOR(F.lit(OWN))), upper))
+
+
+def _across_index(placed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of different components, not both busy, that the index fetches and 128 bits let pass."""
+    table = placed.where(~F.col("busy")).select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.col("root").alias("v_root"), F.explode("keys").alias("held"))
+    probes = placed.select(F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.col("root").alias("u_root"), F.explode(_probes(F.col("keys"), width, F.col("busy"))).alias("k"))
+    key, is_own = F.col("k").bitwiseAND(F.lit(OWN - 1)), F.col("k") >= OWN
+    # The root is null where a node is alone.
+    other = F.col("u_root").isNull() | ~F.col("u_root").eqNullSafe(F.col("v_root"))
+    near = _near(similarity, F.col("held") >= SHINGLE) & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
+    return probes.join(table, (key == F.col("held")) & near & other).select("u", "v")
+
+
+def _across_busy(placed: DataFrame, sizes: DataFrame, features: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of busy nodes of different components that pass the wide test; the node of the smaller component asks."""
+    rooted = placed.where("busy").withColumn("root", F.coalesce("root", "uid")).join(small_side(sizes, 16), "root", "left")
+    rank = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.col("root"))
+    busy = written(rooted.select("uid", "fp", "c0", "keys", rank.alias("rank")).join(features.select("uid", "wide", "short"), "uid"), "busy")
+    side = lambda name, keys: busy.select(F.col("uid").alias(name), F.col("rank").alias(f"{name}_rank"), F.explode(keys).alias("key"))
+    held = side("v", F.col("keys"))
+    top = written(held.groupBy("key").agg(F.max("v_rank").alias("top")), "top")
+    asks = written(side("u", _probes(F.col("keys"), width, F.lit(True))).join(small_side(top, 32), "key").where("top > u_rank").drop("top"), "asks")
+    whole = lambda name: _side(busy, name, "fp", "c0", "wide", "short")
+    fits = (F.col("v_rank") > F.col("u_rank")) & _near(similarity, F.col("key") >= SHINGLE) & _near_wide(similarity)
+    return asks.join(whole("u"), "u").join(held.join(whole("v"), "v"), "key").where(fits).select("u", "v")
+
+
+def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED, busy: int = BUSY) -> DataFrame:
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
     width, segments = layout(rows.count(), similarity, recall)
-    fps = written(_fingerprints(rows, width, segments, shingle, similarity), "fingerprints")
+    fps = written(_fingerprints(rows, width, segments, shingle), "fingerprints")
     least = fps.groupBy("set").agg(F.min("uid").alias("node"))
     named = written(fps.select("uid", "set").join(least, "set").select("uid", "node"), "named")
     twins = named.where("uid <> node").select("uid")
-    nodes = written(fps.join(small_side(twins, 8), "uid", "left_anti").drop("set"), "nodes")
-    table = nodes.select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    lacking = lambda k: F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: k.bitwiseAND(one(i)) == 0)
-    own = F.transform("keys", lambda k: k.bitwiseOR(F.lit(1 << 62)))
-    flips = F.flatten(F.transform(F.filter("keys", lambda k: k < SHINGLE), lambda k: F.transform(lacking(k), lambda i: k.bitwiseOR(one(i)))))
-    # Bit 62 marks a node's own keys.
-    probes = nodes.select(F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.explode(F.concat(own, flips)).alias("k"))
-    key, is_own = F.col("k").bitwiseAND(F.lit((1 << 62) - 1)), F.col("k") >= 1 << 62
-    first, second = (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in (("u_fp", "v_fp"), ("u_c0", "v_c0")))
-    by_shingle = F.col("held") >= SHINGLE
-    close = (first <= _limit(64, similarity, by_shingle)) & (first + second <= _limit(128, similarity, by_shingle))
-    near = close & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
-    sizes = written(table.groupBy("held").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("held"), "crowded")
-    hot = small_side(sizes, 8)
-    full = sizes.limit(1).count() > 0
-    calm = table.join(hot, "held", "left_anti") if full else table
-    pairs = probes.join(calm, (key == F.col("held")) & near).select("u", "v")
-    links = _verified(pairs, nodes, rows, similarity, shingle)
-    roots = written(components(links), "roots")
-    if full:
-        bits = lambda name: nodes.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in CHECKS[1:]])
-        alike = close & (apart("u", "v") <= _limit(64 * len(CHECKS), similarity, by_shingle))
-        held = written(table.join(hot, "held", "left_semi").join(bits("v"), "v"), "held")
-        asking = written(probes.withColumn("key", key).join(hot.withColumnRenamed("held", "key"), "key", "left_semi").join(bits("u"), "u"), "asking")
-        for turn in range(ROUNDS):
-            leaders = held.groupBy("held").agg(F.min_by(F.struct(F.col("v").alias("u"), *[F.col(f"v_{c}").alias(f"u_{c}") for c in ("fp", *CHECKS)]), F.xxhash64("v", F.lit(turn))).alias("_l")).select("held", "_l.*")
-            stars = _rooted(held, "v", roots).join(_rooted(leaders, "u", roots, "other"), "held").where(alike & (F.col("root") != F.col("other"))).select("u", "v")
-            roots = _merged(roots, _verified(stars, nodes, rows, similarity, shingle))
-        across = _rooted(asking, "u", roots).join(_rooted(held, "v", roots, "other"), (F.col("key") == F.col("held")) & (F.col("root") != F.col("other")) & near & alike).select("u", "v")
-        roots = _merged(roots, _verified(across, nodes, rows, similarity, shingle))
-    return _rooted(named, "node", roots).select("uid", "root")
-
-
-def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str = "root") -> DataFrame:
+    nodes = fps.join(small_side(twins, 8), "uid", "left_anti").drop("set")
+    nodes = written(_with_short_keys(nodes, similarity), "nodes")
+    led = _led(nodes, rows, similarity, shingle, crowded)
+    placed = nodes.withColumn("root", F.lit(None).cast("long")).withColumn("busy", F.lit(False))
+    if led:
+        features, near, links = led
+        roots = written(components(links), "roots")
+        families = written(components(near), "families")
+        large = written(families.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy).select("root"), "large")
+        crowd = written(families.join(small_side(large, 8), "root", "left_semi").select("node"), "crowd")
+        marks = crowd.select(F.col("node").alias("uid"), F.lit(True).alias("busy"))
+        linked = roots.select(F.col("node").alias("uid"), "root")
+        placed = nodes.join(small_side(linked, 16), "uid", "left").join(small_side(marks, 9), "uid", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+    pairs = written(_ordered(_across_index(placed, width, similarity)), "pairs")
+    if led:
+        sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        wide = written(_ordered(_across_busy(placed, sizes, features, width, similarity)), "wide")
+        new = written(_ends(pairs).join(small_side(features.select("uid"), 8), "uid", "left_anti"), "ends")
+        features = features.union(written(_features(rows, new, shingle), "features"))
+    else:
+        features = written(_features(rows, written(_ends(pairs), "ends"), shingle), "features")
+    near = _still_near(pairs, features, similarity)
+    near = written(near.union(wide) if led else near, "near")
+    links = written(_alike(near, features, similarity), "links")
+    if led:
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
+    return _rooted(named, "node", written(components(links), "roots")).select("uid", "root")
+
+
+def _rooted(df: DataFrame, node: str, roots: DataFrame) -> DataFrame:
     """``df`` with the root of its node, which is the node itself where nothing links it."""
-    known = roots.select(F.col("node").alias(node), F.col("root").alias(name))
-    return df.join(small_side(known, 16), node, "left").withColumn(name, F.coalesce(name, node))
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Roots after more links: the components of a star for each known component, and the links."""
-    return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "roots")
+    known = roots.select(F.col("node").alias(node), "root")
+    return df.join(small_side(known, 16), node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def without_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, shingle: int = WIDTH) -> DataFrame:

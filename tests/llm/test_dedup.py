@@ -151,8 +151,8 @@ def test_simhash_on_awkward_rows(spark):
     assert simhash.near_components(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [64, 1])
-def test_near_groups_against_brute_force(spark, crowded):
+@pytest.mark.parametrize(("crowded", "busy"), [(64, 16), (1, 2), (2, 10)])
+def test_near_groups_against_brute_force(spark, crowded, busy):
     rng = random.Random(2)
     texts = []
     for p in prose(20, size=160):
@@ -163,7 +163,7 @@ def test_near_groups_against_brute_force(spark, crowded):
                 w[rng.randrange(len(w))] = "zz" + str(rng.randrange(99))
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
-    out = {r.uid: r.root for r in neardup.near_groups(df, crowded=crowded).collect()}
+    out = {r.uid: r.root for r in neardup.near_groups(df, crowded=crowded, busy=busy).collect()}
     sets = [set(sketches.shingles(t).tolist()) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     missed = sum(out[i] != out[j] for i, j in links)
@@ -177,9 +177,10 @@ def test_bit_tests_keep_pairs_at_the_threshold():
     assert neardup.exact_odds(1, 0, 4) == 0.1875
     for short, sizes in ((True, (1, 0, 4)), (False, (5, 4, 36)), (False, (100, 100, 800))):
         p = neardup.exact_odds(*sizes)
-        for bits in (64, 128, 960):
+        for bits in (64, 128, 64 * neardup.WIDE):
             most = neardup.greatest_distance(bits, 0.8, short)
-            assert 1 - sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(most + 1)) < 1e-4
+            ways = [math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in range(most + 1)]
+            assert 1 - sum(math.exp(w + d * math.log(p) + (bits - d) * math.log(1 - p)) for d, w in enumerate(ways)) < 1e-4
 
 
 def test_short_texts_with_a_word_added_are_found(spark):
@@ -198,8 +199,8 @@ def test_equal_fingerprints_are_not_equal_texts(spark, monkeypatch):
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(12)]
     texts += [t + " end" for t in texts] + texts[:2]
-    real = neardup.wide_fingerprint
-    monkeypatch.setattr(neardup, "wide_fingerprint", lambda *a: bytes(8) + real(*a)[8:])
+    real = neardup.fingerprint_words
+    monkeypatch.setattr(neardup, "fingerprint_words", lambda own, first, last: real(own, first, last) if first else bytes(8) + real(own, 0, last)[8:])
     df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
     out = {r.uid: r.root for r in neardup.near_groups(df).collect()}
     assert all(out[i] == i and out[i + 12] == i for i in range(12)) and out[24] == 0 and out[25] == 1
