@@ -19,11 +19,14 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder is made and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the master is local, as in tests, a temporary folder is made and
+    recorded in the session; on a cluster the executors couldn't read it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = "file://" + tempfile.mkdtemp(prefix="reelgrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -100,6 +103,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def in_sample(id_col: str, chance):
+    """True for a share ``chance`` (number or column) of all ids, by 62 bits of a fixed hash; false for null ids."""
+    return F.col(id_col).isNotNull() & (F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2) < (F.lit(2.0**62) * chance).cast("long"))
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

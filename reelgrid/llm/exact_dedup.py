@@ -85,7 +85,13 @@ def _compare_bytes(texts: DataFrame, groups: DataFrame, hash128) -> None:
 
 
 def without_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with all its columns, one row of each group of equal texts."""
+    """``docs`` with all its columns, one row of each group of equal texts.
+
+    The row that stays is the one that ``exact_dedup`` keeps: most code points,
+    then the smallest id, a null id last; of rows alike in both one stays. Null
+    text counts as empty. An empty table gives an empty result; columns of any
+    name keep their values.
+    """
     uid = unused(docs, "row_uid")
     with scratch():
         rows = keyed_rows(docs, id_col, uid)

@@ -17,24 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import text_or_empty
+from reelgrid.llm.common import in_sample, text_or_empty
 
 #: Vectors: so many hashed two-byte and so many hashed three-byte counts.
 BUCKETS = 2048
 #: Rows of a language that are learned from, about; a fixed hash of the id picks them.
 ROWS_PER_LANGUAGE = 300
+#: Values of ``lang`` that are learned at most; more are an error.
+MOST_LANGUAGES = 1_000
 #: Up to so many languages the code has every column; beyond, random columns of greatest separation.
 EXHAUSTIVE = 6
 #: Loss margin to the second codeword, a classifier, under which a text is ambiguous.
 AMBIGUOUS = 0.05
 
-_letter = re.compile(r"[^\W\d_]").search
+_word_characters = re.compile(r"[^\W\d_]").finditer
 #: ASCII letters in lower case, bytes of other characters as they are, the rest as blanks.
 _FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _letter(text) is not None
+    """A letter is a character of Unicode's category L: superscripts, fractions, Roman and circled numbers are none."""
+    return bool(text) and any(m.group().isalpha() for m in _word_characters(text))
 
 
 def ngram_counts(texts: list[str]) -> np.ndarray:
@@ -116,23 +119,33 @@ def fit(vectors: np.ndarray, labels: list[str], rounds: int = 150, decay: float
     return LanguageModel(languages, codes, w, b)
 
 
-def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", may_learn=None, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on about ``rows_per_language`` labelled rows of each language where ``may_learn`` holds."""
+def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", may_learn=None, rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """Fit on about ``rows_per_language`` labelled rows of each language where ``may_learn`` holds.
+
+    Twice that number for each language, all together, reach the driver at
+    most, however often an id repeats; more than ``most_languages`` are an
+    error. Rows with a null id, text or language and texts without a letter
+    teach nothing. An empty table gives a model without a language. Other
+    columns are not read.
+    """
     usable = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     pool = docs.where(usable if may_learn is None else usable & may_learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} values of {lang_col}")
     if not counts:
         return LanguageModel([], np.ones((0, 1), np.int64), np.zeros((2 * BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])[F.col("lang")]
-    sample = pool.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < chance * 1_000_003)
+    sample = pool.where(in_sample("id", chance)).withColumn("order", F.xxhash64("id"))
 
     def run(batches):
         for b in batches:
-            kept = [(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True) if has_letter(t)]
-            v = ngram_counts([t for t, _ in kept]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in kept], pa.string()), pa.array([r.tobytes() for r in v], pa.binary())], ["lang", "v"])
+            b = b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
+            v = ngram_counts(b.column("text").to_pylist()).astype("<f4")
+            yield pa.RecordBatch.from_arrays([b.column("order"), b.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], ["order", "lang", "v"])
 
-    rows = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(run, "lang string, v binary").collect())
+    drawn = sample.mapInArrow(run, "order long, lang string, v binary").orderBy("order", "lang", "v").limit(2 * rows_per_language * len(counts))
+    rows = sorted((r["lang"], bytes(r["v"])) for r in drawn.collect())
     return fit(np.array([np.frombuffer(v, "<f4") for _, v in rows]).reshape(-1, 2 * BUCKETS), [x for x, _ in rows])
 
 
@@ -155,7 +168,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col="text") -> DataFrame:
-    """``docs`` with all its columns, without rows that have no letter or whose language is ambiguous. With no language learned, all rows stay."""
+    """``docs`` with all its columns, without rows that have no letter or whose language is ambiguous.
+
+    Null and empty texts have no letter and go. With no language learned, all
+    rows stay. Null and repeated ids, ties and repeated rows are judged each by
+    itself; an empty table gives an empty result; columns of any name keep
+    their values.
+    """
     if not model.languages:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(model)

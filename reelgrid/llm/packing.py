@@ -2,9 +2,10 @@
 
 One scan tokenizes each document, cuts it into full windows and a remainder,
 and writes a row of numbers for each piece. The pieces are dealt by a hash of
-their place into groups of a bounded number of pieces; each group is packed on
-its own, so a lost executor repeats one group. With tens of thousands of
-pieces in a group the windows left open weigh nothing.
+their place, and of their row in the written table so that repeated rows part,
+into groups of a bounded number of pieces; each group is packed on its own, so
+a lost executor repeats one group. With tens of thousands of pieces in a group
+the windows left open weigh nothing.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", vocab: str | None =
     table = written(pieces(docs, id_col, text_col, vocab, capacity, end_id), "pieces")
     groups = max(1, -(-table.count() // GROUP_PIECES))
     kind = table.schema[id_col].dataType.simpleString()
-    dealt = table.withColumnRenamed(id_col, "id").withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = table.withColumnRenamed(id_col, "id").withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(key, rows):
         rows = rows.drop_columns("part").sort_by([(c, "ascending") for c in ("id", "start", "ids_crc32", "doc_tokens")])

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import BLANKS, text_or_empty
+from reelgrid.llm.common import BLANKS, in_sample, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -79,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _digit(text):
         return out
     if text.count(".") >= 3:
-        out += [(1, m.start(), m.end()) for m in _ip(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(1, m.start(), m.end()) for m in _ip(text) if all(not p[:-3].strip("0") and int(p[-3:]) <= 255 for p in m.group().split("."))]
     for m in _card(text):
         if m.end() - m.start() >= 13:
             d = _not_digit.sub("", m.group())
@@ -135,8 +136,10 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
         while b < len(ordered) and ordered[b][1] <= begin:
             b += 1
         label = 0
-        for s, e, k in ordered[b : b + 4]:
-            if s < begin + len(core) and begin < e:
+        for s, e, k in islice(ordered, b, None):
+            if s >= begin + len(core):
+                break
+            if begin < e:
                 label = k + 1
                 break
         out.spans.append((begin, begin + len(core)))
@@ -255,10 +258,15 @@ def listed(spans) -> str:
 
 
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> FieldModel:
-    """Fit on the tokens of about ``sample_docs`` documents, ``sample_tokens`` tokens at most; null ids are left out."""
+    """Fit on the tokens of about ``sample_docs`` documents, ``sample_tokens`` tokens at most.
+
+    Rows with a null id are left out; null texts have no tokens; rows that
+    share an id are drawn together. An empty table, or one without tokens,
+    gives the untrained model. Other columns are not read.
+    """
     ids = docs.where(F.col(id_col).isNotNull())
     chance = min(1.0, sample_docs / max(1, ids.count()))
-    sample = ids.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1).select(F.xxhash64(F.col(id_col)).alias("doc"), text_or_empty(text_col).alias("text"))
+    sample = ids.where(in_sample(id_col, chance)).select(F.xxhash64(F.col(id_col)).alias("doc"), text_or_empty(text_col).alias("text"))
     k = len(LABELS)
 
     def run(batches):
@@ -322,7 +330,10 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, model: FieldModel, text_col="text", length_col: str | None = None) -> DataFrame:
     """``docs`` with all its columns, personal data in the text replaced by ``<KIND>``; null texts stay null.
 
-    ``length_col``, if given, becomes the code points of the new text.
+    ``length_col``, if given, becomes the code points of the new text, null
+    where that is null. Empty texts stay empty; null and repeated ids, ties and
+    repeated rows pass through, each row by itself; an empty table gives an
+    empty result; columns of any name keep their values.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

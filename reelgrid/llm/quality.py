@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import text_or_empty
+from reelgrid.llm.common import in_sample, small_side, text_or_empty, written
 from reelgrid.llm.language import held_out
 
 #: Labelled rows that are learned from, about; a fixed hash of the id picks them.
@@ -168,25 +168,31 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def _vectors(rows: DataFrame, extra: str) -> DataFrame:
-    kind = rows.schema[extra].dataType.simpleString()
-
+def _vectors(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             x = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(extra), pa.array(x, pa.list_(pa.float64()))], [extra, "x"])
+            yield pa.RecordBatch.from_arrays([b.column("order"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["order", "y", "x"])
 
-    return rows.mapInArrow(run, f"{extra} {kind}, x array<double>")
+    return rows.mapInArrow(run, "order long, y int, x array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", may_learn=None, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on about ``sample_rows`` labelled rows where ``may_learn`` holds; null labels and ids are left out."""
+    """Fit on about ``sample_rows`` labelled rows where ``may_learn`` holds, twice that at most.
+
+    Null labels and ids are left out; a null text counts as empty; labels of
+    ids without a document teach nothing, and of repeated ids each row does.
+    Empty tables give a model that scores every text alike. Other columns are
+    not read.
+    """
     pool = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     pool = pool if may_learn is None else pool.where(may_learn)
     chance = min(1.0, sample_rows / max(1, pool.count()))
-    picked = pool.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003)) < int(chance * 1_000_003) + 1).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")
-    got = sorted((r["y"], list(r["x"])) for r in _vectors(rows, "y").collect())
+    picked = pool.where(in_sample(id_col, chance)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    picked = written(picked, "picked")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(small_side(picked, 32), "id").select("y", "text", F.xxhash64("id").alias("order"))
+    drawn = _vectors(rows).orderBy("order", "y", "x").limit(2 * sample_rows)
+    got = sorted((r["y"], list(r["x"])) for r in drawn.collect())
     return fit(np.array([v for _, v in got], np.float64).reshape(-1, len(FEATURES)), np.array([y for y, _ in got], np.float64))
 
 
