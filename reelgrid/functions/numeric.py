@@ -138,3 +138,8 @@ def clip_indices(frames: Column, length: int) -> Column:
     short = F.concat(frames, F.array_repeat(F.element_at(frames, -1), F.greatest(F.lit(length) - n, F.lit(0))))
     picked = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(frames, i * step))
     return F.when(n < length, short).otherwise(picked)
+
+
+def hash_index(seed: Column, n: Column) -> Column:
+    """A whole number from 0 to below ``n``, the same for the same seed everywhere: 48 bits of its MD5."""
+    return F.conv(F.substring(F.md5(seed.cast("string")), 1, 12), 16, 10).cast("long") % n

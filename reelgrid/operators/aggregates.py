@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,19 +113,34 @@ def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def evenly_spaced(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """At most ``n`` rows at evenly spaced ranks, ends included.
+#: Ranges that a global order is cut into.
+RANGES = 256
+
+
+def evenly_spaced(df: DataFrame, order: list[str], n: int, by: list[str] = ()) -> DataFrame:
+    """At most ``n`` rows of each group at evenly spaced ranks in ``order``, ends included.
 
-    Ranks come from range partitions: counts of the partitions are summed and
-    each row adds its place in its own, so no task sees all rows.
+    The order is cut into ranges at rows that a hash picks, ``RANGES`` at most
+    whatever the table's size. A row's range depends on its values alone, so the
+    counts of the ranges and the ranks inside them agree however often the
+    table is read and however it is partitioned. No task sees all rows of a
+    group; ranges without a wanted rank are dropped before they are sorted.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_m"))
-    placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_row", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = df.count()
-    wanted = sorted({round(i * (total - 1) / max(1, min(n, total) - 1)) for i in range(min(n, total))})
-    ranks = df.sparkSession.createDataFrame([(r,) for r in wanted], "rank long")
-    ranked = placed.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_before") + F.col("_row"))
-    return ranked.join(F.broadcast(ranks), "rank", "left_semi").drop("_m", "_part", "_row", "_n", "_before")
+    place = [*by, *order]
+    picked = df.select(*place).orderBy(F.xxhash64(*place), *place).limit(RANGES).orderBy(*place).collect()
+    kinds = [df.schema[c].dataType for c in place]
+    edge = lambda r: F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(place, r, kinds, strict=True)])
+    here = F.struct(*[F.col(c) for c in place])
+    part = F.size(F.filter(F.array(*map(edge, picked)), lambda e: e < here)) if picked else F.lit(0)
+    placed = df.withColumn("_part", part)
+    sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    sums = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(group))
+    rank_of = lambda i: F.bround(i * (F.col("_total") - 1) / F.lit(max(1, n - 1)), 0).cast("long")
+    everything = F.sequence(F.lit(0).cast("long"), F.col("_total") - 1)
+    ranks = F.when(F.col("_total") <= n, everything).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), rank_of))
+    inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    wanted = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_before", inside.alias("_wanted")).where(F.size("_wanted") > 0)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_p"))
+    ranked = placed.join(wanted, same).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
+    return ranked.where(F.array_contains("_wanted", F.col("_r"))).withColumn("rank", F.col("_r")).select(*df.columns, "rank")

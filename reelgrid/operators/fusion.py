@@ -6,11 +6,11 @@ plan. Times of one call share a unit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.numeric import overlap_share
-from reelgrid.operators.aggregates import ensemble_vote, longest_visible
+from reelgrid.operators.aggregates import ensemble_vote, evenly_spaced, longest_visible
 from reelgrid.operators.intervals import first_match, left_fusion, overlap_join, point_join
 from reelgrid.operators.sequences import tumbling
 
@@ -160,8 +160,4 @@ def angle_sample(frames: DataFrame, faces: DataFrame, by: str, tolerance: float,
     big = (lambda c: F.abs(c) >= max_angle) if inclusive else (lambda c: F.abs(c) > max_angle)
     good = near.where(~big(F.col("theta_x")) & ~big(F.col("theta_y")) & (F.col("score") >= 0.85) & (F.col("height") >= 0.1))
     binned = good.withColumn("bin_x", angle_bin(F.col("theta_x"), step)).withColumn("bin_y", angle_bin(F.col("theta_y"), step))
-    w = Window.partitionBy("bin_x", "bin_y")
-    r = binned.withColumn("_r", F.row_number().over(w.orderBy(by, "frame")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    step_of = lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(1, n - 1)), 0)
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), step_of)
-    return r.where((F.col("_n") <= n) | F.array_contains(at.cast("array<bigint>"), F.col("_r").cast("bigint"))).drop("_r", "_n")
+    return evenly_spaced(binned, [by, "frame"], n, ["bin_x", "bin_y"]).drop("rank")

@@ -86,7 +86,7 @@ def node_attributes(spark, sf):
 @query(
     "class_term_weights",
     r"""
-    WITH w AS (SELECT source, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and')) AS ws FROM documents WHERE lang = 'en'),
+    WITH w AS (SELECT source, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and')) AS ws FROM documents),
     t AS (SELECT source, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) AS term FROM w),
     c AS (SELECT source, term, count(*) AS tf FROM t GROUP BY 1, 2), f AS (SELECT term, sum(tf) AS f FROM c GROUP BY 1), a AS (SELECT avg(n) AS a FROM (SELECT sum(tf) AS n FROM c GROUP BY source))
     SELECT source, term, tf, round(tf * ln(1 + a / f), 4) AS score FROM (SELECT c.*, f.f, a.a, row_number() OVER (PARTITION BY source ORDER BY tf * ln(1 + a / f) DESC, term) AS rank FROM c JOIN f USING (term), a) WHERE rank <= 15
@@ -94,7 +94,7 @@ def node_attributes(spark, sf):
 )
 def class_term_weights(spark, sf):
     """M2: class-based term weights over words and pairs, the best fifteen of each class."""
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     counts = topics.term_counts(d, "source", "text", ["the", "of", "and"])
     top = topics.top_terms(topics.class_tfidf(counts, "source"), "source")
     return top.select("source", "term", "tf", F.round("score", 4).alias("score"))
@@ -133,12 +133,35 @@ def near_vector_pairs(spark, sf):
     return tracking.near_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.75)
 
 
-@query("face_clusters")
+@query(
+    "face_clusters",
+    """
+    WITH RECURSIVE d AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    e AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM d a JOIN d b ON a.label = b.label AND a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.v, b.v) <= 0.75),
+    r(a, b) AS (SELECT vec_id, vec_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    c AS (SELECT a AS vec_id, min(b) AS root, count(*) AS n FROM r GROUP BY 1),
+    k AS (SELECT label, root, row_number() OVER (PARTITION BY label ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT label, root FROM c JOIN d USING (vec_id) WHERE n > 1))
+    SELECT d.label, vec_id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM c JOIN d USING (vec_id) LEFT JOIN k ON k.label = d.label AND k.root = c.root AND c.n > 1
+    """,
+)
 def face_clusters(spark, sf):
-    """Density clusters of a video's vectors."""
+    """M1: density clusters of a video's vectors."""
     return tracking.cluster_vectors(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.75)
 
 
+@query("reduced_face_clusters")
+def reduced_face_clusters(spark, sf):
+    """M1: clusters over the principal axes that hold 95 % of a video's variance; SQL has no such axes, a test recomputes them."""
+    return tracking.cluster_vectors(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.5, keep_variance=0.95)
+
+
+@query("diverse_class_terms")
+def diverse_class_terms(spark, sf):
+    """M2: ten terms of each class by relevance and difference (0.7); a fold, held against plain code in a test."""
+    counts = topics.term_counts(table(spark, sf, "documents"), "source", "text", ["the", "of", "and"])
+    return topics.diverse_terms(topics.class_tfidf(counts, "source"), "source", 0.7)
+
+
 @query("face_tracks")
 def face_tracks(spark, sf):
     """Greedy overlap tracks; sequential, so rows only."""

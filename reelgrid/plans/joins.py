@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import numeric as N
 from reelgrid.functions.vectors import dot
 from reelgrid.operators import intervals as I
+from reelgrid.operators.topics import best_by_label, fixed_vectors
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
 
@@ -228,20 +229,21 @@ def positional_lists(spark, sf):
 @query(
     "prompt_scores",
     """
-    WITH f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0),
-    p AS (SELECT vec_id AS prompt, label, embedding::DOUBLE[] AS pe FROM embeddings WHERE vec_id % 50 = 0),
+    WITH f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    p AS (SELECT label, embedding::DOUBLE[] AS pe FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 4),
     s AS (SELECT f.vec_id, label, max(list_dot_product(e, pe)) AS best FROM f, p GROUP BY ALL)
     SELECT vec_id, label, round(best, 6) AS best, round(exp(best) / sum(exp(best)) OVER (PARTITION BY vec_id), 6) AS prob FROM s
     """,
 )
 def prompt_scores(spark, sf):
-    """Frames against a fixed set of prompts, best per label, softmax over labels."""
+    """Every frame against a fixed set of prompts (four vectors a label), best per label, softmax over labels, all inside the row."""
     e = table(spark, sf, "embeddings")
-    prompts = e.where("vec_id % 50 = 0").select("label", F.col("embedding").alias("pe"))
-    s = e.where("vec_id % 10 <> 0").select("vec_id", "embedding").crossJoin(F.broadcast(prompts))
-    best = s.groupBy("vec_id", "label").agg(F.max(dot(F.col("embedding"), F.col("pe"))).alias("best"))
-    prob = F.exp("best") / F.sum(F.exp("best")).over(Window.partitionBy("vec_id"))
-    return best.select("vec_id", "label", F.round("best", 6).alias("best"), F.round(prob, 6).alias("prob"))
+    first = e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rn <= 4")
+    kind = e.schema["label"].dataType.simpleString()
+    scored = e.select("vec_id", best_by_label(F.col("embedding"), fixed_vectors(first, "label", "embedding"), dot, kind).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x["best"]))
+    each = scored.withColumn("total", total).select("vec_id", "total", F.inline("s"))
+    return each.select("vec_id", "label", F.round("best", 6).alias("best"), F.round(F.exp("best") / F.col("total"), 6).alias("prob"))
 
 
 @query("bin_grid", "SELECT CAST(l_discount * 100 AS BIGINT) // 3 AS bx, CAST(l_tax * 100 AS BIGINT) // 2 AS by_, count(*) AS n FROM lineitem GROUP BY ALL")

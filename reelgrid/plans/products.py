@@ -142,12 +142,31 @@ def annotation_categories(spark, sf):
     return tiers.annotation_statistics(t)
 
 
-@query("graph_documents")
+def _graph(spark, sf):
+    c = table(spark, sf, "customer")
+    n = c.selectExpr("c_nationkey AS video_id", "c_name AS id", "map('type', c_mktsegment, 'region', cast(c_nationkey % 5 AS string)) AS attrs")
+    e = c.selectExpr("c_nationkey AS video_id", "c_name AS src", "concat('hub <', c_custkey % 5, '>') AS dst", "cast(c_custkey AS double) / 4 AS weight")
+    return n, e
+
+
+GRAPH = """
+    SELECT c_nationkey AS video_id, 'node' AS kind, c_name AS id, NULL::VARCHAR AS dst, 'type' AS attr, 'string' AS type, c_mktsegment AS value FROM customer
+    UNION ALL SELECT c_nationkey, 'node', c_name, NULL, 'region', 'long', CAST(c_nationkey % 5 AS VARCHAR) FROM customer
+    UNION ALL SELECT c_nationkey, 'edge', c_name, 'hub <' || (c_custkey % 5) || '>', 'weight', 'double', CAST(CAST(c_custkey AS DOUBLE) / 4 AS VARCHAR) FROM customer
+    """
+
+
+@query("graph_documents", GRAPH)
 def graph_documents(spark, sf):
-    """K3, K4: one graph document a region; text, so rows only."""
-    n = table(spark, sf, "nation").selectExpr("n_regionkey AS video_id", "n_name AS id", "map('type', 'nation', 'region', cast(n_regionkey AS string)) AS attrs")
-    e = table(spark, sf, "nation").selectExpr("n_regionkey AS video_id", "n_name AS src", "concat('NATION_', n_nationkey % 5) AS dst", "cast(n_nationkey AS double) AS weight")
-    return sinks.graph_documents(n, e)
+    """K3: one graph document a nation with typed attributes, read back."""
+    docs = sinks.graph_documents(*_graph(spark, sf), types={"region": "long"})
+    return readers.parsed_graphs(docs, "video_id", "xml")
+
+
+@query("graph_pages", "SELECT video_id, kind, id, dst, attr, value FROM (" + GRAPH + ")")
+def graph_pages(spark, sf):
+    """K4: one self-contained page a graph, its data read back."""
+    return readers.parsed_pages(sinks.graph_pages(*_graph(spark, sf)), "video_id", "html")
 
 
 @query(
@@ -200,7 +219,19 @@ def model_slots(spark, sf):
     return d.select("doc_id", F.expr("array_max(transform(sentiment, x -> struct(x.prob, x.label))).label").alias("label"), *[n for n in SLOTS if n != "sentiment"])
 
 
-@query("calibration_sample")
+@query(
+    "calibration_sample",
+    """
+    WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type, value % 40 - 20 AS tx, CAST(event_id % 50 - 25 AS DOUBLE) AS ty FROM events),
+    f AS (SELECT * FROM e WHERE event_type = 'click'), g AS (SELECT * FROM e WHERE event_type <> 'click'),
+    p AS (SELECT f.user_id, f.event_id AS frame, f.t, g.t AS pt, g.tx AS px, g.ty AS py FROM f ASOF LEFT JOIN g ON f.user_id = g.user_id AND f.t >= g.t),
+    n AS (SELECT f.event_id AS frame, g.t AS nt, g.tx AS nx, g.ty AS ny FROM f ASOF LEFT JOIN g ON f.user_id = g.user_id AND f.t < g.t),
+    m AS (SELECT user_id, frame, t, CASE WHEN nt IS NULL OR t - pt <= nt - t THEN pt ELSE nt END AS ft, CASE WHEN nt IS NULL OR t - pt <= nt - t THEN px ELSE nx END AS tx, CASE WHEN nt IS NULL OR t - pt <= nt - t THEN py ELSE ny END AS ty FROM p JOIN n USING (frame)),
+    b AS (SELECT user_id, frame, CAST(floor(abs(tx) / 2) AS BIGINT) AS bin_x, CAST(floor(abs(ty) / 2) AS BIGINT) AS bin_y FROM m WHERE abs(t - ft) <= 7200000000 AND abs(tx) <= 20 AND abs(ty) <= 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bin_x, bin_y ORDER BY user_id, frame) - 1 AS r, count(*) OVER (PARTITION BY bin_x, bin_y) AS n FROM b)
+    SELECT user_id, frame, bin_x, bin_y FROM r WHERE n <= 5 OR r IN (SELECT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) FROM (SELECT unnest([0, 1, 2, 3, 4]) AS i))
+    """,
+)
 def calibration_sample(spark, sf):
     """Faces nearest to frames, small angles, an even sample of each pair of bins."""
     e = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))

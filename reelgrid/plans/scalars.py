@@ -15,8 +15,8 @@ from reelgrid.plans.registry import query, table
     "text_basics",
     r"""
     SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words,
-           regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g') AS stripped,
-           array_to_string(regexp_extract_all(substr(text, 1, 80), '\S+'), ' ') AS joined,
+           sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped,
+           sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS joined,
            trim(regexp_replace(split_part(text, chr(10), 1), '\.+$', ''), ' ') AS undotted,
            substr(text, 1, 24999) = text AS whole,
            len(regexp_extract_all(text, '\S+')) >= 25 AS long_enough,
@@ -30,8 +30,8 @@ def text_basics(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id",
         T.word_count(t).cast("long").alias("n_words"),
-        T.strip(F.substring(t, 1, 60)).alias("stripped"),
-        T.join_words(T.words(F.substring(t, 1, 80))).alias("joined"),
+        F.sha2(T.strip(t), 256).alias("stripped"),
+        F.sha2(T.join_words(T.words(t)), 256).alias("joined"),
         T.strip_dots(F.substring_index(t, "\n", 1)).alias("undotted"),
         (F.substring(t, 1, 24999) == t).alias("whole"),
         (T.word_count(t) >= 25).alias("long_enough"),
@@ -155,9 +155,22 @@ def text_chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.word_chunks(F.col("text"))).alias("chunk", "words")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query("text_char_chunks")
+@query(
+    "text_char_chunks",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+    c AS (SELECT doc_id, word, i, sum(len(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM p),
+    j AS (SELECT c.doc_id, c.i, greatest(c.i, coalesce(d.i, 0)) AS last FROM c ASOF LEFT JOIN c d ON c.doc_id = d.doc_id AND c.upto - len(c.word) - 1 + 129 >= d.upto),
+    n AS (SELECT doc_id, list(last ORDER BY i) AS lasts FROM j GROUP BY 1),
+    r(doc_id, chunk, i) AS (SELECT doc_id, 0, 1::BIGINT FROM n UNION ALL SELECT r.doc_id, chunk + 1, lasts[r.i] + 1 FROM r JOIN n ON n.doc_id = r.doc_id WHERE lasts[r.i] < len(lasts)),
+    k AS (SELECT r.doc_id, chunk, r.i, lasts[r.i] AS last, len(ws[1]) > 128 AS over, ws FROM r JOIN n USING (doc_id) JOIN w USING (doc_id))
+    SELECT doc_id, chunk + over::INT AS chunk, array_to_string(ws[i : last], ' ') AS words FROM k
+    UNION ALL SELECT doc_id, 0, '' FROM w WHERE len(ws[1]) > 128
+    """,
+)
 def text_char_chunks(spark, sf):
-    """Greedy chunks of at most 128 characters, cut at words; a fold, so rows only."""
+    """Greedy chunks of at most 128 characters, cut at words."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "words"))
 
 
@@ -256,11 +269,11 @@ def frame_sampling(spark, sf):
     )
 
 
-@query("random_frame")
+@query("random_frame", "SELECT p_partkey, p_partkey + CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 12) AS BIGINT) % p_size AS frame FROM part")
 def random_frame(spark, sf):
     """One frame a shot, picked by a hash of the shot, so that a repeat picks the same."""
     p = table(spark, sf, "part")
-    return p.select("p_partkey", (F.col("p_partkey") + F.pmod(F.xxhash64("p_partkey"), F.col("p_size"))).alias("frame"))
+    return p.select("p_partkey", (F.col("p_partkey") + N.hash_index(F.col("p_partkey"), F.col("p_size"))).alias("frame"))
 
 
 @query(

@@ -88,9 +88,22 @@ def topic_degrees(spark, sf):
     return degrees(S.transitions(A.segments(spark, sf), "video_id", ["start_us", "idx"], "speaker"))
 
 
-@query("timeline_spans")
+@query(
+    "timeline_spans",
+    f"""WITH RECURSIVE {A.INTERVALS},
+    v AS (SELECT video_id, s::DOUBLE AS s, e::DOUBLE AS e, lead(s::DOUBLE) OVER w AS nxt, row_number() OVER w AS i FROM intervals WHERE e > s WINDOW w AS (PARTITION BY video_id ORDER BY e, seg_id % 2, seg_id)),
+    f(video_id, i, reached, kind, before) AS (
+        SELECT DISTINCT video_id, 0::BIGINT, 0.0::DOUBLE, 'none', 0.0::DOUBLE FROM v
+        UNION ALL
+        SELECT video_id, i, CASE kind WHEN 'attach' THEN CASE WHEN abs(nxt - e) < 30 THEN nxt ELSE e END WHEN 'none' THEN reached ELSE e END, kind, reached
+        FROM (SELECT v.*, f.reached, CASE WHEN v.s - f.reached >= 0 AND v.s - f.reached < 30 THEN 'attach' WHEN v.s - f.reached > 30 THEN 'filler' WHEN v.e > f.reached THEN 'tail' ELSE 'none' END AS kind
+              FROM f JOIN v ON v.video_id = f.video_id AND v.i = f.i + 1)),
+    o AS (SELECT f.video_id, f.i, 1 AS k, before AS "start", CASE WHEN kind = 'filler' THEN v.s ELSE reached END AS "end" FROM f JOIN v ON v.video_id = f.video_id AND v.i = f.i WHERE kind <> 'none'
+          UNION ALL SELECT f.video_id, f.i, 2, v.s, v.e FROM f JOIN v ON v.video_id = f.video_id AND v.i = f.i WHERE kind = 'filler')
+    SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY i, k) - 1 AS span, "start", "end" FROM o""",
+)
 def timeline_spans(spark, sf):
-    """A gap-free timeline of two kinds of intervals, by their end; a fold, so rows only."""
+    """A gap-free timeline of two kinds of intervals, by their end."""
     v = A.intervals(spark, sf).where("e > s")
     both = v.select("video_id", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), (F.col("seg_id") % 2).alias("source_order"), "seg_id")
     return S.spans(both, "video_id", "s", "e", ["source_order", "seg_id"], 30.0)
@@ -189,19 +202,21 @@ def median_filter(spark, sf):
 @query(
     "interpolated_track",
     """
-    WITH o AS (SELECT o_custkey AS track, CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS f, max(o_totalprice) AS x FROM orders WHERE o_custkey < 40 GROUP BY 1, 2),
+    WITH o AS (SELECT o_custkey AS track, CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS f, max(o_totalprice) AS x FROM orders GROUP BY 1, 2),
     g AS (SELECT track, unnest(generate_series(min(f), max(f))) AS f FROM o GROUP BY 1),
     n AS (SELECT g.track, g.f, x, last_value(CASE WHEN x IS NOT NULL THEN g.f END IGNORE NULLS) OVER a AS pf, last_value(x IGNORE NULLS) OVER a AS px,
                  first_value(CASE WHEN x IS NOT NULL THEN g.f END IGNORE NULLS) OVER b AS nf, first_value(x IGNORE NULLS) OVER b AS nx
           FROM g LEFT JOIN o ON o.track = g.track AND o.f = g.f
           WINDOW a AS (PARTITION BY g.track ORDER BY g.f), b AS (PARTITION BY g.track ORDER BY g.f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT track, f, CASE WHEN nf = pf THEN px ELSE px + (nx - px) * (f - pf) / (nf - pf) END AS x FROM n
+    SELECT track, f // 64 AS block, count(*) AS n, round(sum(x) + 0.00031234, 2) AS total, round(min(x) + 0.00031234, 2) AS low, round(max(x) + 0.00031234, 2) AS high
+    FROM (SELECT track, f, CASE WHEN nf = pf THEN px ELSE px + (nx - px) * (f - pf) / (nf - pf) END AS x FROM n) GROUP BY ALL
     """,
 )
 def interpolated_track(spark, sf):
-    """Linear interpolation between observed frames."""
-    o = table(spark, sf, "orders").where("o_custkey < 40").groupBy(F.col("o_custkey").alias("track"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("f")).agg(F.max("o_totalprice").alias("x"))
-    return S.interpolated(o, "track", "f", ["x"])
+    """Linear interpolation between observed frames, summed up over blocks of 64 frames; the shift keeps sums off the ties of rounding."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("track"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("f")).agg(F.max("o_totalprice").alias("x"))
+    full = S.interpolated(o, "track", "f", ["x"])
+    return full.groupBy("track", F.floor(F.col("f") / 64).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") + 0.00031234, 2).alias("total"), F.round(F.min("x") + 0.00031234, 2).alias("low"), F.round(F.max("x") + 0.00031234, 2).alias("high"))
 
 
 @query(

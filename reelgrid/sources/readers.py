@@ -85,9 +85,32 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return parsed_annotations(files, "file", "value")
 
 
+_GRAPH = "struct<key:array<struct<_id:string,`_attr.name`:string,`_attr.type`:string>>,graph:struct<node:array<struct<_id:string,data:array<struct<_key:string,_VALUE:string>>>>,edge:array<struct<_source:string,_target:string,data:array<struct<_key:string,_VALUE:string>>>>>>"
+
+
+def parsed_graphs(docs: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, kind, id, dst, attr, type, value) of graph documents held as text, a row for each attribute."""
+    d = docs.select(key, F.from_xml(xml, _GRAPH).alias("d"))
+    names = F.map_from_entries(F.transform("d.key", lambda k: F.struct(k["_id"], F.struct(k["_attr.name"].alias("attr"), k["_attr.type"].alias("type")))))
+    none = F.lit(None).cast("string")
+    nodes = F.transform("d.graph.node", lambda n: F.struct(F.lit("node").alias("kind"), n["_id"].alias("id"), none.alias("dst"), n["data"].alias("data")))
+    edges = F.transform("d.graph.edge", lambda e: F.struct(F.lit("edge").alias("kind"), e["_source"].alias("id"), e["_target"].alias("dst"), e["data"].alias("data")))
+    # An absent list stands for an empty one.
+    some = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: x.isNotNull())
+    each = d.select(key, names.alias("names"), F.explode(F.concat(some(nodes), some(edges))).alias("x")).select(key, "names", "x.*", F.explode("x.data").alias("a"))
+    return each.select(key, "kind", "id", "dst", F.element_at("names", F.col("a._key"))["attr"].alias("attr"), F.element_at("names", F.col("a._key"))["type"].alias("type"), F.col("a._VALUE").alias("value"))
+
+
+def parsed_pages(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, kind, id, dst, attr, value) of graph pages held as text."""
+    data = F.regexp_extract(html, r'(?s)<script id="data" type="application/json">(.*?)</script>', 1)
+    rows = docs.select(key, F.explode(F.from_json(data, "array<struct<kind:string,id:string,dst:string,attrs:map<string,string>>>")).alias("x"))
+    return rows.select(key, "x.kind", "x.id", "x.dst", F.explode("x.attrs").alias("attr", "value"))
+
+
 def sorted_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path) of matching files in order of their name."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").orderBy("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path").orderBy("path")
 
 
 def audio_slices(intervals: DataFrame, files: DataFrame, rate: int = 16_000, least: float = 1.0, most: float = 100.0) -> DataFrame:
