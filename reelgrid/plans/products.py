@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions.models import SLOTS, apply_model
-from reelgrid.operators import fusion, tiers
+from reelgrid.operators import classify, fusion, tiers
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
 from reelgrid.sources import readers, sinks
+from reelgrid.sources.staging import staging
 from reelgrid.streaming import events as V
 
 
@@ -61,18 +62,71 @@ def face_analysis(spark, sf):
     return out.select("face_id", "track_id", "cluster_id", "gaze", "speaking", "emotions")
 
 
-@query("turn_feature_vectors")
-def turn_feature_vectors(spark, sf):
-    """Role and situation features of turns; long vectors, so rows only."""
+TURN_FEATURES = f"""WITH {A.INTERVALS}, {A.POINTS},
+    v AS (SELECT video_id, seg_id AS idx, s::DOUBLE AS s, e::DOUBLE AS e FROM intervals WHERE e > s),
+    l AS (SELECT * FROM v WHERE e - s >= 1),
+    w AS (SELECT video_id, idx, 0 AS length, 0::BIGINT AS win, s AS ws, e AS we FROM l
+          UNION ALL SELECT video_id, idx, length, win, s + win * length, least(s + win * length + length, e) FROM (SELECT *, unnest(generate_series(0, CAST(ceil((e - s) / length) AS BIGINT) - 1)) AS win FROM l, (VALUES (180), (365)) x(length))),
+    m AS (SELECT w.video_id, idx, length, win, avg(value / 50) FILTER (label = 'A') AS la, avg(value / 50) FILTER (label = 'N') AS ln, avg(value / 50) FILTER (label = 'R') AS lr, coalesce(avg(value / 50), 0) AS d
+          FROM w LEFT JOIN points p ON p.video_id = w.video_id AND p.t BETWEEN ws AND we GROUP BY 1, 2, 3, 4),
+    h AS (SELECT w.video_id, w.idx, length, win, count(v.idx) AS shots FROM w LEFT JOIN v ON v.video_id = w.video_id AND v.s < we AND v.e > ws GROUP BY 1, 2, 3, 4),
+    f AS (SELECT w.*, v.idx AS seg, (least(v.e, we) - greatest(v.s, ws)) / (v.e - v.s) AS share FROM w JOIN v ON v.video_id = w.video_id AND v.s < we AND v.e > ws),
+    z AS (SELECT video_id, idx, length, win, avg(seg % 7 / 7.0) AS p, avg(seg % 5 / 5.0) AS n, avg(seg % 3 / 3.0) AS u FROM f WHERE share >= 0.8 GROUP BY 1, 2, 3, 4),
+    a AS (SELECT video_id, idx, length, [coalesce(avg(la), 0), coalesce(avg(ln), 0), coalesce(avg(lr), 0)] AS lab, avg(d) AS d,
+                 [quantile_cont(coalesce(p, 0), 0.8), quantile_cont(coalesce(n, 0), 0.8), quantile_cont(coalesce(u, 0), 0.8)] AS q, [avg(coalesce(p, 0)), avg(coalesce(n, 0)), avg(coalesce(u, 0))] AS s, avg(shots) AS shots
+          FROM m JOIN h USING (video_id, idx, length, win) LEFT JOIN z USING (video_id, idx, length, win) GROUP BY 1, 2, 3),
+    g AS (SELECT video_id, idx, min(seg) FILTER (seg % 3 <> 0) AS tag, min(seg) AS flag FROM f WHERE length = 0 AND share > 0.7 GROUP BY 1, 2),
+    r AS (SELECT l.video_id, l.idx, l.e - l.s AS len,
+                 [CASE WHEN tag IS NULL THEN 0.0 ELSE (i * tag % 3) / 15.0 END for i in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]] AS pos,
+                 [CASE WHEN flag IS NULL THEN 0.0 ELSE ((i + flag) % 2)::DOUBLE END for i in [1, 2, 3, 4, 5, 6]] AS ner, [(l.idx % (i + 1)) / 8.0 for i in [1, 2, 3, 4, 5, 6]] AS ctx
+          FROM l LEFT JOIN g USING (video_id, idx)),
+    o AS (SELECT r.video_id, r.idx, list_concat(list_concat(list_concat(a0.lab, [len, a0.d, a0.shots]), a0.s), list_concat(list_concat(pos, ner), ctx)) AS seg,
+                 list_concat(list_concat(list_concat(list_concat(a1.lab, [a1.d]), list_concat(a1.q, [a1.shots])), list_concat(list_concat(a2.lab, [a2.d]), list_concat(a2.q, [a2.shots]))), list_concat([len], list_concat(list_concat(pos, ner), ctx))) AS sw
+          FROM r JOIN a a0 ON a0.video_id = r.video_id AND a0.idx = r.idx AND a0.length = 0 JOIN a a1 ON a1.video_id = r.video_id AND a1.idx = r.idx AND a1.length = 180 JOIN a a2 ON a2.video_id = r.video_id AND a2.idx = r.idx AND a2.length = 365)
+    SELECT video_id, idx, array_to_string([CAST(round(x * 10000 + 0.0137) AS BIGINT) for x in seg], ',') AS seg_feature, array_to_string([CAST(round(x * 10000 + 0.0137) AS BIGINT) for x in sw], ',') AS sw_feature FROM o
+    """
+
+
+def _turn_features(spark, sf):
     v = A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end")
     p = A.points(spark, sf).selectExpr("video_id", "cast(t AS double) AS t", "value / 50 AS value", "label")
-    seg = v.selectExpr("video_id", "start AS s", "end AS e", "cast(idx AS int) AS idx")
-    sent = seg.selectExpr("video_id", "s", "e", "0.5 AS positive", "0.3 AS negative", "0.2 AS neutral")
+    seg = v.selectExpr("video_id", "start AS s", "end AS e", "idx")
+    sent = seg.selectExpr("video_id", "s", "e", "idx % 7 / 7 AS positive", "idx % 5 / 5 AS negative", "idx % 3 / 3 AS neutral")
     pos = seg.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: (i * F.col("idx")) % 3))
     ner = seg.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (i + F.col("idx")) % 2))
-    ctx = v.select("video_id", "idx", F.array(*[F.lit(0.25)] * 4).alias("context"))
-    out = fusion.turn_features(v, p, p.select("video_id", "t", F.col("value").alias("y")), seg.select("video_id", "s", "e"), sent, pos, ner, ctx, ["A", "N", "R"], [180.0, 365.0], 365)
-    return out.select("video_id", "idx", F.size("seg_feature").alias("n_seg"), F.size("sw_feature").alias("n_sw"), F.round(F.aggregate("seg_feature", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    ctx = v.select("video_id", "idx", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.col("idx") % (i + 1)) / 8.0).alias("context"))
+    return fusion.turn_features(v, p, p.select("video_id", "t", F.col("value").alias("y")), seg.select("video_id", "s", "e"), sent, pos, ner, ctx, ["A", "N", "R"], [180.0, 365.0], 365)
+
+
+@query("turn_feature_vectors", TURN_FEATURES)
+def turn_feature_vectors(spark, sf):
+    """All values of the role and situation features of turns, in ten-thousandths."""
+    # The shift keeps values off the ties of rounding.
+    digits = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 10000 + 0.0137).cast("long").cast("string")), ",").alias(c)
+    return _turn_features(spark, sf).select("video_id", "idx", digits("seg_feature"), digits("sw_feature"))
+
+
+def _voted(spark, sf, names, label):
+    """Two ensembles fitted on the turns of even videos, a forest over whole turns and a tree over windows, voting on all turns."""
+    path = staging(spark, "turn_features")
+    _turn_features(spark, sf).withColumn("label", label).write.parquet(path)
+    turns = spark.read.schema("video_id long, idx long, seg_feature array<double>, sw_feature array<double>, label int").parquet(path)
+    known = turns.where("video_id % 2 = 0")
+    models = [("seg_feature", classify.fit_ensemble(known, "seg_feature", "label")), ("sw_feature", classify.fit_ensemble(known, "sw_feature", "label", "tree"))]
+    return fusion.voted_labels(classify.ensemble_votes(turns, models, ["video_id", "idx"]), names)
+
+
+@query("turn_roles")
+def turn_roles(spark, sf):
+    """Voted roles of turns from tree ensembles; fitted models, so a test holds them against their teacher."""
+    label = F.when(F.element_at("seg_feature", 4) < 60, 0).when(F.element_at("seg_feature", 6) < 2, 1).otherwise(2)
+    return _voted(spark, sf, {0: "anchor", 1: "reporter", 2: "guest"}, label)
+
+
+@query("turn_situations")
+def turn_situations(spark, sf):
+    """Voted situations of turns from tree ensembles; as turn_roles."""
+    return _voted(spark, sf, {0: "studio", 1: "interview"}, (F.element_at("seg_feature", 6) > 1).cast("int"))
 
 
 @query(
@@ -108,14 +162,36 @@ def _timed(spark, sf):
     UNION ALL SELECT video_id, 'topic', start_ms, end_ms, CASE WHEN idx % 3 = 0 THEN 'topic' || idx % 7 ELSE 'None' END FROM m WHERE start_ms < end_ms
     UNION ALL SELECT video_id, 'active_speaker', start_ms, end_ms, CASE WHEN idx % 2 = 0 THEN 'Yes' ELSE 'No' END FROM m WHERE start_ms < end_ms
     UNION ALL SELECT video_id, 'speaker_role', start_ms, end_ms, 'role' FROM m WHERE start_ms < end_ms
-    UNION ALL SELECT video_id, 'situation', start_ms, end_ms, 'studio' FROM m WHERE start_ms < end_ms""",
+    UNION ALL SELECT video_id, 'situation', start_ms, end_ms, 'studio' FROM m WHERE start_ms < end_ms
+    UNION ALL SELECT video_id, 'speaker_audio_clf', start_ms, end_ms, CASE WHEN idx % 4 = 0 THEN '' ELSE 'Speech, ' || speaker END FROM m WHERE start_ms < end_ms
+    UNION ALL SELECT video_id, 'speaker_audio_prob', start_ms, end_ms, CASE WHEN idx % 4 = 0 THEN '' ELSE '0.75, 0.25' END FROM m WHERE start_ms < end_ms""",
 )
 def annotation_tiers(spark, sf):
     """Shots, turns, topics and speakers as tiers in milliseconds."""
     t = _timed(spark, sf)
     topics = t.where("idx % 3 = 0").selectExpr("video_id", "idx", "concat('topic', idx % 7) AS topic")
     meta = t.selectExpr("*", "idx % 2 = 0 AS active", "'role' AS role_l1", "'studio' AS situation")
-    return tiers.shot_tier(t).unionByName(tiers.turn_tiers(t)).unionByName(tiers.topic_tier(t, topics)).unionByName(tiers.speaker_tiers(meta))
+    top = F.when(F.col("idx") % 4 != 0, F.array(*[F.struct(x.alias("label"), F.lit(p).alias("prob")) for x, p in ((F.lit("Speech"), 0.75), (F.col("speaker"), 0.25))]))
+    audio = tiers.audio_tiers(t.withColumn("top3", top), "speaker_audio")
+    return tiers.shot_tier(t).unionByName(tiers.turn_tiers(t)).unionByName(tiers.topic_tier(t, topics)).unionByName(tiers.speaker_tiers(meta)).unionByName(audio)
+
+
+@query(
+    "frame_majority_tiers",
+    f"""WITH {A.INTERVALS}, v AS (SELECT * FROM intervals WHERE e > s),
+    f AS (SELECT o_custkey AS video_id, CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS t, l_returnflag AS label, l_orderkey * 10 + l_linenumber AS label_idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    j AS (SELECT video_id, t, string_agg(label, '_' ORDER BY label_idx) AS joined FROM f GROUP BY 1, 2),
+    c AS (SELECT v.video_id, seg_id, joined, count(*) AS n FROM v JOIN j ON j.video_id = v.video_id AND j.t BETWEEN s AND e GROUP BY 1, 2, 3),
+    b AS (SELECT *, row_number() OVER (PARTITION BY video_id, seg_id ORDER BY n DESC, joined) AS rn FROM c)
+    SELECT v.video_id, name AS tier, CAST(s AS BIGINT) * 1000 AS start_ms, CAST(e AS BIGINT) * 1000 AS end_ms, coalesce(joined, 'None') AS value FROM v LEFT JOIN b ON b.video_id = v.video_id AND b.seg_id = v.seg_id AND rn = 1, (VALUES ('social_roles'), ('locations'), ('events')) x(name)""",
+)
+def frame_majority_tiers(spark, sf):
+    """K5: tiers of social roles, locations and events, each the majority over the frames of a shot."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    frames = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("video_id"), F.unix_date(F.col("l_shipdate").cast("date")).cast("double").alias("t"), F.col("l_returnflag").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label_idx"))
+    shots = A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end")
+    parts = [tiers.majority_tier(shots, frames, name, 365) for name in ("social_roles", "locations", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
