@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,27 +86,35 @@ def spans(intervals: DataFrame, by: str, start: str, end: str, order: list[str],
     and if the gap equals the tolerance, only the part after the running end is
     taken, if there is one.
 
-    The fold runs inside the JVM over the intervals of one video.
+    The fold runs over one video's intervals in an Arrow function, in linear time.
     """
-    item = F.struct(F.col(end).alias("e"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(start).alias("s"))
-    rows = intervals.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(F.col("v"), i + 1)["s"].alias("nxt"))))
-    kind = intervals.schema[end].dataType.simpleString()
-    empty = F.struct(F.lit(None).cast(kind).alias("at"), F.array().cast(f"array<struct<s:{kind},e:{kind}>>").alias("out"))
-    span = lambda s, e: F.struct(s.cast(kind).alias("s"), e.cast(kind).alias("e"))
-
-    def step(acc, x):
-        at = F.coalesce(acc["at"], F.lit(0).cast(kind))
-        gap = x["s"] - at
-        stretched = F.when(F.abs(x["nxt"] - x["e"]) < tolerance, x["nxt"]).otherwise(x["e"])
-        attach = F.struct(stretched.cast(kind).alias("at"), F.concat(acc["out"], F.array(span(at, stretched))).alias("out"))
-        filler = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(span(at, x["s"]), span(x["s"], x["e"]))).alias("out"))
-        tail = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(span(at, x["e"]))).alias("out"))
-        same = F.struct(at.alias("at"), acc["out"].alias("out"))
-        return F.when((gap >= 0) & (gap < tolerance), attach).when(gap > tolerance, filler).when(x["e"] > at, tail).otherwise(same)
-
-    folded = rows.select(by, F.posexplode(F.aggregate("v", empty, step, lambda acc: acc["out"])).alias("span", "x"))
-    return folded.select(by, "span", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    kind, key = intervals.schema[end].dataType.simpleString(), intervals.schema[by].dataType.simpleString()
+    item = intervals.select(by, F.col(start).alias("s"), F.col(end).alias("e"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    names = [f"o{i}" for i in range(len(order))]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("e", *names, "s")])
+        starts, ends = table["s"].to_pylist(), table["e"].to_pylist()
+        at, out = 0, []
+        for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+            gap = s - at
+            if 0 <= gap < tolerance:
+                reached = starts[i + 1] if i + 1 < len(starts) and abs(starts[i + 1] - e) < tolerance else e
+                out.append((at, reached))
+            elif gap > tolerance:
+                reached = e
+                out += [(at, s), (s, e)]
+            elif e > at:
+                reached = e
+                out.append((at, e))
+            else:
+                continue
+            at = reached
+        schema = table.schema
+        cols = [pa.repeat(table[by][0], len(out)), pa.array(range(len(out)), pa.int32()), pa.array([s for s, _ in out], schema.field("e").type), pa.array([e for _, e in out], schema.field("e").type)]
+        return pa.Table.from_arrays(cols, names=[by, "span", "start", "end"])
+
+    return item.groupBy(by).applyInArrow(run, f"{by} {key}, span int, start {kind}, end {kind}")
 
 
 def chain_edges(df: DataFrame, by: str, order: list[str], node: str) -> DataFrame:
@@ -123,6 +132,39 @@ def tumbling(turns: DataFrame, start: str, end: str, lengths: list, snap=None) -
     return rows.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("w_start", F.col("_s") + F.col("win") * F.col("length")).withColumn("w_end", F.least(F.col("w_start") + F.col("length"), F.col(end))).drop("_s")
 
 
+def pooled_windows(turns: DataFrame, points: DataFrame, by: str, idx: str, start: str, end: str, t: str, value: str, lengths: list, snap, width: float, quantile: float = 0.8) -> DataFrame:
+    """(by, idx, length, n_windows, mean, quantile): the means of ``value`` in the windows of ``tumbling``, pooled over each turn.
+
+    A point is joined once with the turns it lies in; its windows, two where it
+    stands on a closed boundary, follow by arithmetic. Windows without a point
+    count as zero. A row without a point stands for each turn and length, so
+    nothing is joined back.
+    """
+    from reelgrid.operators.intervals import point_join
+
+    rows = turns.where(F.col(end) > F.col(start)).select(by, idx, (F.floor(F.col(start) / snap) * snap).alias("_s"), F.col(end).alias("_e"))
+    n_of = lambda length: F.ceil((F.col("_e") - F.col("_s")) / length)
+    x = F.col(t) - F.col("_s")
+
+    def places(length):
+        k = F.floor(x / length)
+        at = F.filter(F.array(F.when(k < n_of(length), k), F.when((x % length == 0) & (k > 0), k - 1)), lambda w: w.isNotNull())
+        return F.transform(at, lambda w: F.struct(F.lit(length).alias("length"), w.alias("win"), n_of(length).alias("n")))
+
+    hits = point_join(points.select(by, t, value), rows, by, t, "_s", "_e", width)
+    each = hits.select(by, idx, value, F.explode(F.concat(*[places(x) for x in lengths])).alias("w")).select(by, idx, "w.*", value)
+    none = F.array(*[F.struct(F.lit(x).alias("length"), F.lit(None).cast("long").alias("win"), n_of(x).alias("n")) for x in lengths])
+    seeds = rows.select(by, idx, F.explode(none).alias("w")).select(by, idx, "w.*", F.lit(None).cast("double").alias(value))
+    means = each.unionByName(seeds).groupBy(by, idx, "length", "win").agg(F.avg(value).alias("m"), F.max("n").alias("n"))
+    turn = means.groupBy(by, idx, "length").agg(F.max("n").alias("n_windows"), F.collect_list("m").alias("_m"))
+    full = turn.withColumn("_v", F.array_sort(F.concat("_m", F.array_repeat(F.lit(0.0), (F.col("n_windows") - F.size("_m")).cast("int")))))
+    rank = (F.col("n_windows") - 1) * quantile
+    low = F.floor(rank).cast("int")
+    lower, upper = F.get("_v", low), F.coalesce(F.get("_v", low + 1), F.get("_v", low))
+    total = F.aggregate("_m", F.lit(0.0), lambda a, v: a + v)
+    return full.select(by, idx, "length", "n_windows", (total / F.col("n_windows")).alias("mean"), (lower + (upper - lower) * (rank - low)).alias("quantile"))
+
+
 def fixed_chunks(df: DataFrame, start: str, end: str, length, rest: bool) -> DataFrame:
     """Chunks of one length. ``rest`` keeps the last, shorter one; without it a longer row loses it, and a short row is one chunk."""
     span = F.col(end) - F.col(start)

@@ -131,15 +131,10 @@ WINDOWS = f"""WITH {A.INTERVALS}, {A.POINTS}, v AS (SELECT * FROM intervals WHER
 )
 def tumbling_multi(spark, sf):
     """Windows of several lengths in a turn, closed at both ends, means and their 0.8 quantile."""
-    from reelgrid.operators.intervals import point_join
-
-    v = A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id", "cast(s as long) s", "cast(e as long) e")
-    w = S.tumbling(v, "s", "e", [180, 365, 730], 7)
-    keys = ["video_id", "seg_id", "length", "win"]
-    hits = point_join(A.points(spark, sf), w.select(*keys, "w_start", "w_end"), "video_id", "t", "w_start", "w_end", 365).groupBy(*keys).agg(F.avg("value").alias("m"))
-    full = w.select(*keys).join(hits, keys, "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
-    out = full.groupBy("video_id", "seg_id", "length").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.8), 6).alias("q80"))
-    return out.withColumn("length", F.col("length").cast("long"))
+    v = A.intervals(spark, sf).selectExpr("video_id", "seg_id", "cast(s as long) s", "cast(e as long) e")
+    p = A.points(spark, sf).select("video_id", F.col("t").cast("long").alias("t"), "value")
+    out = S.pooled_windows(v, p, "video_id", "seg_id", "s", "e", "t", "value", [180, 365, 730], 7, 365)
+    return out.select("video_id", "seg_id", F.col("length").cast("long").alias("length"), "n_windows", F.round("mean", 6).alias("mean"), F.round("quantile", 6).alias("q80"))
 
 
 @query(

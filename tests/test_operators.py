@@ -199,3 +199,106 @@ def test_model_slots(spark):
     assert apply_model(df, "caption", F.col("t"), "c").first().c == "X"
     with pytest.raises(KeyError):
         register("nothing", lambda s: s)
+
+
+def test_even_samples_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300kB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        df = spark.range(200_000).repartition(9).select((F.col("id") * 7919 % 200_003).alias("v"), "id", F.repeat(F.lit("x"), 64).alias("payload"), (F.col("id") % 3).alias("g"))
+        out = G.evenly_spaced(df, ["v", "id"], 100).collect()
+        every = [r.v for r in df.orderBy("v", "id").collect()]
+        wanted = [round(i * (len(every) - 1) / 99) for i in range(100)]
+        assert sorted((r["rank"], r.v) for r in out) == [(i, every[i]) for i in wanted]
+        # One group holds nearly all rows, one has a null name, one fewer rows than asked for.
+        skewed = df.withColumn("g", F.when(F.col("id") < 3, 1).when(F.col("id") < 50, None).otherwise(2))
+        picked = G.evenly_spaced(skewed, ["v", "id"], 5, ["g"]).groupBy("g").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+        assert {(r.g, r.n, r.last) for r in picked} == {(1, 3, 2), (None, 5, 46), (2, 5, 199_949)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert G.evenly_spaced(df.limit(0), ["v"], 5).count() == 0
+
+
+def test_topics_assigned_in_the_row(spark):
+    from reelgrid.operators import topics
+
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "i int, v array<double>")
+    centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "topic int, v array<double>")
+    assert got(topics.assign_topics(docs, "v", centres, "topic"), "i", "topic") == [(1, 0), (1, 0), (2, 1), (3, 0), (4, None)]
+    assert got(topics.assign_topics(docs, "v", centres, "topic", 0.9), "i", "topic")[3] == (3, -1)
+    assert got(topics.assign_topics(docs, "v", centres.limit(0), "topic"), "topic") == [(None,)] * 5
+    with pytest.raises(ValueError):
+        topics.fixed_vectors(centres, "topic", "v", 1)
+    assert got(topics.class_centres(docs.withColumn("t", F.col("i") % 2), "t", "v"), "t", "v") == [(0, [0.0, 1.0]), (1, [1.0, 1 / 3])]
+
+
+def test_diverse_terms_against_plain_code(spark):
+    from reelgrid.operators import topics
+
+    rows = [("a", "rain", 9.0), ("a", "rains", 8.9), ("a", "sun", 5.0), ("a", "wind", 4.0), ("b", "x", 1.0)]
+    out = got(topics.diverse_terms(spark.createDataFrame(rows, "t string, term string, score double").withColumn("tf", F.lit(1)), "t", 0.7, k=3), "t", "pick", "term")
+
+    def grams(t):
+        return {t[i : i + 2] for i in range(max(1, len(t) - 1))}
+
+    def plain(items, k):
+        done = []
+        while items and len(done) < k:
+            worth = lambda x: 0.7 * x[1] / 9.0 - 0.3 * max([len(grams(x[0]) & grams(d)) / len(grams(x[0]) | grams(d)) for d in done], default=0.0)
+            done.append(max(items, key=worth)[0])
+            items = [x for x in items if x[0] not in done]
+        return done
+
+    assert out == [("a", i, w) for i, w in enumerate(plain([(w, s) for t, w, s in rows if t == "a"], 3))] + [("b", 0, "x")]
+
+
+def test_clusters_on_principal_axes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(3, 12)) * 4
+    rows = [(1, i, (centres[i % 3] + rng.normal(size=12) * 0.1).tolist()) for i in range(30)] + [(1, 30, (rng.normal(size=12) * 4).tolist())]
+    df = spark.createDataFrame(rows, "v int, i int, e array<double>")
+    out = {r.i: r.cluster for r in tracking.cluster_vectors(df, "v", "i", "e", 0.2, keep_variance=0.95).collect()}
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x - x.mean(axis=0)
+    values, axes = np.linalg.eigh(c.T @ c)
+    order = np.argsort(values)[::-1]
+    n = int(np.searchsorted(np.cumsum(values[order]) / values.sum(), 0.95)) + 1
+    y = c @ axes[:, order[:n]]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = 1 - y @ y.T <= 0.2
+    reach = np.linalg.matrix_power((near | np.eye(31, dtype=bool)).astype(float), 8) > 0
+    for i in range(31):
+        for j in range(31):
+            if i != j:
+                assert reach[i, j] == (out[i] == out[j] != -1)
+    assert n < 12 and len(set(out.values()) - {-1}) >= 3
+
+
+def test_ensembles_learn_their_teacher(spark):
+    from reelgrid.operators import classify
+
+    df = spark.range(600).select("id", F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double")).alias("f"), F.when(F.col("id") % 40 < 10, 0).when(F.col("id") % 7 < 3, 1).otherwise(2).alias("label"))
+    models = [("f", classify.fit_ensemble(df.where("id % 2 = 0"), "f", "label", kind, trees=5, depth=4)) for kind in ("forest", "boosted", "tree")]
+    votes = classify.ensemble_votes(df, models, ["id"])
+    assert votes.count() == 1800
+    voted = fusion.voted_labels(votes.withColumnRenamed("id", "video_id").withColumn("idx", F.lit(0)), {0: "x", 1: "y", 2: "z"}, confidence=0.5)
+    right = voted.join(df, voted.video_id == df.id).where(F.col("name") == F.element_at(F.array(*map(F.lit, "xyz")), F.col("label") + 1)).count()
+    assert right >= 580
+    with pytest.raises(ValueError):
+        classify.fit_ensemble(df, "f", "label", "none")
+
+
+def test_graph_pages_hold_closing_tags(spark):
+    n = spark.createDataFrame([("v", "a</script>", {"t": "x\"<&"})], "video_id string, id string, attrs map<string,string>")
+    e = spark.createDataFrame([("v", "a</script>", "b", 1.5)], "video_id string, src string, dst string, weight double")
+    pages = sinks.graph_pages(n, e)
+    assert pages.first().html.count("</script>") == 2
+    assert got(readers.parsed_pages(pages, "video_id", "html"), "kind", "id", "dst", "attr", "value") == [("edge", "a</script>", "b", "weight", "1.5"), ("node", "a</script>", None, "t", 'x"<&')]
+    assert got(readers.parsed_graphs(sinks.graph_documents(n, e), "video_id", "xml"), "kind", "attr", "type", "value") == [("edge", "weight", "double", "1.5"), ("node", "t", "string", 'x"<&')]
