@@ -19,11 +19,12 @@ Groups cost about their size, not its square. First the holders of each key
 with more than ``CROWDED`` of them are compared with one leader: the holder
 that is most at home in crowded keys, so the middle of its group. What is
 linked falls into components. Nodes that are near each other by the leaders,
-linked or not, form families; those of over ``BUSY`` nodes are busy. Then
-pairs of different components are compared: those of two busy nodes are asked
-for by the node of the smaller component, in keys where a larger one is held,
-on all words inside the join; all others by the index as it is. No link between
-components is lost.
+linked or not, form families; the nodes of families of over ``BUSY`` are busy,
+and so is, in ``TOUCHES`` rounds, what has one of them in its balls. Pairs of
+busy nodes are compared only between different components: the node of the
+smaller one asks, in keys where a larger one is held, and all words are tested
+inside the join. The index gives the pairs of all other nodes, and of what the
+last round added. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.common import keyed_rows, scratch, small_side, text_or_empty, unused, written
@@ -43,7 +44,13 @@ from reelgrid.llm.line_dedup import mixed
 from reelgrid.llm.simhash import BITS, PLACES
 from reelgrid.llm.sketches import shingles
 
-WIDTH, SIMILARITY, RECALL, CROWDED, BUSY = 5, 0.8, 0.99, 4, 16
+WIDTH, SIMILARITY, RECALL, CROWDED, BUSY, TOUCHES = 5, 0.8, 0.99, 4, 16, 2
+#: A key of a segment is held by about two to the power of this, by chance.
+OCCUPANCY = 4
+#: Words whose segments find leaders.
+LED_WORDS = 4
+#: Segments that are looked at to emit a busy pair once.
+ONCE = 32
 #: Words of 64 bits of the wide distance test, the first not among them.
 WIDE = 63
 #: Sets of so many shingles at most also meet by their rarest shingles.
@@ -52,6 +59,8 @@ SHORT = 36
 LOSS = 1e-5
 #: Keys from here on are shingles, keys below are segments: their number above ``SEGMENT_BITS`` bits.
 SHINGLE, SEGMENT_BITS = 1 << 61, 48
+#: Mixing with seed 100 after adding so many strides is mixing with the seeds that follow.
+STRIDE = np.uint64(0x9E3779B97F4A7C15)
 #: Marks a node's own key, where pairs are fetched from one side only.
 OWN = 1 << 62
 
@@ -75,7 +84,7 @@ def bit_odds(similarity: float, short: bool = False) -> float:
 def layout(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a segment, segments) for so many rows."""
     p = bit_odds(similarity)
-    width = min(SEGMENT_BITS, max(16, math.ceil(math.log2(max(2, rows))) - 1))
+    width = min(SEGMENT_BITS, max(12, math.ceil(math.log2(max(2, rows))) - OCCUPANCY))
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     return width, segments
@@ -116,19 +125,22 @@ def fingerprint_words(own: np.ndarray, first: int, last: int) -> bytes:
         return bytes(8 * (last - first))
     out, step = [], max(1, (1 << 16) // n)
     for at in range(first, last, step):
-        h = np.stack([own if i == 0 else mixed(own, 100 + i) for i in range(at, min(last, at + step))])
+        number = np.arange(at, min(last, at + step), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            h = mixed(own[None] + (number * STRIDE)[:, None], 100)
+        if at == 0:
+            h[0] = own
         places = h.astype(">u8").view(np.uint8).reshape(len(h), n, 8) + PLACES + 2048 * np.arange(len(h))[:, None, None]
         counts = np.bincount(places.ravel(), minlength=2048 * len(h)).reshape(-1, 256)
         out.append(np.packbits((2 * (counts @ BITS) > n).ravel()).tobytes())
     return b"".join(out)
 
 
-def segment_keys(words: np.ndarray, width: int, segments: int) -> np.ndarray:
-    """For each row of fingerprint words, a key for each segment: its number above its bits."""
-    per = 64 // width
-    number = np.arange(segments)
-    bits = words[:, number // per] >> (number % per * width).astype(np.uint64) & np.uint64((1 << width) - 1)
-    return bits.astype(np.int64) + (number.astype(np.int64) << SEGMENT_BITS)
+def segment_keys(words: Column, width: int, segments: int) -> Column:
+    """A key for each segment of an array of fingerprint words: its number above its bits."""
+    per, mask = 64 // width, F.lit((1 << width) - 1)
+    bits = lambda j: F.shiftrightunsigned(words[j // per], j % per * width).bitwiseAND(mask)
+    return F.array(*[bits(j).bitwiseOR(F.lit(j << SEGMENT_BITS)) for j in range(segments)])
 
 
 def prefix_size(n, similarity: float):
@@ -140,21 +152,18 @@ def _words(raw: list[bytes], count: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), count)
 
 
-def _fingerprints(rows: DataFrame, width: int, segments: int, shingle: int) -> DataFrame:
-    """uid, hash of the set, the first two words, segment keys, and the shingles of short sets."""
-    words = 1 + -(-segments // (64 // width))
+def _fingerprints(rows: DataFrame, words: int, shingle: int) -> DataFrame:
+    """uid, hash of the set, first word, ``words`` words, and the shingles of short sets."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
-            w = _words([fingerprint_words(s, 0, words) for s in sets], words)
-            firsts = w.view(np.int64)[:, :2]
-            keys = pa.array(segment_keys(w[:, 1:], width, segments).tolist(), pa.list_(pa.int64()))
+            w = _words([fingerprint_words(s, 0, 1 + words) for s in sets], 1 + words).view(np.int64)
             few = pa.array([s.view(np.int64).tolist() if len(s) <= SHORT else None for s in sets], pa.list_(pa.int64()))
             names = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("uid"), names, *(pa.array(np.ascontiguousarray(firsts[:, i])) for i in range(2)), keys, few], ["uid", "set", "fp", "c0", "keys", "few"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), names, pa.array(np.ascontiguousarray(w[:, 0])), pa.array(list(w[:, 1:]), pa.list_(pa.int64())), few], ["uid", "set", "fp", "words", "few"])
 
-    return rows.mapInArrow(run, "uid long, set binary, fp long, c0 long, keys array<bigint>, few array<bigint>")
+    return rows.mapInArrow(run, "uid long, set binary, fp long, words array<bigint>, few array<bigint>")
 
 
 def _features(rows: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
@@ -199,20 +208,19 @@ def _alike(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFram
     return both.where(common >= similarity * (sizes - common)).select("u", "v")
 
 
-def _with_short_keys(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``nodes`` whose keys include, for short sets, those of their rarest shingles that another short set has too."""
+def _short_keys(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(uid, more): for short sets, the keys of their rarest shingles that another short set has too."""
     has = written(nodes.where(F.size("few") > 0).select("uid", F.size("few").alias("n"), F.explode("few").alias("x")), "few")
     counts = has.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     ranked = has.join(counts, "x").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("by"))
     least = F.filter(F.slice("by", 1, prefix_size(F.col("n"), similarity)), lambda s: s["df"] > 1)
     keys = F.transform(least, lambda s: s["x"].bitwiseAND(F.lit(SHINGLE - 1)).bitwiseOR(F.lit(SHINGLE)))
-    more = written(ranked.select("uid", keys.alias("more")).where(F.size("more") > 0), "more")
-    return nodes.join(small_side(more, 96), "uid", "left").select("uid", "fp", "c0", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.concat("keys", "more")).alias("keys"))
+    return ranked.select("uid", keys.alias("more")).where(F.size("more") > 0)
 
 
 def _led(nodes: DataFrame, rows: DataFrame, similarity: float, shingle: int, crowded: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Pairs of holders of crowded keys with their leaders: (features of their nodes, near pairs, links); None if no key is crowded."""
-    entries = nodes.select("uid", "fp", "c0", F.explode("keys").alias("key"))
+    entries = nodes.select("uid", "fp", "c0", F.explode("leading").alias("key"))
     counts = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded), "crowded")
     if not counts.limit(1).count():
         return None
@@ -237,20 +245,37 @@ def _probes(keys, width: int, busy):
     return F.when(busy, F.concat(keys, balls)).otherwise(F.concat(F.transform(keys, lambda k: k.bitwiseOR(F.lit(OWN))), upper))
 
 
-def _across_index(placed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs of different components, not both busy, that the index fetches and 128 bits let pass."""
-    table = placed.where(~F.col("busy")).select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.col("root").alias("v_root"), F.explode("keys").alias("held"))
-    probes = placed.select(F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.col("root").alias("u_root"), F.explode(_probes(F.col("keys"), width, F.col("busy"))).alias("k"))
+def _touched(plain: DataFrame, asking: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The nodes of ``plain`` that ``asking`` have in their balls, near on 128 bits; no pair is made."""
+    table = plain.select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
+    probes = asking.select(F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("k"))
+    return table.join(probes, (F.col("k") == F.col("held")) & _near(similarity, F.col("held") >= SHINGLE), "left_semi").select(F.col("v").alias("uid")).distinct()
+
+
+def _across_index(plain: DataFrame, late: DataFrame | None, width: int, similarity: float) -> DataFrame:
+    """Pairs that the index fetches and 128 bits let pass: of ``plain`` nodes, and of these with ``late`` ones."""
+    side = lambda t, all_around: t.select(F.col("uid").alias("u"), F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.explode(_probes(F.col("keys"), width, F.lit(all_around))).alias("k"))
+    table = plain.select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
+    probes = side(plain, False) if late is None else side(plain, False).union(side(late, True))
     key, is_own = F.col("k").bitwiseAND(F.lit(OWN - 1)), F.col("k") >= OWN
-    # The root is null where a node is alone.
-    other = F.col("u_root").isNull() | ~F.col("u_root").eqNullSafe(F.col("v_root"))
     near = _near(similarity, F.col("held") >= SHINGLE) & (F.col("u") != F.col("v")) & (~is_own | (F.col("u") < F.col("v")))
-    return probes.join(table, (key == F.col("held")) & near & other).select("u", "v")
+    return probes.join(table, (key == F.col("held")) & near).select("u", "v")
+
+
+def _first_meeting(width: int, segments: int):
+    """True where no segment before that of ``key`` is within one bit: a pair that meets in several comes out of one."""
+    per, number = 64 // width, F.shiftright("key", SEGMENT_BITS)
+    earlier = F.lit(False)
+    for j in range(min(segments - 1, ONCE)):
+        mask = ((1 << width) - 1) << (j % per * width)
+        apart = F.col("u_wide")[j // per].bitwiseXOR(F.col("v_wide")[j // per]).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        earlier = earlier | ((number > j) & (F.bit_count(apart) <= 1))
+    return (F.col("key") >= SHINGLE) | ~earlier
 
 
-def _across_busy(placed: DataFrame, sizes: DataFrame, features: DataFrame, width: int, similarity: float) -> DataFrame:
+def _across_busy(placed: DataFrame, sizes: DataFrame, features: DataFrame, width: int, segments: int, similarity: float) -> DataFrame:
     """Pairs of busy nodes of different components that pass the wide test; the node of the smaller component asks."""
-    rooted = placed.where("busy").withColumn("root", F.coalesce("root", "uid")).join(small_side(sizes, 16), "root", "left")
+    rooted = placed.join(small_side(sizes, 16), "root", "left")
     rank = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.col("root"))
     busy = written(rooted.select("uid", "fp", "c0", "keys", rank.alias("rank")).join(features.select("uid", "wide", "short"), "uid"), "busy")
     side = lambda name, keys: busy.select(F.col("uid").alias(name), F.col("rank").alias(f"{name}_rank"), F.explode(keys).alias("key"))
@@ -258,50 +283,65 @@ def _across_busy(placed: DataFrame, sizes: DataFrame, features: DataFrame, width
     top = written(held.groupBy("key").agg(F.max("v_rank").alias("top")), "top")
     asks = written(side("u", _probes(F.col("keys"), width, F.lit(True))).join(small_side(top, 32), "key").where("top > u_rank").drop("top"), "asks")
     whole = lambda name: _side(busy, name, "fp", "c0", "wide", "short")
-    fits = (F.col("v_rank") > F.col("u_rank")) & _near(similarity, F.col("key") >= SHINGLE) & _near_wide(similarity)
+    fits = (F.col("v_rank") > F.col("u_rank")) & _near(similarity, F.col("key") >= SHINGLE) & _near_wide(similarity) & _first_meeting(width, segments)
     return asks.join(whole("u"), "u").join(held.join(whole("v"), "v"), "key").where(fits).select("u", "v")
 
 
 def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED, busy: int = BUSY) -> DataFrame:
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
-    width, segments = layout(rows.count(), similarity, recall)
-    fps = written(_fingerprints(rows, width, segments, shingle), "fingerprints")
+    n = rows.count()
+    width, segments = layout(n, similarity, recall)
+    words = max(LED_WORDS, -(-segments // (64 // width)))
+    fps = written(_fingerprints(rows, words, shingle), "fingerprints")
     least = fps.groupBy("set").agg(F.min("uid").alias("node"))
     named = written(fps.select("uid", "set").join(least, "set").select("uid", "node"), "named")
     twins = named.where("uid <> node").select("uid")
-    nodes = fps.join(small_side(twins, 8), "uid", "left_anti").drop("set")
-    nodes = written(_with_short_keys(nodes, similarity), "nodes")
+    nodes = written(fps.join(small_side(twins, 8), "uid", "left_anti").drop("set"), "nodes")
+    more = written(_short_keys(nodes, similarity), "more")
+    every = F.coalesce("more", F.array().cast("array<bigint>"))
+    # Leaders are found by wider segments, so that what shares a key is rarely chance.
+    lead = min(SEGMENT_BITS, max(16, math.ceil(math.log2(max(2, n)))))
+    keys, leading = segment_keys(F.col("words"), width, segments), segment_keys(F.col("words"), lead, LED_WORDS * (64 // lead))
+    nodes = nodes.join(small_side(more, 96), "uid", "left").select("uid", "fp", F.col("words")[0].alias("c0"), F.concat(keys, every).alias("keys"), F.concat(leading, every).alias("leading"))
     led = _led(nodes, rows, similarity, shingle, crowded)
-    placed = nodes.withColumn("root", F.lit(None).cast("long")).withColumn("busy", F.lit(False))
+    plain, late = nodes, None
     if led:
-        features, near, links = led
+        features, close, links = led
         roots = written(components(links), "roots")
-        families = written(components(near), "families")
+        families = written(components(close), "families")
         large = written(families.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy).select("root"), "large")
-        crowd = written(families.join(small_side(large, 8), "root", "left_semi").select("node"), "crowd")
-        marks = crowd.select(F.col("node").alias("uid"), F.lit(True).alias("busy"))
-        linked = roots.select(F.col("node").alias("uid"), "root")
-        placed = nodes.join(small_side(linked, 16), "uid", "left").join(small_side(marks, 9), "uid", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
-    pairs = written(_ordered(_across_index(placed, width, similarity)), "pairs")
+        crowd = written(families.join(small_side(large, 8), "root", "left_semi").select(F.col("node").alias("uid")), "crowd")
+        new = crowd
+        for _ in range(TOUCHES):
+            plain = nodes.join(small_side(crowd, 8), "uid", "left_anti")
+            late = nodes.join(small_side(new, 8), "uid", "left_semi")
+            new = written(_touched(plain, late, width, similarity), "touched")
+            crowd = written(crowd.union(new), "crowd")
+        plain = nodes.join(small_side(crowd, 8), "uid", "left_anti")
+        late = nodes.join(small_side(new, 8), "uid", "left_semi")
+    pairs = written(_ordered(_across_index(plain, late, width, similarity)), "pairs")
     if led:
+        apart = _rooted(_rooted(pairs, "u", roots, "u_root"), "v", roots, "v_root").where("u_root <> v_root").select("u", "v")
+        pairs = written(apart, "pairs")
+        more = _ends(pairs).union(crowd).distinct().join(small_side(features.select("uid"), 8), "uid", "left_anti")
+        features = features.union(written(_features(rows, written(more, "ends"), shingle), "features"))
         sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-        wide = written(_ordered(_across_busy(placed, sizes, features, width, similarity)), "wide")
-        new = written(_ends(pairs).join(small_side(features.select("uid"), 8), "uid", "left_anti"), "ends")
-        features = features.union(written(_features(rows, new, shingle), "features"))
+        placed = _rooted(nodes.join(small_side(crowd, 8), "uid", "left_semi"), "uid", roots)
+        wide = written(_ordered(_across_busy(placed, sizes, features, width, segments, similarity)), "wide")
+        near = _still_near(pairs, features, similarity).union(wide)
     else:
         features = written(_features(rows, written(_ends(pairs), "ends"), shingle), "features")
-    near = _still_near(pairs, features, similarity)
-    near = written(near.union(wide) if led else near, "near")
-    links = written(_alike(near, features, similarity), "links")
+        near = _still_near(pairs, features, similarity)
+    links = written(_alike(written(near, "near"), features, similarity), "links")
     if led:
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
     return _rooted(named, "node", written(components(links), "roots")).select("uid", "root")
 
 
-def _rooted(df: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str = "root") -> DataFrame:
     """``df`` with the root of its node, which is the node itself where nothing links it."""
-    known = roots.select(F.col("node").alias(node), "root")
-    return df.join(small_side(known, 16), node, "left").withColumn("root", F.coalesce("root", node))
+    known = roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    return df.join(small_side(known, 16), node, "left").withColumn(name, F.coalesce(name, node))
 
 
 def without_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, shingle: int = WIDTH) -> DataFrame:

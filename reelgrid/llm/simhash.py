@@ -32,7 +32,7 @@ from reelgrid.llm.components import components
 HOT = 512
 
 #: For each byte position and value, the eight bits.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 PLACES = (np.arange(8) * 256).astype(np.int64)
 
 
