@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Paths of written tables, one list for each open scope.
 _scopes: list[list] = []
+#: Paths of tables written outside any scope, which go when the session's Python ends, or by ``sweep``.
+_left: list[tuple] = []
 
 
 @contextmanager
@@ -47,6 +53,19 @@ def scratch():
             _delete(spark, path)
 
 
+def sweep() -> None:
+    """Delete the tables written so far outside any scope. Results that were not saved elsewhere can't be read afterwards."""
+    while _left:
+        _delete(*_left.pop())
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    # The JVM may be gone by now; then nothing is left to ask.
+    with suppress(Exception):
+        sweep()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -57,14 +76,16 @@ def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks that read the table
     again, never the work that made it. ``outer`` hands the table to the scope
-    around the innermost one; without a scope it stays in the folder, since a
-    result may be read at any time.
+    around the innermost one; without a scope it stays until the session's
+    Python ends or ``sweep`` is called, since a result may be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     if len(_scopes) > outer:
         _scopes[-1 - outer].append((spark, path))
+    else:
+        _left.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -98,16 +119,29 @@ def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(df) if fits else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand workers so many rows at once, that a batch of long texts stays small beside a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def in_sample(id_col: str, chance):
     """True for a share ``chance`` (number or column) of all ids, by 62 bits of a fixed hash; false for null ids."""
     return F.col(id_col).isNotNull() & (F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2) < (F.lit(2.0**62) * chance).cast("long"))
 
 
+def in_pieces(batches, rows: int = 500, most: int = 8 << 20):
+    """Arrow batches cut to ``rows`` rows and, beyond one row, ``most`` bytes of text: what Python holds of them stays small."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(size)
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))
+            end = min(b.num_rows, at + rows, max(at + 1, fits))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

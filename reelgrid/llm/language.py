@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import in_sample, text_or_empty
+from reelgrid.llm.common import in_pieces, in_sample, text_or_empty
 
 #: Vectors: so many hashed two-byte and so many hashed three-byte counts.
 BUCKETS = 2048
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", ma
     sample = pool.where(in_sample("id", chance)).withColumn("order", F.xxhash64("id"))
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             b = b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
             v = ngram_counts(b.column("text").to_pylist()).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("lang"), pa.array([r.tobytes() for r in v], pa.binary())], ["order", "lang", "v"])
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             got = held.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], ["id", "lang_pred", "score", "ambiguous"])
 
@@ -180,7 +180,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col="text") -> D
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             got = held.value.predict(b.column(text_col).to_pylist())
             yield b.filter(pa.array([not ambiguous for _, _, ambiguous in got], pa.bool_()))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import BLANKS, BROADCAST_BYTES, text_or_empty, written
+from reelgrid.llm.common import BLANKS, BROADCAST_BYTES, in_pieces, text_or_empty, written
 
 #: Keys in a shard, about.
 SHARD_KEYS = 250_000
@@ -122,7 +122,7 @@ def _emit(min_chars: int):
     """Batches of (id, text) to one row for each document and distinct long line."""
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             hashes, docs = [], []
             for i, text in zip(_ids(b.column("id")).tolist(), b.column("text").to_pylist(), strict=True):
                 own = set(line_hashes(text.split("\n"), min_chars)) - {b""}
@@ -138,7 +138,7 @@ def _rewrite(min_chars: int, lookup):
     """Batches to (id, n_lines, n_dropped, text). ``lookup(ids, hashes, batch, rows)`` says which hashed lines go."""
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             ids = _ids(b.column("id"))
             split = [t.split("\n") for t in b.column("text").to_pylist()]
             hashed = [line_hashes(lines, min_chars) for lines in split]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import keyed_rows, scratch, small_side, text_or_empty, unused, written
+from reelgrid.llm.common import in_pieces, keyed_rows, scratch, small_side, text_or_empty, unused, written
 from reelgrid.llm.components import components
 from reelgrid.llm.line_dedup import mixed
 from reelgrid.llm.simhash import BITS, PLACES
@@ -156,7 +156,7 @@ def _fingerprints(rows: DataFrame, words: int, shingle: int) -> DataFrame:
     """uid, hash of the set, first word, ``words`` words, and the shingles of short sets."""
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             w = _words([fingerprint_words(s, 0, 1 + words) for s in sets], 1 + words).view(np.int64)
             few = pa.array([s.view(np.int64).tolist() if len(s) <= SHORT else None for s in sets], pa.list_(pa.int64()))
@@ -170,7 +170,7 @@ def _features(rows: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
     """uid, wide words, short, and the shingle set of each row whose uid is in ``used``."""
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             wide = pa.array(list(_words([fingerprint_words(s, 1, 1 + WIDE) for s in sets], WIDE).view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("uid"), wide, pa.array([len(s) <= SHORT for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["uid", "wide", "short", "shingles"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import default_vocab, token_ids
-from reelgrid.llm.common import text_or_empty, written
+from reelgrid.llm.common import in_pieces, text_or_empty, written
 
 #: Pieces in a packing group, about.
 GROUP_PIECES = 20_000
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", vocab: str | None
 
     def cut(batches):
         ids_of = token_ids(path)
-        for b in batches:
+        for b in in_pieces(batches):
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = ids_of(text) + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import BLANKS, in_sample, text_or_empty
+from reelgrid.llm.common import BLANKS, in_pieces, in_sample, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -270,7 +270,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", sample_docs: int =
     k = len(LABELS)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             docs, places, rows = [], [], []
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
                 t = tokens(text, base_spans(text))
@@ -302,7 +302,7 @@ def find(docs: DataFrame, model: FieldModel, id_col="doc_id", text_col="text") -
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             texts = b.column("text").to_pylist()
             base = [base_spans(t) for t in texts]
             more = added_spans(held.value, [tokens(t, s) for t, s in zip(texts, base, strict=True)])
@@ -339,7 +339,7 @@ def redacted(docs: DataFrame, model: FieldModel, text_col="text", length_col: st
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             texts = b.column(at).to_pylist()
             base = [base_spans(t or "") for t in texts]
             more = added_spans(held.value, [tokens(t or "", s) for t, s in zip(texts, base, strict=True)])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import in_sample, small_side, text_or_empty, written
+from reelgrid.llm.common import in_pieces, in_sample, small_side, text_or_empty, written
 from reelgrid.llm.language import held_out
 
 #: Labelled rows that are learned from, about; a fixed hash of the id picks them.
@@ -170,7 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def _vectors(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["order", "y", "x"])
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col="doc_id", text_col="text
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             x = np.array([features(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(held.value.score(x), pa.float64())], ["id", "score"])
 

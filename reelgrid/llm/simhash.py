@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import scratch, small_side, text_or_empty, written
+from reelgrid.llm.common import in_pieces, scratch, small_side, text_or_empty, written
 from reelgrid.llm.components import components
 
 #: Distinct fingerprints with one half in common, above which balls are looked up whole.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", width: int =
     """(id, fp): the 64-bit fingerprint of each row as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             raw = b"".join([fingerprint(t, width) for t in b.column("text").to_pylist()])
             fp = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], ["id", "fp"])

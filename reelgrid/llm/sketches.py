@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import text_or_empty
+from reelgrid.llm.common import in_pieces, text_or_empty
 from reelgrid.llm.line_dedup import NO_ID, mixed
 
 K = 128
 WIDTH = 5
-#: Rows of a bucket of neighbouring ids, about.
-BUCKET_ROWS = 4_000
+#: Rows of a bucket of neighbouring ids, about, until there are so many buckets; then buckets grow, read row by row.
+BUCKET_ROWS, MOST_BUCKETS = 4_000, 20_000
+#: Places drawn for each bucket's edge.
+PICKS = 16
 #: One odd factor for each place in a shingle.
 FACTORS = mixed(np.arange(64, dtype=np.uint64), 1) | np.uint64(1)
 
@@ -77,10 +79,15 @@ def decoded(s: str) -> np.ndarray:
 
 
 def document_sketches(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, width: int = WIDTH) -> DataFrame:
-    """id_col, fingerprint, n_distinct for each row; null text counts as empty, other columns are not read."""
+    """id_col, fingerprint, n_distinct for each row of ``docs``.
+
+    Null text counts as empty; a text without a word has the empty fingerprint
+    and no shingle; null and repeated ids and repeated rows pass through; an
+    empty table gives an empty result; other columns are not read.
+    """
 
     def run(batches):
-        for b in batches:
+        for b in in_pieces(batches):
             own = [sketch(t, k, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([encoded(s) for s in own], pa.string()), pa.array([distinct_count(s, k) for s in own], pa.float64())], ["id", "fingerprint", "n_distinct"])
 
@@ -89,11 +96,16 @@ def document_sketches(docs: DataFrame, id_col="doc_id", text_col="text", k: int
 
 
 def merged_sketches(sketched: DataFrame, by: list[str], k: int = K) -> DataFrame:
-    """The sketch of all documents of each group: partial merges on the map side keep at most ``k`` hashes a group and task."""
+    """key (JSON of ``by``), fingerprint: the sketch of all documents of each group.
+
+    Partial merges on the map side keep at most ``k`` hashes a group and task.
+    A null fingerprint counts as empty; nulls in ``by`` are groups of their
+    own; repeated rows change nothing; an empty table gives an empty result.
+    """
 
     def partial(batches):
         held: dict = {}
-        for b in batches:
+        for b in in_pieces(batches):
             for key, s in zip(b.column("key").to_pylist(), b.column("fingerprint").to_pylist(), strict=True):
                 new = decoded(s or "")
                 held[key] = merge(held[key], new, k=k) if key in held else new[:k]
@@ -105,32 +117,46 @@ def merged_sketches(sketched: DataFrame, by: list[str], k: int = K) -> DataFrame
     return once.repartition("key").mapInArrow(partial, schema)
 
 
+def _cuts(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most ``MOST_BUCKETS`` places (key, mix) that part ``rows`` into ranges of about ``BUCKET_ROWS`` or more, from a sample drawn by hash."""
+    parts = min(MOST_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
+    if parts == 1:
+        return []
+    chance = min(1.0, parts * PICKS / n)
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("key", "mix"), 2) < F.lit(int(2.0**62 * chance))).select("key", "mix").limit(4 * parts * PICKS).collect()
+    places = sorted((r["key"], r["mix"]) for r in drawn)
+    return sorted({places[i * len(places) // parts] for i in range(1, parts)}) if places else []
+
+
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """``rows`` with their bucket of neighbouring keys, and the first rows of each bucket also, marked ``halo``, in the bucket before it.
+    """``rows`` (key, mix, id, text) with their bucket of neighbours, and the first rows of each bucket also, marked ``halo``, in the bucket before it.
 
-    Buckets follow quantiles of the key. What reaches the driver is two numbers
-    a bucket. The first bucket in descending order follows the last.
+    Buckets are ranges of (key, mix), so rows of one key part too. What reaches
+    the driver is a bounded number of places and one row a bucket. The first
+    bucket in descending order follows the last.
     """
-    n = rows.count()
-    parts = max(1, -(-n // BUCKET_ROWS))
-    cuts = sorted({int(x) for x in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    cuts = _cuts(rows, rows.count())
     group = max(1, math.isqrt(len(cuts)))
     chunks = [cuts[i : i + group] for i in range(0, len(cuts), group)]
-    below = lambda values: F.size(F.filter(values, lambda c: c < F.col("key")))
+    before = lambda c: (c["k"] < F.col("key")) | ((c["k"] == F.col("key")) & (c["m"] < F.col("mix")))
+    below = lambda keys, mixes: F.size(F.filter(F.arrays_zip(keys.alias("k"), mixes.alias("m")), before))
     if cuts:
-        at = below(F.lit([c[0] for c in chunks]).cast("array<bigint>"))
-        inside = below(F.element_at(F.lit(chunks).cast("array<array<bigint>>"), F.greatest(at, F.lit(1))))
+        lit = lambda values, kind: F.lit(values).cast(kind)
+        at = below(lit([c[0][0] for c in chunks], "array<bigint>"), lit([c[0][1] for c in chunks], "array<bigint>"))
+        own = F.greatest(at, F.lit(1))
+        inside = below(*[F.element_at(lit([[x[i] for x in c] for c in chunks], "array<array<bigint>>"), own) for i in range(2)])
         bucket = F.when(at == 0, 0).otherwise((at - 1) * group + inside)
     else:
         bucket = F.lit(0)
     rows = rows.withColumn("bucket", bucket.cast("long"))
-    tops = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    halo = rows.sparkSession.createDataFrame([(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)], "key long, above long")
-    placed = rows.join(F.broadcast(halo), "key", "left")
+    tops = sorted((r["bucket"], *r["top"]) for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "mix")).alias("top")).collect())
+    halo = rows.sparkSession.createDataFrame([(k, m, tops[(i + 1) % len(tops)][0]) for i, (_, k, m) in enumerate(tops)], "key long, mix long, above long")
+    # One row a bucket, and buckets are bounded in number.
+    placed = rows.join(F.broadcast(halo), ["key", "mix"], "left")
     place = lambda b, h: F.struct(b.alias("bucket"), F.lit(h).alias("halo"))
     both = F.when(F.col("above").isNull(), F.array(place(F.col("bucket"), False))).otherwise(F.array(place(F.col("bucket"), False), place(F.col("above"), True)))
-    spread = placed.select("key", "id", "text", F.explode(both).alias("at")).select("id", "text", "key", "at.*")
-    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.col("key").desc(), "text")
+    spread = placed.select("key", "mix", "id", "text", F.explode(both).alias("at")).select("id", "text", "key", "mix", "at.*")
+    return spread.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "halo", F.col("key").desc(), F.col("mix").desc(), "text")
 
 
 def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text", k: int = K, width: int = WIDTH) -> DataFrame:
@@ -139,18 +165,19 @@ def edited_likeness(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     The edited text is the text with its last third, floor(n/3) code points,
     replaced by as many first code points (or all) of the next document in
     descending order of ids; after the last comes the first. Null text counts
-    as empty; null ids come last; rows that share an id are ordered by text; a
-    lone row follows itself; an empty table gives an empty result. Ids are
+    as empty; null ids come last; rows that share an id are ordered by a hash of
+    their text; a lone row follows itself; an empty table gives an empty result. Ids are
     integers. Other columns are not read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("mix"), F.col(id_col).alias("id"), text.alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not rows.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
 
     def run(batches):
         last = None
-        for b in batches:
+        for b in in_pieces(batches):
             out = []
             for i, text, bucket, halo in zip(*(b.column(c).to_pylist() for c in ("id", "text", "bucket", "halo")), strict=True):
                 now = (i, text, sketch(text, k, width), bucket, halo)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import default_vocab, token_count
-from reelgrid.llm.common import text_or_empty
+from reelgrid.llm.common import in_pieces, text_or_empty
 
 
 def token_counts(docs: DataFrame, id_col="doc_id", text_col="text", vocab: str | None = None, limit: int = 512) -> DataFrame:
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, id_col="doc_id", text_col="text", vocab: str |
 
     def count(batches):
         n = token_count(path)
-        for b in batches:
+        for b in in_pieces(batches):
             tokens = [n(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

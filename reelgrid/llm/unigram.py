@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.common import text_or_empty
+from reelgrid.llm.common import in_pieces, text_or_empty
 
 MARK = "▁"
 #: Piece kinds of the file format.
@@ -318,12 +318,17 @@ def _sender(spark, path: str):
 
 
 def encode(docs: DataFrame, id_col="doc_id", text_col="text", model: str | None = None) -> DataFrame:
-    """id_col, piece_ids array<int>. Null text counts as empty and has no pieces; other columns are not read."""
+    """id_col, piece_ids array<int>, each row by itself.
+
+    Null text counts as empty and has no pieces; a text of any length is
+    encoded whole; null and repeated ids and repeated rows pass through; an
+    empty table gives an empty result; other columns are not read.
+    """
     sent = _sender(docs.sparkSession, model or default_model())
 
     def run(batches):
         own = sent()
-        for b in batches:
+        for b in in_pieces(batches):
             ids = own.encode_batch(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["id", "piece_ids"])
 
@@ -332,12 +337,17 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", model: str | None
 
 
 def decode(encoded: DataFrame, id_col="doc_id", ids_col="piece_ids", model: str | None = None) -> DataFrame:
-    """id_col, text. Null ids decode to the empty text."""
+    """id_col, text, each row by itself.
+
+    A null or empty list of pieces decodes to the empty text; null and repeated
+    ids and repeated rows pass through; an empty table gives an empty result;
+    other columns are not read.
+    """
     sent = _sender(encoded.sparkSession, model or default_model())
 
     def run(batches):
         own = sent()
-        for b in batches:
+        for b in in_pieces(batches):
             texts = [own.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
@@ -357,7 +367,7 @@ def round_trips(docs: DataFrame, id_col="doc_id", text_col="text", model: str |
 
     def run(batches):
         own = sent()
-        for b in batches:
+        for b in in_pieces(batches):
             texts = b.column("text").to_pylist()
             ids = own.encode_batch(texts)
             back = [own.decode(x) for x in ids]
