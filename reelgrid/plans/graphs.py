@@ -117,7 +117,7 @@ def topic_assignment(spark, sf):
 
 @query("topic_counts", "SELECT label AS topic, count(*) AS n FROM embeddings GROUP BY 1")
 def topic_counts(spark, sf):
-    """Documents of each topic."""
+    """M2: documents of each topic."""
     return table(spark, sf, "embeddings").groupBy(F.col("label").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -194,6 +194,6 @@ def transitive_subclasses(spark, sf):
     """,
 )
 def entity_facts(spark, sf):
-    """Optional properties of entities from a table of triples."""
+    """Optional properties of entities from a table of triples."""
     t = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("property"), F.col("o_orderkey").alias("object"))
     return E.entity_facts(table(spark, sf, "customer").select(F.col("c_custkey").alias("entity")), t, {"finished": "F", "pending": "P"})
