@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import word_count
@@ -28,6 +28,23 @@ def link_mentions(mentions: DataFrame, candidates: DataFrame, search: DataFrame,
     )
 
 
+def search_entities(texts: DataFrame, text: str, gazetteer: DataFrame, lang: str, limit: int = 1) -> DataFrame:
+    """Each distinct text with the ``limit`` best entries of a gazetteer that bear it as a label or alias in ``lang``.
+
+    gazetteer(qid, lang, label, aliases array<string>, rank). Case and outer
+    blanks don't matter; the greatest rank comes first, then the least qid. An
+    entry that bears a text twice is one hit. Texts without a hit have no row;
+    null texts neither. Both sides meet by equality, so the gazetteer may be
+    larger than memory.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    entries = gazetteer.where(F.col("lang") == lang).select("qid", "rank", F.explode(F.array_distinct(F.transform(names, key))).alias("_key"))
+    asked = texts.select(text).distinct().withColumn("_key", key(F.col(text)))
+    place = F.row_number().over(Window.partitionBy(text).orderBy(F.col("rank").desc(), "qid"))
+    return asked.join(entries, "_key").withColumn("hit", place).where(F.col("hit") <= limit).select(text, "hit", "qid")
+
+
 def first_rule(bindings: DataFrame, entity: str, seq: str, rules: list[tuple[Column, str]]) -> DataFrame:
     """(entity, rule_type): over bindings in order, the first rule in order that holds."""
     number = F.lit(None).cast("int")

@@ -153,6 +153,25 @@ def entity_linking(spark, sf):
     return linked.select("id", "wd_id", "disambiguation")
 
 
+@query(
+    "entity_search",
+    """
+    WITH t AS (SELECT DISTINCT upper(' ' || p_type) AS text FROM part WHERE p_size > 10),
+    g AS (SELECT p_partkey AS qid, p_retailprice AS rank, lower(p_type) AS key FROM part WHERE p_size % 2 = 0 UNION SELECT p_partkey, p_retailprice, lower(p_brand || ' ' || p_type) FROM part WHERE p_size % 2 = 0),
+    r AS (SELECT text, qid, row_number() OVER (PARTITION BY text ORDER BY rank DESC, qid) AS hit FROM t JOIN g ON key = lower(trim(text, ' ')))
+    SELECT * FROM r WHERE hit <= 3
+    """,
+)
+def entity_search(spark, sf):
+    """The three best entries of a gazetteer for each text, by label or alias in one language."""
+    from reelgrid.operators.entities import search_entities
+
+    p = table(spark, sf, "part")
+    g = p.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_size") % 2 == 0, "en").otherwise("de").alias("lang"), F.col("p_type").alias("label"), F.array(F.concat_ws(" ", "p_brand", "p_type"), F.upper("p_type")).alias("aliases"), F.col("p_retailprice").alias("rank"))
+    found = search_entities(p.where("p_size > 10").select(F.upper(F.concat(F.lit(" "), "p_type")).alias("text")), "text", g, "en", 3)
+    return found.select("text", "qid", F.col("hit").cast("long").alias("hit"))
+
+
 @query(
     "topic_lookup",
     "SELECT c_custkey, coalesce(s_name, 'None') AS topic FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",

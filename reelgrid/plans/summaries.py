@@ -365,7 +365,7 @@ def spaced_sample(spark, sf):
     "SELECT o_custkey, min(o_orderkey) AS first_seen FROM orders GROUP BY 1 ORDER BY 2 LIMIT 20",
 )
 def first_videos(spark, sf):
-    """The first twenty in order of appearance."""
+    """The first twenty in order of appearance."""
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_seen")).orderBy("first_seen").limit(20)
 
 
