@@ -112,6 +112,12 @@ def _near(similarity: float, by_shingle):
     return (first <= _limit(64, similarity, by_shingle)) & (first + second <= _limit(128, similarity, by_shingle))
 
 
+def _near_words(similarity: float, by_shingle):
+    """The test on the first word and the ``LED_WORDS`` that every node has."""
+    apart = sum((F.bit_count(F.col("u_words")[i].bitwiseXOR(F.col("v_words")[i])) for i in range(LED_WORDS)), F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))))
+    return apart <= _limit(64 * (1 + LED_WORDS), similarity, by_shingle)
+
+
 def _near_wide(similarity: float):
     """The test on the wide words."""
     apart = sum((F.bit_count(F.col("u_wide")[i].bitwiseXOR(F.col("v_wide")[i])) for i in range(WIDE)), F.lit(0))
@@ -153,7 +159,7 @@ def _words(raw: list[bytes], count: int) -> np.ndarray:
 
 
 def _fingerprints(rows: DataFrame, words: int, shingle: int) -> DataFrame:
-    """uid, hash of the set, first word, ``words`` words, and the shingles of short sets."""
+    """uid, hash of the set, first word, the ``words`` words after it, and the shingles of short sets."""
 
     def run(batches):
         for b in in_pieces(batches):
@@ -246,10 +252,11 @@ def _probes(keys, width: int, busy):
 
 
 def _touched(plain: DataFrame, asking: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The nodes of ``plain`` that ``asking`` have in their balls, near on 128 bits; no pair is made."""
-    table = plain.select(F.col("uid").alias("v"), F.col("fp").alias("v_fp"), F.col("c0").alias("v_c0"), F.explode("keys").alias("held"))
-    probes = asking.select(F.col("fp").alias("u_fp"), F.col("c0").alias("u_c0"), F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("k"))
-    return table.join(probes, (F.col("k") == F.col("held")) & _near(similarity, F.col("held") >= SHINGLE), "left_semi").select(F.col("v").alias("uid")).distinct()
+    """The nodes of ``plain`` that ``asking`` have in their balls, near on all words that nodes have; no pair is made."""
+    own = lambda name: [F.col("fp").alias(f"{name}_fp"), F.slice("words", 1, LED_WORDS).alias(f"{name}_words")]
+    table = plain.select(F.col("uid").alias("v"), *own("v"), F.explode("keys").alias("held"))
+    probes = asking.select(*own("u"), F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("k"))
+    return table.join(probes, (F.col("k") == F.col("held")) & _near_words(similarity, F.col("held") >= SHINGLE), "left_semi").select(F.col("v").alias("uid")).distinct()
 
 
 def _across_index(plain: DataFrame, late: DataFrame | None, width: int, similarity: float) -> DataFrame:
@@ -278,20 +285,27 @@ def _across_busy(placed: DataFrame, sizes: DataFrame, features: DataFrame, width
     rooted = placed.join(small_side(sizes, 16), "root", "left")
     rank = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.col("root"))
     busy = written(rooted.select("uid", "fp", "c0", "keys", rank.alias("rank")).join(features.select("uid", "wide", "short"), "uid"), "busy")
-    side = lambda name, keys: busy.select(F.col("uid").alias(name), F.col("rank").alias(f"{name}_rank"), F.explode(keys).alias("key"))
-    held = side("v", F.col("keys"))
+    whole = lambda t, name, keys: t.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("rank", "fp", "c0", "wide", "short")], F.explode(keys).alias("key"))
+    held = whole(busy, "v", F.col("keys"))
     top = written(held.groupBy("key").agg(F.max("v_rank").alias("top")), "top")
-    asks = written(side("u", _probes(F.col("keys"), width, F.lit(True))).join(small_side(top, 32), "key").where("top > u_rank").drop("top"), "asks")
-    whole = lambda name: _side(busy, name, "fp", "c0", "wide", "short")
+    balls = busy.select("uid", "rank", F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("key"))
+    larger = small_side(top.withColumnRenamed("key", "at"), 32)
+    # A node's list is its balls at most.
+    asks = balls.join(larger, (F.col("key") == F.col("at")) & (F.col("top") > F.col("rank")), "left_semi").groupBy("uid").agg(F.collect_list("key").alias("asked"))
+    asks = written(asks, "asks")
+    # Dealt evenly before the lists open: a few nodes ask for most of a crowded key.
+    dealt = busy.join(small_side(asks, 1024), "uid").repartition(min(20_000, 1 + asks.count() // 32), "uid")
+    asking, held = whole(dealt, "u", F.col("asked")), small_side(written(held, "held"), 8 * (WIDE + 16))
     fits = (F.col("v_rank") > F.col("u_rank")) & _near(similarity, F.col("key") >= SHINGLE) & _near_wide(similarity) & _first_meeting(width, segments)
-    return asks.join(whole("u"), "u").join(held.join(whole("v"), "v"), "key").where(fits).select("u", "v")
+    return asking.join(held, "key").where(fits).select("u", "v")
 
 
 def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, crowded: int = CROWDED, busy: int = BUSY) -> DataFrame:
     """(uid, root) for each of ``rows`` (uid long, text string not null); rows of one root are one group."""
     n = rows.count()
     width, segments = layout(n, similarity, recall)
-    words = max(LED_WORDS, -(-segments // (64 // width)))
+    # The last word holds no segment, so that chance matches of a segment don't favour it.
+    words = max(LED_WORDS, 1 - (-segments // (64 // width)))
     fps = written(_fingerprints(rows, words, shingle), "fingerprints")
     least = fps.groupBy("set").agg(F.min("uid").alias("node"))
     named = written(fps.select("uid", "set").join(least, "set").select("uid", "node"), "named")
@@ -302,7 +316,7 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     # Leaders are found by wider segments, so that what shares a key is rarely chance.
     lead = min(SEGMENT_BITS, max(16, math.ceil(math.log2(max(2, n)))))
     keys, leading = segment_keys(F.col("words"), width, segments), segment_keys(F.col("words"), lead, LED_WORDS * (64 // lead))
-    nodes = nodes.join(small_side(more, 96), "uid", "left").select("uid", "fp", F.col("words")[0].alias("c0"), F.concat(keys, every).alias("keys"), F.concat(leading, every).alias("leading"))
+    nodes = nodes.join(small_side(more, 96), "uid", "left").select("uid", "fp", F.element_at("words", -1).alias("c0"), "words", F.concat(keys, every).alias("keys"), F.concat(leading, every).alias("leading"))
     led = _led(nodes, rows, similarity, shingle, crowded)
     plain, late = nodes, None
     if led:
