@@ -119,6 +119,11 @@ def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
     return F.broadcast(df) if fits else df
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand workers so many rows at once. The setting stays in the session, as results are made after the caller has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def in_sample(id_col: str, chance):
     """True for a share ``chance`` (number or column) of all ids, by 62 bits of a fixed hash; false for null ids."""
     return F.col(id_col).isNotNull() & (F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2) < (F.lit(2.0**62) * chance).cast("long"))

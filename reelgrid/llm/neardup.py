@@ -208,7 +208,8 @@ def _still_near(pairs: DataFrame, features: DataFrame, similarity: float) -> Dat
 
 
 def _alike(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets, compared whole, reach the similarity."""
+    """The pairs of a written table whose shingle sets, compared whole, reach the similarity."""
+    features = features.join(small_side(written(_ends(pairs), "ends"), 8), "uid", "left_semi")
     both = pairs.join(_side(features, "u", "shingles"), "u").join(_side(features, "v", "shingles"), "v")
     common, sizes = F.size(F.array_intersect("u_shingles", "v_shingles")), F.size("u_shingles") + F.size("v_shingles")
     return both.where(common >= similarity * (sizes - common)).select("u", "v")
@@ -255,8 +256,8 @@ def _touched(plain: DataFrame, asking: DataFrame, width: int, similarity: float)
     """The nodes of ``plain`` that ``asking`` have in their balls, near on all words that nodes have; no pair is made."""
     own = lambda name: [F.col("fp").alias(f"{name}_fp"), F.slice("words", 1, LED_WORDS).alias(f"{name}_words")]
     table = plain.select(F.col("uid").alias("v"), *own("v"), F.explode("keys").alias("held"))
-    probes = asking.select(*own("u"), F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("k"))
-    return table.join(probes, (F.col("k") == F.col("held")) & _near_words(similarity, F.col("held") >= SHINGLE), "left_semi").select(F.col("v").alias("uid")).distinct()
+    probes = written(asking.select(*own("u"), F.explode(_probes(F.col("keys"), width, F.lit(True))).alias("k")), "probes")
+    return table.join(small_side(probes, 24 + 16 * LED_WORDS), (F.col("k") == F.col("held")) & _near_words(similarity, F.col("held") >= SHINGLE), "left_semi").select(F.col("v").alias("uid")).distinct()
 
 
 def _across_index(plain: DataFrame, late: DataFrame | None, width: int, similarity: float) -> DataFrame:

@@ -158,8 +158,10 @@ def test_a_group_costs_about_its_size(spark, monkeypatch):
         roots = {r.root for r in neardup.near_groups(df).collect()}
         assert len(roots) < 0.5 * n
         seen[n] = dict(counts)
+    # Four times the nodes: at most the nodes times their keys, and far from the square, which is sixteen times.
+    assert seen[800]["stars"] <= 16 * 800
     for label in seen[200]:
-        assert seen[800][label] <= 6 * max(200, seen[200][label]), seen
+        assert seen[800][label] <= 8 * max(200, seen[200][label]), seen
 
 
 def test_near_groups_of_the_documents_against_all_links(spark):
