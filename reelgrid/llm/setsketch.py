@@ -147,10 +147,10 @@ def _sketched(rows: DataFrame, shingle: int, m: int) -> DataFrame:
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             regs = np.stack([registers(s, m) for s in sets])
             cols = [b.column("uid"), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-            cols += [pa.array(list(regs), pa.list_(pa.int32())), pa.array(list(_parity(regs)), pa.list_(pa.int64()))]
+            cols += [pa.array(list((regs - 2**15).astype(np.int16)), pa.list_(pa.int16())), pa.array(list(_parity(regs)), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["uid", "set", "n", "regs", "bits"])
 
-    return rows.mapInArrow(run, "uid long, set binary, n long, regs array<int>, bits array<bigint>")
+    return rows.mapInArrow(run, "uid long, set binary, n long, regs array<smallint>, bits array<bigint>")
 
 
 def band_keys(regs: Column, wide: int, bands: int) -> Column:
@@ -164,8 +164,8 @@ def _first_meeting(wide: int) -> Column:
     return ~F.exists(earlier, lambda j: part(F.col("u_regs"), j) == part(F.col("v_regs"), j))
 
 
-def likely(m: int, similarity: float, common: bool = False) -> Column:
-    """True for pairs (columns that start with u_ and v_) whose estimate may belong to the similarity or more.
+def close(m: int, similarity: float, common: bool = False) -> Column:
+    """True for pairs (columns that start with u_ and v_) whose sizes and lowest bits allow the similarity.
 
     ``common``: columns u_common and v_common hold the number of shingles that may be in the intersection.
     """
@@ -175,8 +175,12 @@ def likely(m: int, similarity: float, common: bool = False) -> Column:
         sizes = sizes & ((100 + top) * F.least("u_common", "v_common") >= top * total)
     apart = sum((F.bit_count(F.col("u_bits")[i].bitwiseXOR(F.col("v_bits")[i])) for i in range(m // 64)), F.lit(0))
     # Of registers that differ, half differ in the lowest bit.
-    close = apart <= m - fewest(m, (1 + similarity) / 2)
-    step = F.lit(1 << 20)
+    return sizes & (apart <= m - fewest(m, (1 + similarity) / 2))
+
+
+def likely(m: int, similarity: float) -> Column:
+    """True for pairs whose estimate of greatest likelihood may belong to the similarity or more."""
+    step, total = F.lit(1 << 20), F.col("u_n") + F.col("v_n")
     codes = F.aggregate(F.zip_with("u_regs", "v_regs", lambda a, b: F.when(a > b, step).when(a < b, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda t, x: t + x)
     limit = fewest(m, similarity) / m
 
@@ -185,8 +189,7 @@ def likely(m: int, similarity: float, common: bool = False) -> Column:
         return _slope(limit, F.col("u_n") / total, F.col("v_n") / total, more, less, m - more - less, F.log, F.lit) >= 0
 
     # Bound once: the code stands in the slope several times.
-    slope = F.transform(F.array(codes), passes)[0]
-    return sizes & close & slope
+    return F.transform(F.array(codes), passes)[0]
 
 
 def _side(table: DataFrame, name: str, *cols: str) -> DataFrame:
@@ -201,7 +204,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-PAYLOAD = ("n", "regs", "bits")
+PAYLOAD = ("n", "bits", "regs")
+#: Sides with registers are broadcast up to so many bytes only.
+WIDE_BYTES = 4 << 20
 
 
 class _Verifier:
@@ -211,18 +216,19 @@ class _Verifier:
         self.rows, self.nodes, self.shingle, self.m, self.similarity = rows, nodes, shingle, m, similarity
         self.sets: DataFrame | None = None
 
-    def payload_bytes(self) -> int:
-        return 5 * self.m + 64
+    def wide(self, table: DataFrame) -> DataFrame:
+        return small_side(table, 2 * self.m + self.m // 8 + 64, WIDE_BYTES)
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Of a written table of pairs (u < v) those that reach the similarity."""
-        ends = written(_ends(pairs), "ends")
-        held = written(self.nodes.join(small_side(ends, 8), "uid", "left_semi").select("uid", *PAYLOAD), "payload")
-        side = lambda name: small_side(_side(held, name, *PAYLOAD), self.payload_bytes())
-        both = pairs.join(side("u"), "u")
-        right = side("v").withColumnRenamed("v", "w")
-        near = both.join(right, (F.col("v") == F.col("w")) & likely(self.m, self.similarity)).select("u", "v")
-        return self.verified(written(near, "likely"))
+        """Of a written table of pairs (u < v) those that reach the similarity: bits first, then registers, then the sets."""
+        for cols, test in ((("n", "bits"), close), (("n", "regs"), likely)):
+            ends = written(_ends(pairs), "ends")
+            held = written(self.nodes.join(small_side(ends, 8), "uid", "left_semi").select("uid", *cols), "payload")
+            fits = small_side(held, 2 * self.m if "regs" in cols else self.m // 8 + 32, WIDE_BYTES)
+            both = pairs.join(_side(fits, "u", *cols), "u")
+            near = both.join(_side(fits, "w", *cols).withColumnsRenamed({f"w_{c}": f"v_{c}" for c in cols}), (F.col("v") == F.col("w")) & test(self.m, self.similarity))
+            pairs = written(near.select("u", "v"), test.__name__)
+        return self.verified(pairs)
 
     def sets_of(self, uids: DataFrame) -> DataFrame:
         """(uid, shingles) of a written table of nodes."""
@@ -278,14 +284,16 @@ class _Verifier:
         return self.rows.join(small_side(ends, 8), "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, shingles array<bigint>")
 
 
-def _placed(held: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(key, band, uid, root, size) of the holders of values that more than one component holds, and the (node, root) of all linked nodes."""
-    roots = written(components(links), "roots")
+def _placed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, band, uid, root, size) of the holders of values (key, band, uid) that more than one component holds."""
     sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     known = written(roots.join(small_side(sizes, 16), "root").select(F.col("node").alias("uid"), "root", "size"), "known")
-    placed = held.join(small_side(known, 24), "uid", "left").select("key", "band", "uid", F.coalesce("root", "uid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    # A node has a row for each band at most.
+    nodes = entries.groupBy("uid").agg(F.collect_list(F.struct("key", "band")).alias("at"))
+    nodes = nodes.join(small_side(known, 24), "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"), "at")
+    placed = written(nodes, "nodes").select("uid", "root", "size", F.inline("at"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return written(placed.join(small_side(written(mixed_keys, "mixed"), 8), "key", "left_semi"), "placed"), roots
+    return written(placed.join(small_side(written(mixed_keys, "mixed"), 8), "key", "left_semi"), "placed")
 
 
 def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL, m: int = REGISTERS, stars: int = STARS) -> DataFrame:
@@ -305,18 +313,19 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     entries = nodes.select("uid", F.posexplode(band_keys(F.col("regs"), wide, bands)).alias("band", "key"))
     shared = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
     held = written(entries.join(small_side(shared, 16), "key"), "held")
-    home = written(held.groupBy("uid").agg(F.sum("holders").alias("home")), "home")
-    at_home = held.join(small_side(home, 16), "uid")
+    by_node = held.groupBy("uid").agg(F.sum("holders").alias("home"), F.collect_list(F.struct("key", "band", "holders")).alias("at"))
+    at_home = written(by_node, "home").select("uid", "home", F.inline("at"))
     leaders = written(at_home.groupBy("key").agg(F.max_by("uid", F.struct("home", -F.col("uid"))).alias("leader")), "leaders")
-    to_leader = held.join(small_side(leaders, 16), (held.key == leaders.key) & (F.col("uid") != F.col("leader"))).select(F.col("uid").alias("u"), F.col("leader").alias("v"))
+    to_leader = at_home.select("key", "uid").join(small_side(leaders.withColumnRenamed("key", "of"), 16), (F.col("key") == F.col("of")) & (F.col("uid") != F.col("leader")))
+    to_leader = to_leader.select(F.col("uid").alias("u"), F.col("leader").alias("v"))
 
     check = _Verifier(rows, nodes, shingle, m, similarity)
     tried = written(_ordered(to_leader), "tried")
-    links = check.links(tried)
+    roots = written(components(check.links(tried)), "roots")
     # Two holders have been compared.
-    placed, roots = _placed(held.where("holders > 2").select("key", "band", "uid"), links)
+    placed = _placed(at_home.where("holders > 2").select("key", "band", "uid"), roots)
     able, rare = check.frequent(written(placed.select("uid").distinct(), "ends"))
-    placed = written(placed.join(small_side(able.select("uid"), 8), "uid", "left_semi"), "placed")
+    placed = placed.join(small_side(able.select("uid"), 8), "uid", "left_semi")
     for turn in range(stars + 1):
         if not placed.limit(1).count():
             break
@@ -324,11 +333,11 @@ def near_groups(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
         pairs = _across(placed, able, check, wide).union(check.by_rare(rare, able, roots)) if across else _other_leaders(placed, turn)
         pairs = written(_ordered(pairs).join(small_side(tried, 16), ["u", "v"], "left_anti"), "across" if across else "tried")
         found = check.verified(pairs) if across else check.links(pairs)
+        if found.limit(1).count():
+            roots = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)), "roots")
         if not across:
             tried = tried.union(pairs)
-        if found.limit(1).count():
-            links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)
-            placed, roots = _placed(placed.select("key", "band", "uid"), links)
+            placed = _placed(placed.select("key", "band", "uid"), roots)
     grouped = named.join(small_side(roots, 16), "node", "left").select("uid", "n", F.coalesce("root", "node").alias("root"))
     return grouped.union(sketched.where("n = 0").select("uid", "n", F.col("uid").alias("root")))
 
@@ -347,14 +356,14 @@ def _across(placed: DataFrame, able: DataFrame, check: _Verifier, wide: int) ->
     uids = written(placed.select("uid").distinct(), "ends")
     able = able.join(small_side(uids, 8), "uid", "left_semi")
     payload = written(check.nodes.join(small_side(written(able.select("uid", "common"), "able"), 16), "uid").select("uid", "common", *PAYLOAD), "payload")
-    whole = written(placed.select("key", "band", "uid", F.struct("size", "root").alias("rank")).join(small_side(payload, check.payload_bytes()), "uid"), "whole")
+    whole = written(placed.select("key", "band", "uid", F.struct("size", "root").alias("rank")).join(check.wide(payload), "uid"), "whole")
     top = written(whole.groupBy("key").agg(F.max("rank").alias("top")), "top")
     cols = ("rank", "common", *PAYLOAD)
     asks = whole.join(small_side(top, 32), "key").where(F.col("rank") < F.col("top")).select("key", "band", F.col("uid").alias("u"), *[F.col(c).alias(f"u_{c}") for c in cols])
     asks = written(asks, "asks")
     held = whole.select(F.col("key").alias("at"), F.col("uid").alias("v"), *[F.col(c).alias(f"v_{c}") for c in cols])
-    fits = (F.col("key") == F.col("at")) & (F.col("u_rank") < F.col("v_rank")) & likely(check.m, check.similarity, common=True) & _first_meeting(wide)
-    return held.join(small_side(asks, check.payload_bytes()), fits).select("u", "v")
+    fits = (F.col("key") == F.col("at")) & (F.col("u_rank") < F.col("v_rank")) & close(check.m, check.similarity, common=True) & likely(check.m, check.similarity) & _first_meeting(wide)
+    return held.join(check.wide(asks), fits).select("u", "v")
 
 
 def near_components(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY, shingle: int = WIDTH, recall: float = RECALL) -> DataFrame:

@@ -108,7 +108,7 @@ def test_the_slope_tells_the_side_of_the_estimate(spark):
         u, v = setsketch.registers(np.concatenate(parts[:2]), m), setsketch.registers(np.concatenate(parts[::2]), m)
         rows.append((i, common + a, common + b, u.tolist(), v.tolist(), setsketch._parity(u[None])[0].tolist(), setsketch._parity(v[None])[0].tolist()))
     df = spark.createDataFrame(rows, "i int, u_n long, v_n long, u_regs array<int>, v_regs array<int>, u_bits array<bigint>, v_bits array<bigint>")
-    got = {r.i for r in df.where(setsketch.likely(m, 0.8)).collect()}
+    got = {r.i for r in df.where(setsketch.close(m, 0.8) & setsketch.likely(m, 0.8)).collect()}
     limit = setsketch.fewest(m, 0.8) / m
     for i, nu, nv, u, v, *_ in rows:
         j = setsketch.jaccard(np.array(u), np.array(v), nu, nv)
