@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,20 @@ def register(name: str, f: Callable[[pd.Series], pd.Series]) -> None:
     _REGISTERED[name] = f
 
 
+@contextmanager
+def registered(name: str, f: Callable[[pd.Series], pd.Series]):
+    """``f`` serves the slot inside the block; what served it before returns afterwards."""
+    before = _REGISTERED.get(name)
+    register(name, f)
+    try:
+        yield
+    finally:
+        if before is None:
+            del _REGISTERED[name]
+        else:
+            _REGISTERED[name] = before
+
+
 def _stand_in(name: str):
     kind, labels = SLOTS[name]
 

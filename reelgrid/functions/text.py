@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelgrid.functions.vectors import bound
+
 
 def word_count(s: Column) -> Column:
     """Number of runs of visible characters; 0 for empty text."""
@@ -108,9 +110,12 @@ def surrogate_id(*cols: Column) -> Column:
 
 def word_chunks(s: Column, n: int = 128) -> Column:
     """Texts of ``n`` words; the last may have fewer; no words, no chunks."""
-    w = words(s)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    def chunks(w):
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return bound(words(s), chunks)
 
 
 def char_chunks(s: Column, limit: int = 128) -> Column:
@@ -120,17 +125,11 @@ def char_chunks(s: Column, limit: int = 128) -> Column:
     overlong word comes first.
     """
     none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("open"))
-
-    def step(acc, word):
-        longer = F.when(acc["open"] == "", word).otherwise(F.concat(acc["open"], F.lit(" "), word))
-        fits = F.length(longer) <= limit
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(fits, longer).otherwise(word).alias("open"),
-        )
-
-    return F.aggregate(words(s), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    # One pass of a regular expression: as many characters as end before a blank, or one overlong word.
+    cut = F.split(F.regexp_replace(join_words(words(s)), f"(?s)(.{{1,{limit}}}|[^ ]+)(?: |$)", "$1\n"), "\n")
+    chunks = bound(cut, lambda c: F.slice(c, 1, F.size(c) - 1))
+    first = F.when(F.length(F.regexp_extract(s, r"\S+", 0)) > limit, F.array(F.lit(""))).otherwise(none)
+    return F.concat(first, chunks)
 
 
 def date_in_name(name: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)``, the value computed once: inside a lambda an expression of a column is computed again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -26,18 +31,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: F.try_divide(x, n))
+    return bound(norm(v), lambda n: F.transform(as_double(v), lambda x: F.try_divide(x, n)))
 
 
 def l1_normalise(v: Column) -> Column:
     """Shares of the total; null where the total is zero."""
     total = F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(total != 0, F.transform(as_double(v), lambda x: x / total))
+    return bound(total, lambda t: F.when(t != 0, F.transform(as_double(v), lambda x: x / t)))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(as_double(v))
-    e = F.transform(as_double(v), lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    def shares(e):
+        return bound(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))
+
+    return bound(bound(F.array_max(as_double(v)), lambda top: F.transform(as_double(v), lambda x: F.exp(x - top))), shares)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.numeric import overlap_share
+from reelgrid.functions.vectors import l1_normalise
 from reelgrid.operators.aggregates import ensemble_vote, evenly_spaced, longest_visible
 from reelgrid.operators.intervals import first_match, left_fusion, overlap_join, point_join
 from reelgrid.operators.sequences import tumbling
@@ -125,8 +126,7 @@ def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots
     )
     on = ["video_id", "idx"]
     w = whole.select("video_id", "idx", "w_start", "w_end")
-    share = lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y))
-    tags = first_overlapping(w, ["idx"], pos, width).select(*on, share(F.col("vector").cast("array<double>")).alias("_pos"))
+    tags = first_overlapping(w, ["idx"], pos, width).select(*on, l1_normalise(F.col("vector")).alias("_pos"))
     flags = first_overlapping(w, ["idx"], ner, width).select(*on, F.transform("vector", lambda x: (x > 0).cast("double")).alias("_ner"))
     out = turns.join(by_length, on, "left").join(tags, on, "left").join(flags, on, "left").join(context.select(*on, F.col("context").cast("array<double>").alias("_ctx")), on, "left")
     sizes = {"_pos": 14, "_ner": 6, "_ctx": 6}

@@ -200,17 +200,18 @@ def median_filter(df: DataFrame, by: str, order: str, value: str, kernel: int =
 
 
 def interpolated(df: DataFrame, by: str, t: str, values: list[str]) -> DataFrame:
-    """A row for each whole t between the first and the last observed; values between are linear."""
-    span = df.groupBy(by).agg(F.min(t).alias("a"), F.max(t).alias("b"))
-    grid = span.select(by, F.explode(F.sequence("a", "b")).alias(t))
-    full = grid.join(df, [by, t], "left")
-    seen = F.when(F.col(values[0]).isNotNull(), F.struct(t, *values))
-    back = Window.partitionBy(by).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(F.col(t).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = full.withColumn("_p", F.last(seen, True).over(back)).withColumn("_n", F.last(seen, True).over(ahead))
+    """A row for each whole t between the first and the last observed; values between are linear.
+
+    Each observation opens the gap up to the next one: one window over the
+    observations, no join and no window over the rows that are made. Rows
+    without a first value are not observations.
+    """
+    ahead = F.lead(F.struct(t, *values)).over(Window.partitionBy(by).orderBy(t))
+    pairs = df.where(F.col(values[0]).isNotNull()).select(by, F.struct(t, *values).alias("_p"), ahead.alias("_n"))
+    at = F.when(F.col(f"_n.{t}") > F.col(f"_p.{t}"), F.sequence(F.col(f"_p.{t}"), F.col(f"_n.{t}") - 1)).otherwise(F.array(F.col(f"_p.{t}")))
     gap = F.col(f"_n.{t}") - F.col(f"_p.{t}")
-    fill = lambda c: F.when(gap == 0, F.col(f"_p.{c}")).otherwise(F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * (F.col(t) - F.col(f"_p.{t}")) / gap)
-    return both.select(by, t, *[fill(c).alias(c) for c in values])
+    fill = lambda c: F.when((F.col("_n").isNull()) | (gap == 0), F.col(f"_p.{c}")).otherwise(F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * (F.col(t) - F.col(f"_p.{t}")) / gap)
+    return pairs.select(by, F.explode(at).alias(t), "_p", "_n").select(by, t, *[fill(c).alias(c) for c in values])
 
 
 def run_ranges(df: DataFrame, by: str, order: str, score: str, threshold: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Faces: greedy tracks and clusters. Both are sequential inside a shot or a video, whose rows one task holds."""
+"""Faces: greedy tracks, which are sequential inside a shot, and clusters."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.operators.proximity import connected, near_pairs
+
 
 def _iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
@@ -60,13 +62,27 @@ def track_faces(faces: DataFrame, by: list[str], least_iou: float = 0.5, max_gap
     return faces.groupBy(*by).applyInPandas(run, f"{keys}, track_id string, frame long, x1 double, y1 double, x2 double, y2 double, face_id string")
 
 
-def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float = 0.5, keep_variance: float | None = None) -> DataFrame:
+def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float = 0.5) -> DataFrame:
     """(by, item, cluster): density clusters of cosine distance ``eps`` and two points at least; -1 for points alone.
 
-    With two points a cluster is a connected component of the graph of near
-    pairs. Vectors are scaled to length one; ``keep_variance`` projects them on
-    the principal axes that hold that share. Clusters are numbered by their
-    first item. One task holds a video's vectors, and compares them in blocks.
+    With two points a cluster is a connected component of the near pairs, which
+    are joined through pivots; no task holds a key's vectors. Clusters are
+    numbered in each key by their first item. Items are unique in their key.
+    """
+    pairs = near_pairs(vectors, by, item, vec, eps)
+    node = lambda c: F.struct(F.col(by).alias("k"), F.col(c).alias("i"))
+    names = connected(pairs.select(node(item).alias("a"), node("other").alias("b")), "a", "b")
+    first = names.groupBy("name").agg(F.min("node.i").alias("_first"), F.min("node.k").alias("_k"))
+    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_first")) - 1)
+    found = names.join(numbered, "name").select(F.col("node.k").alias(by), F.col("node.i").alias(item), "_n")
+    return vectors.select(by, item).join(found, [by, item], "left").select(by, item, F.coalesce("_n", F.lit(-1)).cast("int").alias("cluster"))
+
+
+def cluster_reduced(vectors: DataFrame, by: str, item: str, vec: str, eps: float = 0.5, keep_variance: float = 0.95) -> DataFrame:
+    """(by, item, cluster) as ``cluster_vectors`` gives them, over the principal axes of a key that hold ``keep_variance``.
+
+    Vectors are scaled to length one before and after. One task holds a
+    video's vectors, and compares them in blocks.
     """
     keys = f"{by} {vectors.schema[by].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, cluster int"
 
@@ -74,7 +90,7 @@ def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float
         pdf = pdf.sort_values(item, ignore_index=True)
         x = np.array(pdf[vec].tolist(), np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        if keep_variance and len(x) > 1:
+        if len(x) > 1:
             centred = x - x.mean(axis=0)
             _, s, axes = np.linalg.svd(centred, full_matrices=False)
             n = int(np.searchsorted(np.cumsum(s**2) / max(1e-12, (s**2).sum()), keep_variance)) + 1
@@ -99,12 +115,3 @@ def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float
         return pd.DataFrame({by: pdf[by], item: pdf[item], "cluster": [number.get(r, -1) for r in found]})
 
     return vectors.select(by, item, vec).groupBy(by).applyInPandas(run, keys)
-
-
-def near_pairs(vectors: DataFrame, by: str, item: str, vec: str, eps: float) -> DataFrame:
-    """Pairs of items of one video within cosine distance ``eps``."""
-    from reelgrid.functions.vectors import cosine
-
-    b = vectors.select(F.col(by).alias("_by"), F.col(item).alias("other"), F.col(vec).alias("_v"))
-    pairs = vectors.join(b, (F.col(by) == F.col("_by")) & (F.col(item) < F.col("other")))
-    return pairs.where(1 - cosine(F.col(vec), F.col("_v")) <= eps).select(by, item, "other")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators import entities as E
 from reelgrid.operators import graph as G
-from reelgrid.operators import topics, tracking
+from reelgrid.operators import proximity, topics, tracking
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
 
@@ -130,7 +130,7 @@ def topic_counts(spark, sf):
 )
 def near_vector_pairs(spark, sf):
     """M1: pairs of a video within a cosine distance."""
-    return tracking.near_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.75)
+    return proximity.near_pairs(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.75)
 
 
 @query(
@@ -152,12 +152,12 @@ def face_clusters(spark, sf):
 @query("reduced_face_clusters")
 def reduced_face_clusters(spark, sf):
     """M1: clusters over the principal axes that hold 95 % of a video's variance; SQL has no such axes, a test recomputes them."""
-    return tracking.cluster_vectors(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.5, keep_variance=0.95)
+    return tracking.cluster_reduced(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.5, 0.95)
 
 
 @query("diverse_class_terms")
 def diverse_class_terms(spark, sf):
-    """M2: ten terms of each class by relevance and difference (0.7); a fold, held against plain code in a test."""
+    """M2: fifteen terms of each class by relevance (0.3) and difference (0.7); a fold, held against plain code in a test."""
     counts = topics.term_counts(table(spark, sf, "documents"), "source", "text", ["the", "of", "and"])
     return topics.diverse_terms(topics.class_tfidf(counts, "source"), "source", 0.7)
 

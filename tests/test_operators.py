@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import numeric as N
 from reelgrid.functions import text as T
-from reelgrid.functions.models import apply_model, register
+from reelgrid.functions import vectors as V
+from reelgrid.functions.models import apply_model, register, registered
 from reelgrid.operators import aggregates as G
 from reelgrid.operators import entities as E
 from reelgrid.operators import fusion, graph, incremental, intervals, sequences, tiers, tracking
@@ -195,8 +198,10 @@ def test_face_counts(spark):
 def test_model_slots(spark):
     df = spark.createDataFrame([("x",)], "t string")
     assert apply_model(df, "caption", F.col("t"), "c").first().c
-    register("caption", lambda s: s.str.upper())
-    assert apply_model(df, "caption", F.col("t"), "c").first().c == "X"
+    before = apply_model(df, "caption", F.col("t"), "c").first().c
+    with registered("caption", lambda s: s.str.upper()):
+        assert apply_model(df, "caption", F.col("t"), "c").first().c == "X"
+    assert apply_model(df, "caption", F.col("t"), "c").first().c == before
     with pytest.raises(KeyError):
         register("nothing", lambda s: s)
 
@@ -236,6 +241,59 @@ def test_topics_assigned_in_the_row(spark):
     assert got(topics.class_centres(docs.withColumn("t", F.col("i") % 2), "t", "v"), "t", "v") == [(0, [0.0, 1.0]), (1, [1.0, 1 / 3])]
 
 
+def blobs(rng, n, groups):
+    import numpy as np
+
+    centres = rng.normal(size=(groups, 16)) * 5
+    return [(1, i, None if i == 3 else [0.0] * 16 if i == 5 else (centres[i % groups] + rng.normal(size=16) * 0.4).tolist()) for i in range(n)], np
+
+
+def test_vector_join_by_pivots_against_all_pairs(spark):
+    import numpy as np
+
+    from reelgrid.operators import proximity
+
+    tested = {}
+    for n in (300, 600):
+        rows, _ = blobs(np.random.default_rng(6), n, 12)
+        df = spark.createDataFrame(rows, "v int, i int, e array<double>")
+        unit = {i: np.array(e) / np.linalg.norm(e) for _, i, e in rows if e and any(e)}
+        want = {(i, j) for i in unit for j in unit if i < j and 1 - unit[i] @ unit[j] <= 0.05}
+        pairs = [(r.i, r.other) for r in proximity.near_pairs(df, "v", "i", "e", 0.05).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 1000
+        home, visits = proximity.placed(df, "v", "i", "e", 0.05)
+        members = {r.cell: r.c for r in home.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()}
+        tested[n] = sum(members.get(r.cell, 0) for r in visits.collect())
+    # Twice the vectors: less than four times the comparisons, which are far fewer than all.
+    assert tested[600] < 3.6 * tested[300] and tested[600] < 0.5 * 600 * 600
+
+
+def test_connected_on_paths_and_stars(spark):
+    from reelgrid.operators import proximity
+
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(7, 7), (200, 201), (201, 200)]
+    out = {r.node: r.name for r in proximity.connected(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    names = [{out[i] for i in part} for part in (range(61), range(100, 140), (200, 201))]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3 and len(out) == 61 + 40 + 2
+
+
+def test_interpolation_between_observations(spark):
+    df = spark.createDataFrame([(1, 2, 1.0, 5.0), (1, 5, 4.0, 2.0), (1, 4, None, 1.0), (2, 7, 3.0, 3.0)], "v int, t int, x double, y double")
+    assert got(sequences.interpolated(df, "v", "t", ["x", "y"]), "v", "t", "x", "y") == [(1, 2, 1.0, 5.0), (1, 3, 2.0, 4.0), (1, 4, 3.0, 3.0), (1, 5, 4.0, 2.0), (2, 7, 3.0, 3.0)]
+
+
+def test_one_very_long_text_and_vector(spark):
+    """Chunks and shares cost the length of their row, not its square."""
+    text = " ".join("word%d" % (i % 97) for i in range(100_000))
+    df = spark.createDataFrame([(text, [float(i % 5) for i in range(20_000)])], "s string, v array<double>")
+    began = time.perf_counter()
+    r = df.select(T.word_chunks(F.col("s")).alias("w"), T.char_chunks(F.col("s")).alias("c"), V.softmax(F.col("v")).alias("p"), V.l2_normalise(F.col("v")).alias("n"), V.l1_normalise(F.col("v")).alias("q")).first()
+    assert time.perf_counter() - began < 20
+    assert len(r.w) == 782 and " ".join(r.w) == text and " ".join(r.c) == text
+    assert all(len(c) <= 128 for c in r.c) and all(len(a) + 1 + len(b.split()[0]) > 128 for a, b in zip(r.c, r.c[1:], strict=False))
+    assert sum(r.p) == pytest.approx(1) and sum(r.q) == pytest.approx(1) and sum(x * x for x in r.n) == pytest.approx(1)
+
+
 def test_diverse_terms_against_plain_code(spark):
     from reelgrid.operators import topics
 
@@ -248,7 +306,7 @@ def test_diverse_terms_against_plain_code(spark):
     def plain(items, k):
         done = []
         while items and len(done) < k:
-            worth = lambda x: 0.7 * x[1] / 9.0 - 0.3 * max([len(grams(x[0]) & grams(d)) / len(grams(x[0]) | grams(d)) for d in done], default=0.0)
+            worth = lambda x: 0.3 * x[1] / 9.0 - 0.7 * max([len(grams(x[0]) & grams(d)) / len(grams(x[0]) | grams(d)) for d in done], default=0.0)
             done.append(max(items, key=worth)[0])
             items = [x for x in items if x[0] not in done]
         return done
@@ -263,7 +321,7 @@ def test_clusters_on_principal_axes(spark):
     centres = rng.normal(size=(3, 12)) * 4
     rows = [(1, i, (centres[i % 3] + rng.normal(size=12) * 0.1).tolist()) for i in range(30)] + [(1, 30, (rng.normal(size=12) * 4).tolist())]
     df = spark.createDataFrame(rows, "v int, i int, e array<double>")
-    out = {r.i: r.cluster for r in tracking.cluster_vectors(df, "v", "i", "e", 0.2, keep_variance=0.95).collect()}
+    out = {r.i: r.cluster for r in tracking.cluster_reduced(df, "v", "i", "e", 0.2, 0.95).collect()}
     x = np.array([r[2] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = x - x.mean(axis=0)
