@@ -277,6 +277,22 @@ def test_connected_on_paths_and_stars(spark):
     assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3 and len(out) == 61 + 40 + 2
 
 
+def test_density_against_every_event(spark):
+    import math
+
+    events = [(1, 0.0), (1, 3.0), (1, 3.0), (1, 400.0), (2, 10.0)]
+    grid = [(v, float(t)) for v in (1, 2, 3) for t in range(0, 420, 7)]
+    out = got(sequences.density(spark.createDataFrame(grid, "v int, t double"), spark.createDataFrame(events, "v int, a double"), "v", "t", "a", 4.0), "v", "t", "y")
+    want = []
+    for v in (1, 2):
+        own = [a for k, a in events if k == v]
+        y = {t: sum(math.exp(-(((t - a) / 4.0) ** 2) / 2) for a in own) / len(own) for k, t in grid if k == v}
+        low, high = min(y.values()), max(y.values())
+        want += [(v, t, (x - low) / (high - low)) for t, x in y.items()]
+    assert [r[:2] for r in out] == [r[:2] for r in sorted(want, key=repr)]
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(out, sorted(want, key=repr), strict=True))
+
+
 def test_interpolation_between_observations(spark):
     df = spark.createDataFrame([(1, 2, 1.0, 5.0), (1, 5, 4.0, 2.0), (1, 4, None, 1.0), (2, 7, 3.0, 3.0)], "v int, t int, x double, y double")
     assert got(sequences.interpolated(df, "v", "t", ["x", "y"]), "v", "t", "x", "y") == [(1, 2, 1.0, 5.0), (1, 3, 2.0, 4.0), (1, 4, 3.0, 3.0), (1, 5, 4.0, 2.0), (2, 7, 3.0, 3.0)]
