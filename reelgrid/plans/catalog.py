@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import graphs, joins, neighbours, products, roundtrips, scalars, summaries, timeline  # noqa: F401
+from reelgrid.plans import clusters, graphs, joins, neighbours, products, roundtrips, scalars, summaries, timeline  # noqa: F401
 from reelgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
