@@ -1,10 +1,13 @@
 """Joins on time.
 
 A plain theta join on intervals plans as a nested loop. These joins put
-intervals into buckets of fixed width and join on (key, bucket), so they are
-ordinary hash or sort-merge joins that adaptive execution can split; the exact
-condition is part of the join. A bucket width near the usual interval length
-keeps both the copies of an interval and the rows of a bucket few.
+intervals into buckets and join on (key, level, bucket), so they are ordinary
+hash or sort-merge joins that adaptive execution can split; the exact
+condition is part of the join. A level's buckets are ``STEP`` times as wide as
+those of the level below, and an interval lies on the level of its length, in
+``STEP`` + 1 buckets at most, however long it is. A point asks one bucket on
+each level that occurs. A width near the usual interval length keeps most
+intervals on level 0.
 """
 
 from __future__ import annotations
@@ -27,9 +30,36 @@ def bucket_width(intervals: DataFrame, s: str, e: str) -> float:
     return max(1.0, float(got or 1.0))
 
 
-def _buckets(s: Column, e: Column, width: float) -> Column:
-    at = lambda x: F.floor(x / F.lit(float(width)))
-    return F.explode(F.when(e >= s, F.sequence(at(s), at(e))).otherwise(F.array(at(s))))
+#: Buckets of one level under a bucket of the next.
+STEP = 16
+
+
+def _level(s: Column, e: Column, width: float) -> Column:
+    """The level on which an interval spans ``STEP`` buckets or fewer; 0 where it has no length."""
+    ratio = (e - s) / F.lit(float(width * STEP))
+    return F.when(ratio > 1, F.ceil(F.log(float(STEP), ratio))).otherwise(F.lit(0)).cast("int")
+
+
+def levels_in_use(intervals: DataFrame, s: str, e: str, width: float) -> list[int]:
+    """The levels that occur, ascending: one small aggregate, a few numbers whatever the table."""
+    return sorted(r[0] for r in intervals.select(_level(F.col(s), F.col(e), width)).distinct().collect()) or [0]
+
+
+def _at(x: Column, width: float, level: int) -> Column:
+    return F.floor(x / F.lit(float(width * STEP**level)))
+
+
+def spread(intervals: DataFrame, s: str, e: str, width: float, levels: list[int], upward: bool = False) -> DataFrame:
+    """Intervals with own level ``_own``, once for each bucket ``_b`` = (l, b) of that level, or ``upward`` of that one and all above."""
+    own, a, z = _level(F.col(s), F.col(e), width), F.col(s), F.col(e)
+
+    def buckets(level):
+        at = F.when(z >= a, F.sequence(_at(a, width, level), _at(z, width, level))).otherwise(F.array(_at(a, width, level)))
+        return F.transform(at, lambda b: F.struct(F.lit(level).alias("l"), b.alias("b")))
+
+    none = F.array().cast("array<struct<l:int,b:bigint>>")
+    on = [F.when((own <= m) if upward else (own == m), buckets(m)).otherwise(none) for m in levels]
+    return intervals.withColumn("_own", own).withColumn("_b", F.explode(F.concat(*on)))
 
 
 def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str, e: str, width: float, ends: str = "closed", how: str = "inner") -> DataFrame:
@@ -41,23 +71,32 @@ def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str
     if how == "left":
         hits = point_join(points, intervals.select(key, s, e).distinct(), key, t, s, e, width, ends)
         return intervals.join(hits, [key, s, e], "left")
-    spread = intervals.withColumn("_b", _buckets(F.col(s), F.col(e), width)).withColumnRenamed(key, "_k")
-    placed = points.withColumn("_b", F.floor(F.col(t) / F.lit(float(width))))
-    on = (placed[key] == spread["_k"]) & (placed["_b"] == spread["_b"]) & INSIDE[ends](F.col(t), F.col(s), F.col(e))
-    return placed.join(spread, on, "left" if how == "right" else "inner").drop("_b", "_k")
+    levels = levels_in_use(intervals, s, e, width)
+    if how == "right" and len(levels) > 1:
+        hits = point_join(points.select(key, t).distinct(), intervals, key, t, s, e, width, ends)
+        return points.join(hits, [key, t], "left").select(*points.columns, *[c for c in intervals.columns if c != key])
+    wide = spread(intervals, s, e, width, levels).withColumnRenamed(key, "_k").withColumnsRenamed({"_b": "_c"}).drop("_own")
+    asks = [F.struct(F.lit(m).alias("l"), _at(F.col(t), width, m).alias("b")) for m in levels]
+    placed = points.withColumn("_b", asks[0] if len(levels) == 1 else F.explode(F.array(*asks)))
+    same = (placed[key] == wide["_k"]) & (F.col("_b.l") == F.col("_c.l")) & (F.col("_b.b") == F.col("_c.b"))
+    return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e)), "left" if how == "right" else "inner").drop("_b", "_c", "_k")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, s1: str, e1: str, s2: str, e2: str, width: float) -> DataFrame:
     """Pairs of intervals with one key that overlap: not (e1 <= s2 or s1 >= e2).
 
-    Each pair is emitted once, in the bucket of the later start. Intervals
-    that end before they start match only under the condition as written.
+    Each pair is emitted once, on the level of the longer one and in the
+    bucket of the later start. Intervals that end before they start match only
+    under the condition as written.
     """
-    a = left.withColumn("_b", _buckets(F.col(s1), F.col(e1), width))
-    b = right.withColumn("_b2", _buckets(F.col(s2), F.col(e2), width)).withColumnRenamed(key, "_k")
-    later = F.floor(F.greatest(F.col(s1), F.col(s2)) / F.lit(float(width)))
-    on = (a[key] == b["_k"]) & (F.col("_b") == F.col("_b2")) & (F.col("_b") == later) & ~((F.col(e1) <= F.col(s2)) | (F.col(s1) >= F.col(e2)))
-    return a.join(b, on).drop("_b", "_b2", "_k")
+    levels = sorted({*levels_in_use(left, s1, e1, width), *levels_in_use(right, s2, e2, width)})
+    a = spread(left, s1, e1, width, levels, upward=True).withColumnRenamed("_own", "_l1")
+    b = spread(right, s2, e2, width, levels, upward=True).withColumnsRenamed({key: "_k", "_own": "_l2", "_b": "_c"})
+    start = F.greatest(F.col(s1), F.col(s2))
+    later = F.coalesce(*[F.when(F.col("_b.l") == m, _at(start, width, m)) for m in levels])
+    same = (a[key] == b["_k"]) & (F.col("_b.l") == F.col("_c.l")) & (F.col("_b.b") == F.col("_c.b"))
+    once = (F.col("_b.l") == F.greatest("_l1", "_l2")) & (F.col("_b.b") == later)
+    return a.join(b, same & once & ~((F.col(e1) <= F.col(s2)) | (F.col(s1) >= F.col(e2)))).drop("_b", "_c", "_k", "_l1", "_l2")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, t1: str, t2: str, payload: list[str], tolerance: float | None = None) -> DataFrame:
