@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.sources.staging import written
+
 
 def islands(df: DataFrame, by: str, order: list[str], label: str) -> DataFrame:
     """``df`` with ``island``: 0, 1, ... for runs of rows with one label; two nulls are one label."""
@@ -132,37 +134,50 @@ def tumbling(turns: DataFrame, start: str, end: str, lengths: list, snap=None) -
     return rows.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("w_start", F.col("_s") + F.col("win") * F.col("length")).withColumn("w_end", F.least(F.col("w_start") + F.col("length"), F.col(end))).drop("_s")
 
 
+def window_totals(windows: DataFrame, points: DataFrame, by: str, ids: list[str], start: str, end: str, t: str, value: str, width: float) -> DataFrame:
+    """(by, ids, n, total): number and sum of the points in each closed window [start, end], which ``by`` and ``ids`` name.
+
+    Points and the ends of windows stand in one order of time. A window's total
+    is the running total at its end less the one just before its start, so a
+    point counts once however many windows it lies in and a window costs two
+    rows, however long it is. The order is cut into blocks of ``width``, each with
+    the total of the blocks before it, so no task needs all rows of a key.
+    Null values and times don't count; a window without a point has 0 and 0.
+    Windows of a null key have none. Values that aren't whole carry the rounding
+    of a key's running total.
+    """
+    block = F.floor(F.col("_t") / F.lit(float(width))).alias("_b")
+    at = points.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, F.col(t).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value).cast("double")).alias("_v"))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((windows, start), (windows, end), (points, t))]
+    kind = "long" if all(k in ("tinyint", "smallint", "int", "bigint") for k in kinds) else "double"
+    id_type = ",".join(f"{c}:{windows.schema[c].dataType.simpleString()}" for c in ids)
+    sums = at.where("_t IS NOT NULL").select(by, F.col("_t").cast(kind).alias("_t"), F.lit(1).alias("_side"), "_n", "_v", F.lit(None).cast(f"struct<{id_type}>").alias("_w"))
+    ends = F.explode(F.array(F.struct(F.col(start).cast(kind).alias("t"), F.lit(0).alias("side")), F.struct(F.col(end).cast(kind).alias("t"), F.lit(2).alias("side")))).alias("_e")
+    asks = windows.select(by, F.struct(*ids).alias("_w"), ends).select(by, F.col("_e.t").alias("_t"), F.col("_e.side").alias("_side"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_v"), "_w")
+    rows = written(sums.unionByName(asks).select("*", block), "totals")
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(by, "_b").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+    past = totals.select(F.col(by).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pn"), F.coalesce(F.sum("_v").over(before), F.lit(0.0)).alias("_pv"))
+    inside = Window.partitionBy(by, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_n", F.sum("_n").over(inside)).withColumn("_v", F.sum("_v").over(inside)).where("_side <> 1")
+    run = run.join(past, F.col(by).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c")))
+    sign = F.col("_side") - 1
+    return (
+        run.select(by, "_w.*", (sign * (F.col("_n") + F.col("_pn"))).alias("_n"), (sign * (F.col("_v") + F.col("_pv"))).alias("_v"))
+        .groupBy(by, *ids).agg(F.sum("_n").alias("n"), F.sum("_v").alias("total"))
+    )
+
+
 def pooled_windows(turns: DataFrame, points: DataFrame, by: str, idx: str, start: str, end: str, t: str, value: str, lengths: list, snap, width: float, quantile: float = 0.8) -> DataFrame:
     """(by, idx, length, n_windows, mean, quantile): the means of ``value`` in the windows of ``tumbling``, pooled over each turn.
 
-    A point is joined once with the turns it lies in; its windows, two where it
-    stands on a closed boundary, follow by arithmetic. Windows without a point
-    count as zero. A row without a point stands for each turn and length, so
-    nothing is joined back.
+    Means come from running totals (``window_totals``). Windows without a point
+    count as zero.
     """
-    from reelgrid.operators.intervals import point_join
-
-    rows = turns.where(F.col(end) > F.col(start)).select(by, idx, (F.floor(F.col(start) / snap) * snap).alias("_s"), F.col(end).alias("_e"))
-    n_of = lambda length: F.ceil((F.col("_e") - F.col("_s")) / length)
-    x = F.col(t) - F.col("_s")
-
-    def places(length):
-        k = F.floor(x / length)
-        at = F.filter(F.array(F.when(k < n_of(length), k), F.when((x % length == 0) & (k > 0), k - 1)), lambda w: w.isNotNull())
-        return F.transform(at, lambda w: F.struct(F.lit(length).alias("length"), w.alias("win"), n_of(length).alias("n")))
-
-    hits = point_join(points.select(by, t, value), rows, by, t, "_s", "_e", width)
-    each = hits.select(by, idx, value, F.explode(F.concat(*[places(x) for x in lengths])).alias("w")).select(by, idx, "w.*", value)
-    none = F.array(*[F.struct(F.lit(x).alias("length"), F.lit(None).cast("long").alias("win"), n_of(x).alias("n")) for x in lengths])
-    seeds = rows.select(by, idx, F.explode(none).alias("w")).select(by, idx, "w.*", F.lit(None).cast("double").alias(value))
-    means = each.unionByName(seeds).groupBy(by, idx, "length", "win").agg(F.avg(value).alias("m"), F.max("n").alias("n"))
-    turn = means.groupBy(by, idx, "length").agg(F.max("n").alias("n_windows"), F.collect_list("m").alias("_m"))
-    full = turn.withColumn("_v", F.array_sort(F.concat("_m", F.array_repeat(F.lit(0.0), (F.col("n_windows") - F.size("_m")).cast("int")))))
-    rank = (F.col("n_windows") - 1) * quantile
-    low = F.floor(rank).cast("int")
-    lower, upper = F.get("_v", low), F.coalesce(F.get("_v", low + 1), F.get("_v", low))
-    total = F.aggregate("_m", F.lit(0.0), lambda a, v: a + v)
-    return full.select(by, idx, "length", "n_windows", (total / F.col("n_windows")).alias("mean"), (lower + (upper - lower) * (rank - low)).alias("quantile"))
+    windows = tumbling(turns.select(by, idx, start, end), start, end, lengths, snap)
+    means = window_totals(windows, points, by, [idx, "length", "win"], "w_start", "w_end", t, value, width)
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0))
+    return means.withColumn("m", mean).groupBy(by, idx, "length").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("m").alias("mean"), F.percentile("m", quantile).alias("quantile"))
 
 
 def fixed_chunks(df: DataFrame, start: str, end: str, length, rest: bool) -> DataFrame:

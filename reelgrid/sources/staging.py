@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folders handed out in this session, which go when its Python ends, or by ``sweep``.
@@ -40,3 +40,10 @@ def staging(spark: SparkSession, label: str) -> str:
     folder = f"{root.rstrip('/')}/staging/{uuid.uuid4().hex}"
     _left.append((spark, folder))
     return f"{folder}/{label}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new staging path and read back, so that what made it runs once."""
+    path = staging(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
