@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from reelgrid.functions import numeric as N
 from reelgrid.functions.vectors import dot
 from reelgrid.operators import intervals as I
+from reelgrid.operators.quantiles import quantiles
 from reelgrid.operators.topics import best_by_label, fixed_vectors
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
+from reelgrid.sources.staging import written
 
 
 def _valid(spark, sf):
@@ -46,8 +48,9 @@ def series_in_shots(spark, sf):
     p = A.points(spark, sf)
     last = F.max("t").over(Window.partitionBy("video_id"))
     p = p.withColumn("last_t", last).where("t < last_t").drop("last_t")
-    hits = I.point_join(p, _valid(spark, sf), "video_id", "t", "s", "e", 365, "left_open")
-    return hits.groupBy("video_id", "seg_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("middle"))
+    hits = written(I.point_join(p, _valid(spark, sf), "video_id", "t", "s", "e", 365, "left_open").select("video_id", "seg_id", "value"), "samples")
+    out = quantiles(hits, ["video_id", "seg_id"], {"middle": ("value", 0.5, "linear")}, also={"n": F.count(F.lit(1)), "mean": F.round(F.avg("value"), 6)})
+    return out.withColumn("middle", F.round("middle", 6))
 
 
 @query(

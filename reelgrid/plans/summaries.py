@@ -197,13 +197,12 @@ def ragged_scores(spark, sf):
     """,
 )
 def quantile80(spark, sf):
-    """Interpolated and lower quantiles."""
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
-        F.round(F.percentile("l_quantity", 0.8), 6).alias("q80"),
-        F.round(F.median("l_extendedprice"), 6).alias("median"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("lower_median"),
-        F.max("l_quantity").alias("top"),
-    )
+    """Interpolated and lower quantiles, by selection where a group is large."""
+    from reelgrid.operators.quantiles import quantiles
+
+    wanted = {"q80": ("l_quantity", 0.8, "linear"), "median": ("l_extendedprice", 0.5, "linear"), "lower_median": ("l_quantity", 0.5, "lower")}
+    out = quantiles(table(spark, sf, "lineitem"), ["l_suppkey"], wanted, also={"top": F.max("l_quantity")})
+    return out.select("l_suppkey", F.round("q80", 6).alias("q80"), F.round("median", 6).alias("median"), "lower_median", "top")
 
 
 @query(
