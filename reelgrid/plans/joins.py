@@ -310,3 +310,62 @@ def rule_cascade(spark, sf):
     typed = first_rule(b, "entity", "seq", rules)
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), "c_name")
     return c.join(typed, "entity", "left").select("entity", F.coalesce("rule_type", person_type(F.col("c_name"), F.lit("wikifier"))).alias("type"))
+
+
+#: A gazetteer of the benchmark's items: pairs of neighbouring words name an item, words of eight letters or more are its aliases.
+_WORDS = r"[\p{L}\p{N}]+"
+_GAZETTEER = rf"""
+    b AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM benchmark),
+    g AS (SELECT qid, array_to_string(w[i : i + 1], ' ') AS name, CAST(len(w) AS DOUBLE) AS weight FROM b, unnest(generate_series(1, len(w) - 1)) x(i)
+          UNION SELECT qid, x, len(w) FROM (SELECT qid, w, unnest(w) AS x FROM b) WHERE length(x) >= 8),
+    h AS (SELECT name, qid, weight / sum(weight) OVER (PARTITION BY name) AS prior FROM g),
+    n AS (SELECT name, qid, prior FROM h QUALIFY sum(-prior * log2(prior)) OVER (PARTITION BY name) <= 3),
+    long AS (SELECT DISTINCT qid, name FROM g WHERE length(name) >= 10 AND name NOT LIKE '% %'),
+    links AS (SELECT DISTINCT a.qid AS src, b.qid AS dst FROM long a JOIN long b ON a.name = b.name AND a.qid <> b.qid)"""
+
+_ROUNDS = 4
+
+
+def _ranks() -> str:
+    """Rounds of page rank, one table each."""
+    step = """r{i} AS (
+        SELECT begin.doc_id, begin.qid, begin.v * (0.15 + 0.85 * coalesce(lost, 0)) + 0.85 * coalesce(moved, 0) AS v FROM begin
+        LEFT JOIN (SELECT e.doc_id, e.dst AS qid, sum(r.v / deg.n) AS moved FROM edges e JOIN r{j} r ON r.doc_id = e.doc_id AND r.qid = e.src JOIN deg ON deg.doc_id = e.doc_id AND deg.src = e.src GROUP BY 1, 2) m
+            ON m.doc_id = begin.doc_id AND m.qid = begin.qid
+        LEFT JOIN (SELECT r.doc_id, sum(r.v) AS lost FROM r{j} r LEFT JOIN deg ON deg.doc_id = r.doc_id AND deg.src = r.qid WHERE deg.n IS NULL GROUP BY 1) l ON l.doc_id = begin.doc_id)"""
+    return "r0 AS (SELECT * FROM begin), " + ", ".join(step.format(i=i + 1, j=i) for i in range(_ROUNDS))
+
+
+@query(
+    "text_annotations",
+    rf"""
+    WITH {_GAZETTEER},
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORDS}') AS w, [length(x) FOR x IN regexp_extract_all(text, '([^\p{{L}}\p{{N}}]*)([\p{{L}}\p{{N}}]+)', 1)] AS gap,
+                 [length(x) FOR x IN regexp_extract_all(text, '{_WORDS}')] AS size FROM documents),
+    p AS (SELECT doc_id, i, w[i] AS w, sum(gap[i] + size[i]) OVER (PARTITION BY doc_id ORDER BY i) AS stop, size[i] AS size FROM d, unnest(generate_series(1, len(w))) x(i)),
+    q AS (SELECT doc_id, w, stop - size AS start, stop, w || ' ' || lead(w) OVER o AS pair, lead(stop) OVER o AS pair_stop FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    names AS (SELECT DISTINCT name FROM n),
+    s AS (SELECT doc_id, name, start, stop FROM q JOIN names ON name = w UNION ALL SELECT doc_id, name, start, pair_stop FROM q JOIN names ON name = pair),
+    c AS (SELECT doc_id, qid, sum(prior) AS v FROM s JOIN n USING (name) GROUP BY 1, 2),
+    begin AS (SELECT doc_id, qid, v / sum(v) OVER (PARTITION BY doc_id) AS v FROM c),
+    edges AS (SELECT a.doc_id, src, dst FROM begin a JOIN links ON src = a.qid JOIN begin z ON z.doc_id = a.doc_id AND z.qid = dst),
+    deg AS (SELECT doc_id, src, count(*) AS n FROM edges GROUP BY 1, 2),
+    {_ranks()}
+    SELECT s.doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", s.name, n.qid, round(v, 6) AS page_rank
+    FROM s JOIN n USING (name) JOIN r{_ROUNDS} r ON r.doc_id = s.doc_id AND r.qid = n.qid
+    """,
+)
+def text_annotations(spark, sf):
+    """The benchmark's items that whole documents may name, where, and their page rank in the document."""
+    from reelgrid.operators.annotate import annotate
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    long = F.array_distinct(F.filter("w", lambda x: F.length(x) >= 8))
+    names = F.when(F.size("w") > 1, F.concat(pairs, long)).otherwise(long)
+    g = b.select("qid", F.get(names, F.lit(0)).alias("label"), names.alias("aliases"), F.size("w").cast("double").alias("weight"))
+    longer = b.select("qid", F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) >= 10))).alias("x"))
+    links = longer.withColumnRenamed("qid", "src").join(longer.withColumnRenamed("qid", "dst"), "x").where("src <> dst").select("src", "dst").distinct()
+    found = annotate(table(spark, sf, "documents"), "doc_id", "text", g, links, rounds=_ROUNDS)
+    return found.select("doc_id", "start", "end", "name", "qid", F.round("page_rank", 6).alias("page_rank"))
