@@ -39,35 +39,57 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-TURN = "video_id long, start_us long, end_us long, speaker string, n long"
+TURN = "video_id long, turn int, start long, end long, speaker string, text string, n_words long"
 
+#: The open turn of a video and what it needs to close, and the segments that may still be preceded.
+TURN_STATE = "turn int, before long, first long, last long, speaker string, texts array<string>, n_words long, idx array<long>, starts array<long>, ends array<long>, speakers array<string>, words array<string>, counts array<long>"
 
-def online_turns(segments: DataFrame) -> DataFrame:
-    """Turns of consecutive segments of one speaker as they close.
 
-    segments(video_id, start_us, end_us, speaker), in order in each video. The
-    open turn of a video is the state; it is emitted when another speaker
-    starts, and after an hour without rows.
+def online_turns(segments: DataFrame, t: str, gap: int = 10_000) -> DataFrame:
+    """The rows of ``speaker_turns`` as turns close, whatever order segments arrive in within the watermark on ``t``.
+
+    segments(video_id, idx, start_us, end_us, speaker, text) with ``t``, the
+    start as a timestamp that bears a watermark. A segment waits in its
+    video's state until the watermark has passed its start, so none can come
+    before it; then it joins the open turn or closes it. A turn is emitted when
+    another speaker starts. The last turn of a video stays open, since more of
+    it may come: a row that ends a stream, with a speaker of its own, closes
+    it. Segments behind the watermark go. The state holds one turn
+    and the segments of one watermark's delay.
     """
+    rows = segments.select("video_id", "idx", "start_us", "end_us", "speaker", F.trim("text").alias("text"), F.coalesce(F.regexp_count(F.trim("text"), F.lit(r"\S+")), F.lit(-1)).cast("long").alias("n_words"), t)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        open_turn = state.get if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], *open_turn)], columns=["video_id", "start_us", "end_us", "speaker", "n"])
-            return
-        rows = pd.concat(list(batches)).sort_values("start_us")
+        turn, before, first, last, speaker, texts, n_words, *held = state.get if state.exists else (0, None, None, None, None, [], None, *([] for _ in range(6)))
+        waiting = list(zip(*(list(x) for x in held), strict=True))
+        texts = list(texts)
+        if not state.hasTimedOut:
+            for batch in batches:
+                clean = batch.astype(object).where(batch.notna(), None)
+                waiting += zip(clean["idx"], clean["start_us"], clean["end_us"], clean["speaker"], clean["text"], clean["n_words"], strict=True)
+        waiting.sort(key=lambda r: (r[1], r[0]))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [r for r in waiting if r[1] < passed]
+        waiting = waiting[len(ready) :]
         out = []
-        for s, e, who in zip(rows.start_us, rows.end_us, rows.speaker, strict=True):
-            if open_turn and open_turn[2] == who:
-                open_turn = (open_turn[0], int(e), who, open_turn[3] + 1)
+        for _, start, end, who, text, count in ready:
+            if first is not None and who == speaker:
+                last = end
             else:
-                if open_turn:
-                    out.append((key[0], *open_turn))
-                open_turn = (int(s), int(e), who, 1)
-        state.update(open_turn)
-        state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame(out, columns=["video_id", "start_us", "end_us", "speaker", "n"])
-
-    grouped = segments.select("video_id", "start_us", "end_us", "speaker").groupBy("video_id")
-    return grouped.applyInPandasWithState(run, TURN, "start_us long, end_us long, speaker string, n long", "append", "ProcessingTimeTimeout")
+                if first is not None:
+                    begin = before + gap if before is not None and first - before <= gap else first
+                    out.append((key[0], turn, begin, last, speaker, " ".join(texts), n_words))
+                    turn, before = turn + 1, last
+                first, last, speaker, texts, n_words = start, end, who, [], None
+            if count >= 0:  # below zero without a text
+                texts.append(text)
+                n_words = (n_words or 0) + int(count)
+        state.update((turn, before, first, last, speaker, texts, n_words, *([r[i] for r in waiting] for i in range(6))))
+        if waiting:
+            # The first that waits is due once the watermark has passed its millisecond.
+            state.setTimeoutTimestamp(max(int(waiting[0][1]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        columns = ["video_id", "turn", "start", "end", "speaker", "text", "n_words"]
+        made = pd.DataFrame(out, columns=columns, dtype=object)
+        yield made.astype({"video_id": "int64", "turn": "int32", "start": "int64", "end": "int64", "n_words": "Int64"})
+
+    return rows.groupBy("video_id").applyInPandasWithState(run, TURN, TURN_STATE, "append", "EventTimeTimeout")
