@@ -9,9 +9,11 @@ SQL without weights. A null input gives a null result.
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,7 +81,9 @@ def _stand_in(name: str):
             return labels[int(h[:12], 16) % len(labels)]
         if kind == _SCORES:
             raw = [unit[i] + 0.01 for i in range(len(labels))]
-            return [{"label": x, "prob": r / sum(raw)} for x, r in zip(labels, raw, strict=True)]
+            # Added one by one, as SQL adds; ``sum`` compensates since Python 3.12.
+            total = reduce(operator.add, raw)
+            return [{"label": x, "prob": r / total} for x, r in zip(labels, raw, strict=True)]
         if kind in ("array<float>", "array<double>"):
             return unit
         if name == "transcribe":

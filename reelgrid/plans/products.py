@@ -315,7 +315,8 @@ def model_slots(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     for name in SLOTS:
         d = apply_model(d, name, F.col("text"), name)
-    five = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 5))
+    # As the SQL rounds: scaled, to the nearest whole number, and back.
+    five = lambda c: F.transform(c, lambda x: F.round(x.cast("double") * 100000) / 100000)
     shown = {
         "transcribe": F.concat(F.get("transcribe", F.lit(0))["text"], F.lit(" "), F.get("transcribe", F.lit(0))["speaker"]),
         "tag_text": F.when(F.col("text").isNotNull(), F.size("tag_text").cast("long")),
