@@ -17,3 +17,37 @@ def test_slot_scores_are_added_as_sql_adds(spark, tmp_path):
     want = con.sql(f"SELECT doc_id, speaker_attributes FROM ({catalog.ORACLES['model_slots']}) ORDER BY 1").fetchall()
     got = catalog.QUERIES["model_slots"](spark, str(tmp_path)).select("doc_id", "speaker_attributes").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_blocks_find_neighbours_and_trees_of_many_blocks(spark, monkeypatch):
+    """Against plain code with blocks of a few rows, copies and ties of distance among them."""
+    from reelgrid.operators import density_clusters as D
+    from reelgrid.operators import vector_blocks as B
+    from tests.test_density_clusters import collapsed, frame, plain_tree
+
+    monkeypatch.setattr(B, "LEAST", 8)
+    monkeypatch.setattr(B, "TILE", 60)
+    g = np.random.default_rng(5)
+    grid = [(float(a), float(b), 1.0) for a in range(4) for b in range(4)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([*g.normal(0, 1, (60, 3)), *grid, *grid[:5]])]
+    ids, x, copies, _ = collapsed(rows)
+    tree, _ = plain_tree(ids, x, copies, 3)
+    got = sorted((r.w, r.a, r.b) for r in D.reachability_tree(frame(spark, rows), "k", "i", "e", 3).collect())
+    assert len(got) == len(tree) and np.allclose([e[0] for e in got], [e[0] for e in tree], atol=1e-9)
+    near = {}
+    for r in D.nearest(frame(spark, rows), "k", "i", "e", 4).collect():
+        near.setdefault(r.i, []).append((r.rank, r.dist))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for i in unit:
+        want = sorted(float(np.linalg.norm(unit[i] - unit[j])) for j in unit if j != i)[:4]
+        assert np.allclose([d for _, d in sorted(near[i])], want, atol=1e-9)
+
+
+def test_neighbours_meet_no_pivots(spark, monkeypatch):
+    """No row for each vector and pivot: of vectors without structure all cells stay open, and those rows grew by the power 1.5."""
+    from reelgrid.operators import density_clusters as D
+    from tests.test_density_clusters import frame
+
+    monkeypatch.setattr(D, "cells", None)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.random.default_rng(6).normal(0, 1, (40, 4)))]
+    assert D.core_distances(frame(spark, rows), "k", "i", "e", 5).count() == 40
