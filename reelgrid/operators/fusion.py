@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.numeric import overlap_share
-from reelgrid.functions.vectors import l1_normalise
+from reelgrid.functions.vectors import bound, l1_normalise
 from reelgrid.operators.aggregates import ensemble_vote, evenly_spaced, longest_visible
-from reelgrid.operators.intervals import first_match, left_fusion, overlap_join, point_join
-from reelgrid.operators.sequences import tumbling
+from reelgrid.operators.intervals import left_fusion, overlap_join, point_join
+from reelgrid.operators.sequences import window_start
+from reelgrid.sources.staging import written
 
 
 def face_analysis(faces: DataFrame, tracks: DataFrame, clusters: DataFrame, gaze: DataFrame, speaking: DataFrame, emotions: DataFrame) -> DataFrame:
@@ -59,40 +60,40 @@ def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, sit
     return out.withColumn("active_ratio", ratio).withColumn("active", F.coalesce(F.col("active_ratio") > threshold, F.lit(False)))
 
 
-def label_means(windows: DataFrame, keys: list[str], labels: DataFrame, width: float) -> DataFrame:
-    """(keys, label, mean): mean probability of each label over the frames inside a closed window.
+def _points_inside(points: DataFrame, extents: DataFrame, cols: list[str], name: str, width: float) -> DataFrame:
+    """(video_id, idx, name): the points in each closed extent as an array of (t, cols)."""
+    hits = point_join(points.select("video_id", "t", *cols), extents.select("video_id", "idx", "h_start", "h_end"), "video_id", "t", "h_start", "h_end", width)
+    return hits.groupBy("video_id", "idx").agg(F.collect_list(F.struct("t", *cols)).alias(name))
 
-    windows(video_id, keys, w_start, w_end), labels(video_id, t, label, value).
-    """
-    hits = point_join(labels, windows, "video_id", "t", "w_start", "w_end", width)
-    return hits.groupBy("video_id", *keys, "label").agg(F.avg("value").alias("mean"))
 
+def _overlapping(segments: DataFrame, extents: DataFrame, width: float) -> DataFrame:
+    """Segments, without ``idx`` of their own, with each extent that they overlap."""
+    return overlap_join(segments, extents, "video_id", "s", "e", "h_start", "h_end", width)
 
-def first_overlapping(windows: DataFrame, keys: list[str], segments: DataFrame, width: float, least: float = 0.7) -> DataFrame:
-    """(keys, vector): the first segment of which more than ``least`` lies in the window and whose vector isn't all zero.
 
-    segments(video_id, s, e, idx, vector).
-    """
-    pairs = overlap_join(segments.withColumnRenamed("idx", "_seq"), windows, "video_id", "s", "e", "w_start", "w_end", width)
-    share = overlap_share(F.col("s"), F.col("e"), F.col("w_start"), F.col("w_end"))
-    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return first_match(pairs.where((share > least) & (total != 0)), ["video_id", *keys], ["_seq"]).select("video_id", *keys, "vector")
+def _segments_over(segments: DataFrame, extents: DataFrame, cols: list[str], name: str, width: float) -> DataFrame:
+    """(video_id, idx, name): the segments that overlap each extent as an array of (s, e, cols)."""
+    hits = _overlapping(segments.select("video_id", "s", "e", *cols), extents, width)
+    return hits.groupBy("video_id", "idx").agg(F.collect_list(F.struct("s", "e", *cols)).alias(name))
 
 
-def mean_overlapping(windows: DataFrame, keys: list[str], segments: DataFrame, classes: list[str], width: float, least: float = 0.8) -> DataFrame:
-    """(keys, class columns): means over all segments of which at least ``least`` lies in the window.
+def _mean(values: Column) -> Column:
+    """Mean of an array's values that are not null; null without one."""
+    return bound(F.filter(values, lambda v: v.isNotNull()), lambda known: F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known)))
 
-    segments(video_id, s, e, and a column a class).
-    """
-    pairs = overlap_join(segments.select("video_id", "s", "e", *classes), windows, "video_id", "s", "e", "w_start", "w_end", width)
-    share = overlap_share(F.col("s"), F.col("e"), F.col("w_start"), F.col("w_end"))
-    return pairs.where(share >= least).groupBy("video_id", *keys).agg(*[F.avg(c).alias(c) for c in classes])
 
+def first_overlapping(extents: DataFrame, segments: DataFrame, width: float, least: float = 0.7) -> DataFrame:
+    """(video_id, idx, vector): the first segment of which more than ``least`` lies in the turn and whose vector isn't all zero.
 
-def shot_counts(windows: DataFrame, keys: list[str], shots: DataFrame, width: float) -> DataFrame:
-    """(keys, n_shots): shots(video_id, s, e) that overlap the window."""
-    pairs = overlap_join(windows, shots.select("video_id", "s", "e"), "video_id", "w_start", "w_end", "s", "e", width)
-    return pairs.groupBy("video_id", *keys).agg(F.count(F.lit(1)).alias("n_shots"))
+    segments(video_id, s, e, idx, vector). Vectors join after the first is known.
+    """
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    some = segments.where(total != 0).withColumnRenamed("idx", "_seq")
+    pairs = _overlapping(some.select("video_id", "s", "e", "_seq"), extents, width)
+    share = overlap_share(F.col("s"), F.col("e"), F.col("start"), F.col("end"))
+    firsts = pairs.where(share > least).groupBy("video_id", "idx").agg(F.min(F.struct("_seq", "s", "e")).alias("_f")).select("video_id", "idx", "_f.*")
+    at = ["video_id", "_seq", "s", "e"]
+    return firsts.join(some.select(*at, "vector").dropDuplicates(at), at).select("video_id", "idx", "vector")
 
 
 def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots: DataFrame, sentiment: DataFrame, pos: DataFrame, ner: DataFrame, context: DataFrame, label_order: list[str], window_lengths: list, width: float, snap=None, least_length=1.0) -> DataFrame:
@@ -102,18 +103,42 @@ def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots
     part-of-speech shares, entity flags, context similarities. The second has,
     for each window length, label means, density, the 0.8 quantile of each
     sentiment and shots, averaged over windows, then the rest of the first.
+    A turn first gathers the points and segments in its whole extent.
     Turns shorter than ``least_length`` have zeros throughout; so has whatever
     isn't found. Part-of-speech and entity inputs are taken as named.
     """
     long = turns.where(F.col("end") - F.col("start") >= least_length)
-    whole = long.select("video_id", "idx", F.lit(0).alias("length"), F.lit(0).cast("long").alias("win"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
-    parts = tumbling(long, "start", "end", window_lengths, snap).select("video_id", "idx", "length", "win", "w_start", "w_end")
-    windows, keys = whole.unionByName(parts), ["idx", "length", "win"]
-    id_keys = ["video_id", *keys]
+    begin = window_start("start", snap)
+    extents = written(long.select("video_id", "idx", "start", "end", F.least("start", begin).alias("h_start"), F.col("end").alias("h_end")), "extents")
     sent = ["positive", "negative", "neutral"]
-    lab = label_means(windows, keys, labels, width).groupBy(*id_keys).pivot("label", label_order).agg(F.first("mean"))
-    dens = point_join(density, windows, "video_id", "t", "w_start", "w_end", width).groupBy(*id_keys).agg(F.avg("y").alias("_density"))
-    each = windows.join(lab, id_keys, "left").join(dens, id_keys, "left").join(shot_counts(windows, keys, shots, width), id_keys, "left").join(mean_overlapping(windows, keys, sentiment, sent, width), id_keys, "left")
+    known = labels.select("video_id", "t", F.array_position(F.array(*map(F.lit, label_order)), F.col("label")).cast("int").alias("l"), F.col("value").cast("double").alias("value")).where("l > 0")
+    met = extents.select("video_id", "idx", "start", "end")
+    for part in (
+        _points_inside(known, extents, ["l", "value"], "_labels", width), _points_inside(density.withColumn("y", F.col("y").cast("double")), extents, ["y"], "_ys", width),
+        _segments_over(shots, extents, [], "_shots", width), _segments_over(sentiment.select("video_id", "s", "e", *[F.col(c).cast("double").alias(c) for c in sent]), extents, sent, "_sent", width),
+    ):
+        met = met.join(part, ["video_id", "idx"], "left")
+    # Windows are made in the rows of their turns, which hold all that a window can meet, so no window is shuffled.
+    window = lambda length, a, z: F.struct(F.lit(float(length)).alias("length"), a.cast("double").alias("w_start"), z.cast("double").alias("w_end"))
+
+    def cut(x):
+        numbers = F.sequence(F.lit(0).cast("long"), F.ceil((F.col("end") - begin) / x) - 1)
+        return F.transform(numbers, lambda i: window(x, begin + i * x, F.least(begin + i * x + x, F.col("end"))))
+
+    windows = [F.array(window(0, F.col("start"), F.col("end"))), *map(cut, window_lengths)]
+    each = met.withColumn("_win", F.explode(F.concat(*windows))).select("video_id", "idx", "_win.*", "_labels", "_ys", "_shots", "_sent")
+    of_label = lambda i: F.filter("_labels", lambda p: p["l"] == i)["value"]
+    inside = lambda p: (p["t"] >= F.col("w_start")) & (p["t"] <= F.col("w_end"))
+    over = lambda g: ~((g["e"] <= F.col("w_start")) | (g["s"] >= F.col("w_end")))
+    share = lambda g: overlap_share(g["s"], g["e"], F.col("w_start"), F.col("w_end"))
+    each = each.select(
+        "video_id", "idx", "length", F.filter("_labels", inside).alias("_labels"), F.filter("_ys", inside)["y"].alias("_ys"),
+        F.size(F.filter(F.coalesce("_shots", F.array()), over)).alias("n_shots"), F.filter("_sent", lambda g: over(g) & (share(g) >= 0.8)).alias("_sent"),
+    )
+    each = each.select(
+        "video_id", "idx", "length", "n_shots", _mean(F.col("_ys")).alias("_density"), *[_mean(F.col("_sent")[c]).alias(c) for c in sent],
+        *[_mean(of_label(i + 1)).alias(x) for i, x in enumerate(label_order)],
+    )
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     labelled = [F.coalesce(F.avg(F.col(f"`{x}`")), F.lit(0.0)) for x in label_order]
     pooled = each.groupBy("video_id", "idx", "length").agg(
@@ -125,9 +150,8 @@ def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots
         F.flatten(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("length", "_a", "_q", "_n"))), lambda x: x["length"] > 0), lambda x: F.concat(x["_a"], x["_q"], F.array(x["_n"])))).alias("_windows"),
     )
     on = ["video_id", "idx"]
-    w = whole.select("video_id", "idx", "w_start", "w_end")
-    tags = first_overlapping(w, ["idx"], pos, width).select(*on, l1_normalise(F.col("vector")).alias("_pos"))
-    flags = first_overlapping(w, ["idx"], ner, width).select(*on, F.transform("vector", lambda x: (x > 0).cast("double")).alias("_ner"))
+    tags = first_overlapping(extents, pos, width).select(*on, l1_normalise(F.col("vector")).alias("_pos"))
+    flags = first_overlapping(extents, ner, width).select(*on, F.transform("vector", lambda x: (x > 0).cast("double")).alias("_ner"))
     out = turns.join(by_length, on, "left").join(tags, on, "left").join(flags, on, "left").join(context.select(*on, F.col("context").cast("array<double>").alias("_ctx")), on, "left")
     sizes = {"_pos": 14, "_ner": 6, "_ctx": 6}
     rest = F.concat(*[F.coalesce(c, F.array_repeat(F.lit(0.0), k)) for c, k in sizes.items()])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.sources.staging import written
@@ -127,13 +127,18 @@ def chain_edges(df: DataFrame, by: str, order: list[str], node: str) -> DataFram
 
 def tumbling(turns: DataFrame, start: str, end: str, lengths: list, snap=None) -> DataFrame:
     """A row for each window of each length in each turn; the last is cut at the turn's end. Turns without length have none."""
-    s = (F.floor(F.col(start) / snap) * snap) if snap else F.col(start)
+    s = window_start(start, snap)
     each = F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length")
     rows = turns.where(F.col(end) > F.col(start)).select("*", each).withColumn("_s", s)
     n = F.ceil((F.col(end) - F.col("_s")) / F.col("length"))
     return rows.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("w_start", F.col("_s") + F.col("win") * F.col("length")).withColumn("w_end", F.least(F.col("w_start") + F.col("length"), F.col(end))).drop("_s")
 
 
+def window_start(start: str, snap=None) -> Column:
+    """Where a turn's first window starts."""
+    return (F.floor(F.col(start) / snap) * snap) if snap else F.col(start)
+
+
 def window_totals(windows: DataFrame, points: DataFrame, by: str, ids: list[str], start: str, end: str, t: str, value: str, width: float) -> DataFrame:
     """(by, ids, n, total): number and sum of the points in each closed window [start, end], which ``by`` and ``ids`` name.
 

@@ -9,7 +9,7 @@ from reelgrid.operators import classify, fusion, tiers
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
 from reelgrid.sources import readers, sinks
-from reelgrid.sources.staging import staging
+from reelgrid.sources.staging import staging, written
 from reelgrid.streaming import events as V
 
 
@@ -88,8 +88,8 @@ TURN_FEATURES = f"""WITH {A.INTERVALS}, {A.POINTS},
 
 
 def _turn_features(spark, sf):
-    v = A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end")
-    p = A.points(spark, sf).selectExpr("video_id", "cast(t AS double) AS t", "value / 50 AS value", "label")
+    v = written(A.intervals(spark, sf).where("e > s").selectExpr("video_id", "seg_id AS idx", "cast(s AS double) AS start", "cast(e AS double) AS end"), "turns")
+    p = written(A.points(spark, sf).selectExpr("video_id", "cast(t AS double) AS t", "value / 50 AS value", "label"), "points")
     seg = v.selectExpr("video_id", "start AS s", "end AS e", "idx")
     sent = seg.selectExpr("video_id", "s", "e", "idx % 7 / 7 AS positive", "idx % 5 / 5 AS negative", "idx % 3 / 3 AS neutral")
     pos = seg.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: (i * F.col("idx")) % 3))

@@ -51,3 +51,12 @@ def test_neighbours_meet_no_pivots(spark, monkeypatch):
     monkeypatch.setattr(D, "cells", None)
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.random.default_rng(6).normal(0, 1, (40, 4)))]
     assert D.core_distances(frame(spark, rows), "k", "i", "e", 5).count() == 40
+
+
+def test_turn_features_shuffle_no_windows(spark):
+    """Windows are made in their turns' rows: none is an exchanged column, whatever their number."""
+    from reelgrid.plans.products import _turn_features
+
+    plan = _turn_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("w_start" in line or "win#" in line for line in joins)
