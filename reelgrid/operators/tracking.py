@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.operators.proximity import connected, near_pairs
+from reelgrid.operators.proximity import connected, near_links
 
 
 def _iou(a, b) -> float:
@@ -66,10 +66,10 @@ def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float
     """(by, item, cluster): density clusters of cosine distance ``eps`` and two points at least; -1 for points alone.
 
     With two points a cluster is a connected component of the near pairs, which
-    are joined through pivots; no task holds a key's vectors. Clusters are
+    are linked by pairs of blocks; no task holds a key's vectors or all pairs. Clusters are
     numbered in each key by their first item. Items are unique in their key.
     """
-    pairs = near_pairs(vectors, by, item, vec, eps)
+    pairs = near_links(vectors, by, item, vec, eps)
     node = lambda c: F.struct(F.col(by).alias("k"), F.col(c).alias("i"))
     names = connected(pairs.select(node(item).alias("a"), node("other").alias("b")), "a", "b")
     first = names.groupBy("name").agg(F.min("node.i").alias("_first"), F.min("node.k").alias("_k"))

@@ -60,3 +60,19 @@ def test_turn_features_shuffle_no_windows(spark):
     plan = _turn_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and not any("w_start" in line or "win#" in line for line in joins)
+
+
+def test_links_are_fewer_than_pairs_and_connect_the_same(spark, monkeypatch):
+    """Of 90 vectors that are all near each other: 4,005 pairs, but for each two blocks fewer links than vectors."""
+    from reelgrid.operators import proximity
+    from reelgrid.operators import vector_blocks as B
+
+    monkeypatch.setattr(B, "LEAST", 20)
+    g = np.random.default_rng(8)
+    rows = [("v", i, [float(c) for c in np.array([3.0, 0, 0, 0]) + g.normal(0, 0.05, 4)]) for i in range(90)]
+    df = spark.createDataFrame([*rows, ("v", 90, [0.0, 1.0, 0.0, 0.0]), ("w", 91, [0.0, 1.0, 0.0, 0.0]), ("v", 92, None)], "v string, i long, e array<double>")
+    assert proximity.near_pairs(df, "v", "i", "e", 0.1).count() == 90 * 89 // 2
+    links = proximity.near_links(df, "v", "i", "e", 0.1)
+    assert links.count() < 15 * 40
+    names = {r.node: r.name for r in proximity.connected(links, "i", "other").collect()}
+    assert set(names) == set(range(90)) and len(set(names.values())) == 1
