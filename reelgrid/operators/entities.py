@@ -16,12 +16,18 @@ def link_mentions(mentions: DataFrame, candidates: DataFrame, search: DataFrame,
     first on ties. Without one the search table's first hit counts, else the
     mention is ``unk``. Mentions of one character, or of a type other than
     PER, ORG, LOC and MISC, go. Mentions and candidates join on ``within``, the
-    text they stand in, so the range condition only sees one text's rows.
+    text they stand in, each span of characters once.
     """
     m = mentions.where((F.length("text") >= 2) & F.col("type").isin("PER", "ORG", "LOC", "MISC"))
     c = candidates.where(F.col("page_rank") >= least_rank)
     fits = (F.col("ch_from") >= F.col("start") - slack) & (F.col("ch_to") <= F.col("end") + slack)
-    best = m.join(c, within).where(fits).groupBy(*by).agg(F.max_by("qid", F.struct("page_rank", -F.col("seq"))).alias("qid"))
+    rank = F.struct("page_rank", -F.col("seq"))
+    top = F.max_by(F.struct("qid", "page_rank", "seq"), rank).alias("_c")
+    span = [*within, "start", "end"]
+    # Of candidates on the same characters only the best can win, and mentions on the same characters have one winner.
+    alone = c.groupBy(*within, "ch_from", "ch_to").agg(top).select(*within, "ch_from", "ch_to", "_c.*")
+    winners = m.select(*span).distinct().join(alone, within).where(fits).groupBy(*span).agg(top).select(*span, "_c.*")
+    best = m.join(winners, span).groupBy(*by).agg(F.max_by("qid", rank).alias("qid"))
     out = m.join(best, by, "left").join(search, search_on, "left")
     return out.withColumn("wd_id", F.coalesce("qid", "search_id", F.lit("unk"))).withColumn(
         "disambiguation", F.when(F.col("qid").isNotNull(), "wikifier").when(F.col("search_id").isNotNull(), "search").otherwise("unk")

@@ -76,3 +76,20 @@ def test_links_are_fewer_than_pairs_and_connect_the_same(spark, monkeypatch):
     assert links.count() < 15 * 40
     names = {r.node: r.name for r in proximity.connected(links, "i", "other").collect()}
     assert set(names) == set(range(90)) and len(set(names.values())) == 1
+
+
+def test_linking_meets_each_span_once(spark):
+    """Many mentions and candidates on the same characters of one text: the join holds spans, not their product."""
+    from reelgrid.operators.entities import link_mentions
+
+    m = spark.range(300).selectExpr("id", "1 AS turn", "cast(id % 3 AS int) * 4 AS start", "cast(id % 3 AS int) * 4 + 10 AS end", "'name' AS text", "'PER' AS type")
+    c = spark.range(400).selectExpr("concat('Q', id) AS qid", "id AS seq", "1 AS turn", "cast(id % 2 AS int) * 4 AS ch_from", "cast(id % 2 AS int) * 4 + 9 AS ch_to", "cast(id % 7 AS double) AS page_rank")
+    found = spark.range(0).selectExpr("id AS hit", "'x' AS search_id")
+    out = link_mentions(m, c, found, F.col("id") == F.col("hit"), ["id"], ["turn"])
+    got = {r.id: r.wd_id for r in out.collect()}
+    cands = [(i % 7, -i, i % 2 * 4) for i in range(400) if i % 7]
+    want = {i: "Q%d" % -max((r, s) for r, s, f in cands if f >= i % 3 * 4 - 2 and f + 9 <= i % 3 * 4 + 12)[1] if any(f >= i % 3 * 4 - 2 and f + 9 <= i % 3 * 4 + 12 for _, _, f in cands) else "unk" for i in range(300)}
+    assert got == want
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "ch_from" in line]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert joins and plan[plan.index(joins[0]) + len(joins[0]) :].lstrip(" :+-\n").startswith("Aggregate")
