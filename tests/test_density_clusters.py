@@ -189,3 +189,26 @@ def test_topics_of_the_table(spark):
     want = plain_clusters(ids, x, copies, 10, 5)
     got = {r.vec_id: r.cluster for r in catalog.QUERIES["density_topics"](spark, SF).collect()}
     assert got == {i: want.get(rep[i]) for i, _ in rows}
+
+@pytest.mark.parametrize("bound", [0, 5])
+def test_rounds_and_bounded_finish_agree(table, monkeypatch, bound):
+    tree = lambda: sorted((r.k, r.w, r.a, r.b) for r in D.reachability_tree(table, "k", "i", "e", SAMPLES).collect())
+    clusters = lambda: {(r.k, r.i): r.cluster for r in D.density_clusters(table, "k", "i", "e", LEAST, SAMPLES).collect()}
+    edges, found = tree(), clusters()
+    monkeypatch.setattr(D, "BOUND", bound)
+    monkeypatch.setattr(D, "CHUNK", 16)
+    assert tree() == edges and clusters() == found
+
+
+def test_rounds_do_not_grow_with_the_height_of_the_tree(spark, monkeypatch):
+    """Groups that attach one after the other to what is there: the tables that are written are as many as for two groups."""
+    def written(groups):
+        names, inner = [], D._written
+        monkeypatch.setattr(D, "_written", lambda df, name: names.append(name) or inner(df, name))
+        rows = [(g * 20 + j, [math.cos(at), math.sin(at)]) for g in range(groups) for j in range(12) for at in [0.05 * 1.4**g + 1e-5 * j * 1.1**j]]
+        found = {r.cluster for r in D.density_clusters(frame(spark, rows), "k", "i", "e", LEAST, SAMPLES).collect()} - {None}
+        monkeypatch.setattr(D, "_written", inner)
+        return len(found), sum(n != "parents" for n in names)
+
+    (_, few), (many_found, many) = written(2), written(9)
+    assert many_found >= 2 and few == many < 25
