@@ -46,7 +46,7 @@ def _graph_rows(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def graph_documents(nodes: DataFrame, edges: DataFrame, key: str = "video_id", types: dict[str, str] | None = None) -> DataFrame:
-    """(key, xml): one GraphML document a graph. A graph's rows meet in one task.
+    """(key, xml): one GraphML document a graph. A graph's rows meet in one task, and graphs are dealt to as many tasks as the session has for a shuffle.
 
     ``types`` names the type of an attribute (boolean, int, long, float,
     double); others are strings, the weight of edges is a double.
@@ -57,17 +57,19 @@ def graph_documents(nodes: DataFrame, edges: DataFrame, key: str = "video_id", t
         import pandas as pd
 
         rows = pdf.assign(attrs=[[(x["key"], x["value"]) for x in at] for at in pdf["attrs"]])
-        names = {k: sorted({a for at in rows["attrs"][rows["kind"] == k] for a, _ in at}) for k in ("node", "edge")}
-        head = [f'<key id="{k[0]}{i}" for="{k}" attr.name={quoteattr(a)} attr.type="{kinds.get(a, "string")}"/>' for k in names for i, a in enumerate(names[k])]
+        names = {k: {a: i for i, a in enumerate(sorted({a for at in rows["attrs"][rows["kind"] == k] for a, _ in at}))} for k in ("node", "edge")}
+        head = [f'<key id="{k[0]}{i}" for="{k}" attr.name={quoteattr(a)} attr.type="{kinds.get(a, "string")}"/>' for k in names for a, i in names[k].items()]
         body = []
         for r in sorted(rows.to_dict("records"), key=lambda r: (r["kind"] == "edge", r["id"], r["dst"] or "")):
-            data = "".join(f'<data key="{r["kind"][0]}{names[r["kind"]].index(a)}">{escape(v)}</data>' for a, v in r["attrs"])
+            data = "".join(f'<data key="{r["kind"][0]}{names[r["kind"]][a]}">{escape(v)}</data>' for a, v in r["attrs"])
             tag = f"<node id={quoteattr(r['id'])}>{data}</node>" if r["kind"] == "node" else f"<edge source={quoteattr(r['id'])} target={quoteattr(r['dst'])}>{data}</edge>"
             body.append(tag)
         xml = '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(head) + '<graph edgedefault="undirected">' + "".join(body) + "</graph></graphml>"
         return pd.DataFrame({key: [rows[key].iloc[0]], "xml": [xml]})
 
-    return _graph_rows(nodes, edges, key).groupBy(key).applyInPandas(run, f"{key} {nodes.schema[key].dataType.simpleString()}, xml string")
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return _graph_rows(nodes, edges, key).repartition(parts, key).groupBy(key).applyInPandas(run, f"{key} {nodes.schema[key].dataType.simpleString()}, xml string")
 
 
 #: Draws the nodes of a page on a circle, edges between them; a click lists a node's attributes.

@@ -376,3 +376,15 @@ def test_graph_pages_hold_closing_tags(spark):
     assert pages.first().html.count("</script>") == 2
     assert got(readers.parsed_pages(pages, "video_id", "html"), "kind", "id", "dst", "attr", "value") == [("edge", "a</script>", "b", "weight", "1.5"), ("node", "a</script>", None, "t", 'x"<&')]
     assert got(readers.parsed_graphs(sinks.graph_documents(n, e), "video_id", "xml"), "kind", "attr", "type", "value") == [("edge", "weight", "double", "1.5"), ("node", "t", "string", 'x"<&')]
+
+
+def test_graph_documents_are_dealt_to_tasks_and_read_whole(spark):
+    n = spark.range(4000).selectExpr("id % 16 AS video_id", "concat('n', id) AS id", "map('t', concat(' ', id, ' ')) AS attrs")
+    e = spark.range(4000).selectExpr("id % 16 AS video_id", "concat('n', id) AS src", "'hub' AS dst", "cast(id AS double) AS weight")
+    docs = sinks.graph_documents(n, e)
+    assert docs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    want = [(r.video_id, "node", r.id, None, "t", "string", r.attrs["t"]) for r in n.collect()] + [(r.video_id, "edge", r.src, "hub", "weight", "double", str(r.weight)) for r in e.collect()]
+    read = [tuple(r) for r in readers.parsed_graphs(docs, "video_id", "xml").collect()]
+    assert sorted(read, key=str) == sorted(want, key=str)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "<graphml><graph><node id='a'><data key='x'>1</data></node></graph>"), (4, "<graphml><graph><node id='a'><data key='x'>1</data></node></graph></graphml>")], "k long, xml string")
+    assert [tuple(r) for r in readers.parsed_graphs(odd, "k", "xml").collect()] == [(4, "node", "a", None, None, None, "1")]
