@@ -388,3 +388,28 @@ def test_graph_documents_are_dealt_to_tasks_and_read_whole(spark):
     assert sorted(read, key=str) == sorted(want, key=str)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "<graphml><graph><node id='a'><data key='x'>1</data></node></graph>"), (4, "<graphml><graph><node id='a'><data key='x'>1</data></node></graph></graphml>")], "k long, xml string")
     assert [tuple(r) for r in readers.parsed_graphs(odd, "k", "xml").collect()] == [(4, "node", "a", None, None, None, "1")]
+
+
+def test_terms_are_dealt_by_term_from_texts_that_are_dealt_out(spark, monkeypatch):
+    from collections import Counter
+
+    from reelgrid.operators import topics
+
+    monkeypatch.setattr(topics, "TERMS", 3)
+    rows = [("a", "One two the one two"), ("a", "two one"), ("b", "one"), ("b", None), ("b", ""), (None, "two x two")] * 3
+    counts = topics.term_counts(spark.createDataFrame(rows, "topic string, text string").coalesce(1), "topic", "text", ["the"])
+    want = Counter()
+    for t, text in rows:
+        w = [x for x in (text or "").lower().split() if len(x) > 1 and x != "the"]
+        want.update((t, x) for x in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    assert {(r.topic, r.term): r.tf for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "RoundRobinPartitioning" in plan and plan.count("hashpartitioning") == 1
+
+
+def test_annotated_texts_are_dealt_out(spark):
+    from reelgrid.operators.annotate import name_spans
+
+    texts = spark.createDataFrame([(i, f"the red fox {i}") for i in range(40)], "id long, text string").coalesce(1)
+    spans = name_spans(texts, "id", "text", spark.createDataFrame([("red fox",)], "name string"))
+    assert spans.count() == 40 and spans.select(F.spark_partition_id()).distinct().count() > 1
