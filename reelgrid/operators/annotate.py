@@ -108,7 +108,11 @@ def name_spans(texts: DataFrame, id: str, text: str, names: DataFrame, automaton
     """
     pieces = lambda i: F.regexp_extract_all(text, F.lit(WORD), F.lit(i))
     long = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
-    split = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), _words(F.col(text)).alias("words"), long(pieces(1)).alias("gaps"), long(pieces(2)).alias("sizes"))
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # Texts are dealt out first: a file may hold all of them in one row group, which is one task.
+    dealt = texts.where(F.col(text).isNotNull()).select(id, text).repartition(parts)
+    split = dealt.select(F.col(id).alias("id"), _words(F.col(text)).alias("words"), long(pieces(1)).alias("gaps"), long(pieces(2)).alias("sizes"))
     each = written(names.select("name").distinct(), "names")
     size = each.agg(F.sum(F.length("name") + 2)).first()[0]
     if size is not None and size <= automaton:
@@ -143,7 +147,9 @@ def fitting_ranks(starts: DataFrame, links: DataFrame, id: str, rounds: int = 10
             now = (1 - damping) * begin + damping * (moved + now[out == 0].sum() * begin)
         return nodes[["id", "qid"]].assign(page_rank=now)
 
-    return own.groupBy("id").cogroup(inside.groupBy("text")).applyInPandas(rank, schema).withColumnRenamed("id", id)
+    # A text costs far more than its bytes, by which small shuffles would be put into few tasks.
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.sparkSession.sparkContext.defaultParallelism)
+    return own.repartition(parts, "id").groupBy("id").cogroup(inside.repartition(parts, "text").groupBy("text")).applyInPandas(rank, schema).withColumnRenamed("id", id)
 
 
 def annotate(texts: DataFrame, id: str, text: str, gazetteer: DataFrame, links: DataFrame, max_entropy: float | None = 3.0, sq_share: float = 1.0, rounds: int = 10, damping: float = 0.85, automaton: int = AUTOMATON) -> DataFrame:
