@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.operators.proximity import connected, near_links
+from reelgrid.operators.proximity import near_components
 
 
 def _iou(a, b) -> float:
@@ -65,16 +65,14 @@ def track_faces(faces: DataFrame, by: list[str], least_iou: float = 0.5, max_gap
 def cluster_vectors(vectors: DataFrame, by: str, item: str, vec: str, eps: float = 0.5) -> DataFrame:
     """(by, item, cluster): density clusters of cosine distance ``eps`` and two points at least; -1 for points alone.
 
-    With two points a cluster is a connected component of the near pairs, which
-    are linked by pairs of blocks; no task holds a key's vectors or all pairs. Clusters are
+    With two points a cluster is a connected component of the near pairs
+    (``linked_within``); no task holds a key's vectors or all pairs. Clusters are
     numbered in each key by their first item. Items are unique in their key.
     """
-    pairs = near_links(vectors, by, item, vec, eps)
-    node = lambda c: F.struct(F.col(by).alias("k"), F.col(c).alias("i"))
-    names = connected(pairs.select(node(item).alias("a"), node("other").alias("b")), "a", "b")
-    first = names.groupBy("name").agg(F.min("node.i").alias("_first"), F.min("node.k").alias("_k"))
-    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_first")) - 1)
-    found = names.join(numbered, "name").select(F.col("node.k").alias(by), F.col("node.i").alias(item), "_n")
+    names = near_components(vectors, by, item, vec, eps)
+    first = names.groupBy(by, "name").agg(F.min(item).alias("_first"))
+    numbered = first.select(by, "name", (F.row_number().over(Window.partitionBy(by).orderBy("_first")) - 1).alias("_n"))
+    found = names.join(numbered, [by, "name"]).select(by, item, "_n")
     return vectors.select(by, item).join(found, [by, item], "left").select(by, item, F.coalesce("_n", F.lit(-1)).cast("int").alias("cluster"))
 
 

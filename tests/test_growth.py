@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.plans import catalog
@@ -93,3 +94,49 @@ def test_linking_meets_each_span_once(spark):
     joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "ch_from" in line]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert joins and plan[plan.index(joins[0]) + len(joins[0]) :].lstrip(" :+-\n").startswith("Aggregate")
+
+
+def test_vectors_that_hang_together_are_linked_once(spark, monkeypatch):
+    """Of 90 vectors that are all near each other, as many links as join them, not as many for each two blocks."""
+    from reelgrid.operators import proximity
+    from reelgrid.operators import vector_blocks as B
+
+    monkeypatch.setattr(B, "LEAST", 20)
+    monkeypatch.setattr(B, "PROBES", 12, raising=False)
+    g = np.random.default_rng(8)
+    df = spark.createDataFrame([("v", i, [float(c) for c in np.array([3.0, 0, 0, 0]) + g.normal(0, 0.05, 4)]) for i in range(90)], "v string, i long, e array<double>")
+    links = proximity.near_links(df, "v", "i", "e", 0.1).collect()
+    assert len(links) == 89 and {x for r in links for x in (r.i, r.other)} == set(range(90))
+
+
+@pytest.mark.parametrize("most", [16, 4096])
+def test_clusters_of_any_shape_by_hearts_and_rounds(spark, monkeypatch, most):
+    """Chains, knots, points alone, a key without links, a small one and a null one, against all pairs."""
+    from functools import partial
+
+    from reelgrid.operators import proximity, tracking
+    from reelgrid.operators import vector_blocks as B
+
+    monkeypatch.setattr(B, "LEAST", 20)
+    monkeypatch.setattr(B, "PROBES", 10)
+    monkeypatch.setattr(B, "GROWTH", 2)
+    monkeypatch.setattr(proximity, "linked_within", partial(B.linked_within, most=most))
+    g, rows = np.random.default_rng(3), []
+    turn = lambda a, b, x: [float(np.cos(x)) if j == a else float(np.sin(x)) if j == b else 0.0 for j in range(8)]
+    for key in ("v", "w"):
+        rows += [(key, turn(0, 1, 0.05 * j)) for j in range(30)] + [(key, turn(2, 3, 0.04 * j)) for j in range(25)]
+        rows += [(key, turn(4, 5, float(x))) for x in g.uniform(0, 1.5, 12)] + [(key, turn(6, 7, 0.3 * j)) for j in range(5)]
+    rows += [("few", turn(0, 1, 0.01 * j)) for j in range(3)] + [("apart", turn(j // 8, j // 8 + 1, 0.19 * (j % 8))) for j in range(48)]
+    rows += [("v", None), ("v", [0.0] * 8), (None, turn(0, 1, 0.0)), (None, turn(0, 1, 0.0))]
+    rows = [(k, int(i), e) for i, (k, e) in zip(g.permutation(len(rows)), rows, strict=True)]
+    eps, name = 0.004, {i: i for _, i, _ in rows}
+    at = {i: (k, np.array(e) / np.linalg.norm(e)) for k, i, e in rows if k and e and any(e)}
+    for _ in range(len(at)):
+        for i, (k, x) in at.items():
+            name[i] = min(name[j] for j, (m, y) in at.items() if m == k and (j == i or 1 - x @ y <= eps))
+    sizes, want = {n: sum(m == n for m in name.values()) for n in name.values()}, {}
+    for k, i, _ in rows:
+        firsts = sorted({name[j] for m, j, _ in rows if m == k and sizes[name[j]] > 1})
+        want[i] = firsts.index(name[i]) if sizes[name[i]] > 1 else -1
+    got = tracking.cluster_vectors(spark.createDataFrame(rows, "v string, i long, e array<double>"), "v", "i", "e", eps).collect()
+    assert len(got) == len(rows) and {r.i: r.cluster for r in got} == want
