@@ -139,50 +139,94 @@ def window_start(start: str, snap=None) -> Column:
     return (F.floor(F.col(start) / snap) * snap) if snap else F.col(start)
 
 
+def running_totals(asks: DataFrame, points: DataFrame, by: str, t: str, value: str, width: float) -> DataFrame:
+    """``asks`` with ``n`` and ``total``, number and sum of the points of its key up to ``t``, and ``n_at`` and ``total_at``, of those just then.
+
+    Points and asks share the columns ``by`` and ``t`` and stand in one order of
+    time, cut into blocks of ``width``, each of which starts with the total of the blocks
+    before it as a row of its own: one shuffle, and no task needs all rows of a key.
+    Both sides are read twice.
+    """
+    block = F.floor(F.col(t) / F.lit(float(width))).alias("_b")
+    own = [c for c in asks.columns if c not in (by, t)]
+    p = points.where(F.col(by).isNotNull() & F.col(t).isNotNull() & F.col(value).isNotNull()).select(by, t, block, F.lit(1).cast("long").alias("n"), F.col(value).cast("double").alias("total"))
+    a = asks.select(by, t, block, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(2).alias("_side"), *own)
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = p.unionByName(a.select(*p.columns)).groupBy(by, "_b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    past = totals.select(by, "_b", F.sum("n").over(before).alias("n"), F.sum("total").over(before).alias("total")).where("n > 0")
+    first = past.select(by, F.lit(None).cast(asks.schema[t].dataType).alias(t), "_b", "n", "total", F.lit(0).alias("_side"))
+    rows = a.unionByName(p.withColumn("_side", F.lit(1)), allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+    upto = Window.partitionBy(by, "_b").orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    then = Window.partitionBy(by, "_b", t).orderBy("_side").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(c).over(w).alias(c + end) for w, end in ((upto, ""), (then, "_at")) for c in ("n", "total")]
+    return rows.select(by, t, *own, "_side", *sums).where("_side = 2").drop("_side")
+
+
+def _kind(*columns: tuple[DataFrame, str]) -> str:
+    """Whole numbers are compared as such, all else as double."""
+    return "long" if all(df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for df, c in columns) else "double"
+
+
 def window_totals(windows: DataFrame, points: DataFrame, by: str, ids: list[str], start: str, end: str, t: str, value: str, width: float) -> DataFrame:
     """(by, ids, n, total): number and sum of the points in each closed window [start, end], which ``by`` and ``ids`` name.
 
-    Points and the ends of windows stand in one order of time. A window's total
-    is the running total at its end less the one just before its start, so a
-    point counts once however many windows it lies in and a window costs two
-    rows, however long it is. The order is cut into blocks of ``width``, each with
-    the total of the blocks before it, so no task needs all rows of a key.
-    Null values and times don't count; a window without a point has 0 and 0.
-    Windows of a null key have none. Values that aren't whole carry the rounding
-    of a key's running total.
+    A window's total is the running total at its end less the one just before
+    its start, so a point counts once however many windows it lies in and a
+    window costs two rows, however long it is. Null values and times don't
+    count; a window without a point has 0 and 0. Windows of a null key have none.
+    Values that aren't whole carry the rounding of a key's running total.
     """
-    block = F.floor(F.col("_t") / F.lit(float(width))).alias("_b")
-    at = points.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, F.col(t).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value).cast("double")).alias("_v"))
-    kinds = [d.schema[c].dataType.simpleString() for d, c in ((windows, start), (windows, end), (points, t))]
-    kind = "long" if all(k in ("tinyint", "smallint", "int", "bigint") for k in kinds) else "double"
-    id_type = ",".join(f"{c}:{windows.schema[c].dataType.simpleString()}" for c in ids)
-    sums = at.where("_t IS NOT NULL").select(by, F.col("_t").cast(kind).alias("_t"), F.lit(1).alias("_side"), "_n", "_v", F.lit(None).cast(f"struct<{id_type}>").alias("_w"))
-    ends = F.explode(F.array(F.struct(F.col(start).cast(kind).alias("t"), F.lit(0).alias("side")), F.struct(F.col(end).cast(kind).alias("t"), F.lit(2).alias("side")))).alias("_e")
-    asks = windows.select(by, F.struct(*ids).alias("_w"), ends).select(by, F.col("_e.t").alias("_t"), F.col("_e.side").alias("_side"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_v"), "_w")
-    rows = written(sums.unionByName(asks).select("*", block), "totals")
-    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(by, "_b").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
-    past = totals.select(F.col(by).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pn"), F.coalesce(F.sum("_v").over(before), F.lit(0.0)).alias("_pv"))
-    inside = Window.partitionBy(by, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_n", F.sum("_n").over(inside)).withColumn("_v", F.sum("_v").over(inside)).where("_side <> 1")
-    run = run.join(past, F.col(by).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c")))
-    sign = F.col("_side") - 1
-    return (
-        run.select(by, "_w.*", (sign * (F.col("_n") + F.col("_pn"))).alias("_n"), (sign * (F.col("_v") + F.col("_pv"))).alias("_v"))
-        .groupBy(by, *ids).agg(F.sum("_n").alias("n"), F.sum("_v").alias("total"))
-    )
+    kind = _kind((windows, start), (windows, end), (points, t))
+    p = written(points.select(by, F.col(t).cast(kind).alias("_t"), F.col(value).alias("_v")), "points")
+    ends = F.explode(F.array(F.struct(F.col(start).cast(kind).alias("t"), F.lit(True).alias("s")), F.struct(F.col(end).cast(kind).alias("t"), F.lit(False).alias("s")))).alias("_e")
+    asks = written(windows.select(by, *ids, start, end), "windows").select(by, F.struct(*ids).alias("_w"), ends).select(by, F.col("_e.t").alias("_t"), F.col("_e.s").alias("_s"), "_w")
+    run = running_totals(asks, p, by, "_t", "_v", width)
+    part = lambda c: F.when(F.col("_s"), F.coalesce(f"{c}_at", F.lit(0)) - F.col(c)).otherwise(F.col(c))
+    return run.select(by, "_w.*", part("n").alias("_n"), part("total").alias("_v")).groupBy(by, *ids).agg(F.sum("_n").alias("n"), F.sum("_v").alias("total"))
 
 
 def pooled_windows(turns: DataFrame, points: DataFrame, by: str, idx: str, start: str, end: str, t: str, value: str, lengths: list, snap, width: float, quantile: float = 0.8) -> DataFrame:
     """(by, idx, length, n_windows, mean, quantile): the means of ``value`` in the windows of ``tumbling``, pooled over each turn.
 
-    Means come from running totals (``window_totals``). Windows without a point
-    count as zero.
+    Means come from running totals (``running_totals``). Between two windows of
+    whole times there is one row, which ends one and starts the next; a turn's rows
+    meet once, and its windows are made of them in its row. Windows without a
+    point count as zero. Rows of one ``by`` and ``idx`` share their windows' points.
     """
-    windows = tumbling(turns.select(by, idx, start, end), start, end, lengths, snap)
-    means = window_totals(windows, points, by, [idx, "length", "win"], "w_start", "w_end", t, value, width)
-    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0))
-    return means.withColumn("m", mean).groupBy(by, idx, "length").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("m").alias("mean"), F.percentile("m", quantile).alias("quantile"))
+    kind = _kind((turns, start), (turns, end), (points, t))
+    p = written(points.select(by, F.col(t).cast(kind).alias("_t"), F.col(value).alias("_v")), "points")
+    long_turns = written(turns.where(F.col(end) > F.col(start)).select(by, F.col(idx).alias("_i"), window_start(start, snap).alias("_s"), F.col(end).alias("_e")), "turns")
+    s, e = F.col("_s"), F.col("_e")
+
+    def edges(number, length):
+        at = lambda t, j, starts, ends: F.struct(F.lit(number).alias("l"), j.alias("j"), t.cast(kind).alias("t"), F.lit(starts).alias("s"), F.lit(ends).alias("e"))
+        n = F.ceil((e - s) / length)
+        if kind == "long" and isinstance(length, int):
+            inner = F.when(n > 1, F.transform(F.sequence(F.lit(1).cast("long"), n - 1), lambda j: at(s + j * length, j, True, True)))
+            outer = F.array(at(s, F.lit(0).cast("long"), True, False), at(e, n, False, True))
+            return F.concat(outer, F.coalesce(inner, F.filter(outer, lambda _: F.lit(False))))
+        windows = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.flatten(F.transform(windows, lambda j: F.array(at(s + j * length, j, True, False), at(F.least(s + j * length + length, e), j + 1, False, True))))
+
+    asks = long_turns.select(by, "_i", F.explode(F.concat(*[edges(i, x) for i, x in enumerate(lengths)])).alias("_x")).select(by, "_i", F.col("_x.t").alias("_t"), F.struct("_x.l", "_x.j", "_x.s", "_x.e").alias("_x"))
+    run = running_totals(asks, p, by, "_t", "_v", width)
+    starts, ends = (lambda c: F.when(F.col("_x.s"), F.col(c) - F.col(f"{c}_at"))), (lambda c: F.when(F.col("_x.e"), F.col(c)))
+    edge = F.struct("_x.l", "_x.j", starts("n").alias("sn"), starts("total").alias("sv"), ends("n").alias("en"), ends("total").alias("ev"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("l"), F.lit(x).alias("length")) for i, x in enumerate(lengths)])).alias("_l")
+    rows = run.select(by, "_i", edge.alias("_x")).groupBy(by, "_i").agg(F.array_sort(F.collect_list("_x")).alias("_x")).select(by, "_i", each, "_x")
+    side = lambda c: F.filter("_x", lambda x: (x["l"] == F.col("_l.l")) & x[c].isNotNull()).alias(f"_{c}")
+    rows = rows.select(by, "_i", F.col("_l.length").alias("length"), side("sn"), side("en"))
+    rows = rows.select("*", F.element_at("_en", -1)["j"].alias("_n"))
+    total = lambda c, at, x: F.aggregate(F.filter(c, lambda y: y["j"] == at), F.lit(0.0), lambda done, y: done + y[x].cast("double"))
+    parted = lambda j, x: F.when(F.size("_en") == F.col("_n"), (F.get("_en", j)["e" + x] - F.get("_sn", j)["s" + x]).cast("double")).otherwise(total("_en", j + 1, "e" + x) - total("_sn", j, "s" + x))
+    means = F.transform(F.sequence(F.lit(0).cast("int"), F.col("_n").cast("int") - 1), lambda j: F.struct(parted(j, "n").alias("n"), parted(j, "v").alias("v")))
+    rows = rows.select(by, "_i", "length", means.alias("_m"))
+    rows = rows.select(by, "_i", "length", F.array_sort(F.transform("_m", lambda x: F.when(x["n"] > 0, x["v"] / x["n"]).otherwise(F.lit(0.0)))).alias("_m"))
+    place = (F.size("_m") - 1) * F.lit(float(quantile))
+    low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    between = F.when(low == high, F.get("_m", low)).otherwise((high - place) * F.get("_m", low) + (place - low) * F.get("_m", high))
+    mean = F.aggregate("_m", F.lit(0.0), lambda done, x: done + x) / F.size("_m")
+    return rows.select(by, F.col("_i").alias(idx), "length", F.size("_m").cast("long").alias("n_windows"), mean.alias("mean"), between.alias("quantile"))
 
 
 def fixed_chunks(df: DataFrame, start: str, end: str, length, rest: bool) -> DataFrame:
@@ -237,7 +281,8 @@ def interpolated(df: DataFrame, by: str, t: str, values: list[str]) -> DataFrame
 
     Each observation opens the gap up to the next one: one window over the
     observations, no join and no window over the rows that are made. Rows
-    without a first value are not observations.
+    without a first value are not observations. Rows that were ``dealt`` by
+    ``by`` stay where they are, so a task is bounded by its observations.
     """
     ahead = F.lead(F.struct(t, *values)).over(Window.partitionBy(by).orderBy(t))
     pairs = df.where(F.col(values[0]).isNotNull()).select(by, F.struct(t, *values).alias("_p"), ahead.alias("_n"))

@@ -52,3 +52,33 @@ def test_one_key_is_spread_over_its_blocks(spark):
     out = window_totals(windows, points, "k", ["i"], "s", "e", "t", "v", 50.0)
     assert "hashpartitioning(k#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "_b#" in plan
     assert {r.i: r.n for r in out.collect()} == {i: i * 100 + 1 for i in range(50)}
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_pooled_windows_meet_once(spark, whole):
+    """Whole and broken times, touching windows, a doubled turn, a turn in two parts, turns without length or key, against plain code; no join."""
+    from reelgrid.operators.sequences import pooled_windows
+
+    pick, step, kind = random.Random(5), 1 if whole else 0.1, "long" if whole else "double"
+    at = lambda lo, hi: pick.randrange(lo, hi) * step
+    points = [(pick.choice("aab"), at(-30, 160), float(pick.randrange(9))) for _ in range(300)] + [("a", None, 1.0), ("a", 3 * step, None), (None, 3 * step, 2.0)]
+    turns = [(pick.choice("aabc"), i, s, s + pick.choice([0, 1, 7, 40, 300]) * step) for i, s in enumerate(at(-50, 170) for _ in range(40))]
+    turns += [turns[3], turns[3], ("a", 90, 3 * step, 40 * step), ("a", 90, 50 * step, 61 * step), (None, 91, 0 * step, 10 * step), ("a", 92, None, 3 * step), ("b", 93, 9 * step, 2 * step)]
+    lengths, seen = [5, 18], {}
+    for k, i, s, e in turns:
+        for length in lengths if s is not None and e > s else []:
+            for j in range(math.ceil((e - s) / length)):
+                a, z = s + j * length, min(s + j * length + length, e)
+                seen.setdefault((k, i, length), {}).setdefault(j, []).extend(v for p, t, v in points if k is not None and p == k and None not in (t, v) and a <= t <= z)
+    want = {}
+    for key, windows in seen.items():
+        m = sorted(sum(v) / len(v) if v else 0.0 for v in windows.values())
+        place = 0.8 * (len(m) - 1)
+        low, high = math.floor(place), math.ceil(place)
+        want[key] = (len(m), sum(m) / len(m), m[low] + (place - low) * (m[high] - m[low]))
+    v, p = spark.createDataFrame(turns, f"k string, i int, s {kind}, e {kind}"), spark.createDataFrame(points, f"k string, t {kind}, v double")
+    out = pooled_windows(v, p, "k", "i", "s", "e", "t", "v", lengths, None, 20)
+    got = {(r.k, r.i, r.length): (r.n_windows, r.mean, r["quantile"]) for r in out.collect()}
+    assert set(got) == set(want) and out.count() == len(want)
+    assert all(got[k][0] == w[0] and math.isclose(got[k][1], w[1], abs_tol=1e-9) and math.isclose(got[k][2], w[2], abs_tol=1e-9) for k, w in want.items())
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
