@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.operators import sequences as S
+from reelgrid.operators.dealing import dealt
 from reelgrid.plans import adapters as A
 from reelgrid.plans.registry import query, table
 
@@ -209,7 +210,9 @@ def median_filter(spark, sf):
 )
 def interpolated_track(spark, sf):
     """Linear interpolation between observed frames, summed up over blocks of 64 frames; the shift keeps sums off the ties of rounding."""
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("track"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("f")).agg(F.max("o_totalprice").alias("x"))
+    orders = table(spark, sf, "orders")
+    seen = orders.select(F.col("o_custkey").alias("track"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("f"), F.col("o_totalprice").alias("x"))
+    o = dealt(seen, orders.count(), "track").groupBy("track", "f").agg(F.max("x").alias("x"))
     full = S.interpolated(o, "track", "f", ["x"])
     return full.groupBy("track", F.floor(F.col("f") / 64).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") + 0.00031234, 2).alias("total"), F.round(F.min("x") + 0.00031234, 2).alias("low"), F.round(F.max("x") + 0.00031234, 2).alias("high"))
 

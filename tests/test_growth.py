@@ -140,3 +140,13 @@ def test_clusters_of_any_shape_by_hearts_and_rounds(spark, monkeypatch, most):
         want[i] = firsts.index(name[i]) if sizes[name[i]] > 1 else -1
     got = tracking.cluster_vectors(spark.createDataFrame(rows, "v string, i long, e array<double>"), "v", "i", "e", eps).collect()
     assert len(got) == len(rows) and {r.i: r.cluster for r in got} == want
+
+
+def test_made_rows_do_not_swell_a_task(spark, monkeypatch):
+    """A task's observations are bounded by rows, not by the bytes that were shuffled before rows are made of them."""
+    from reelgrid.operators import dealing
+
+    monkeypatch.setattr(dealing, "ROWS", 50)
+    data = "/root/testdata/sf0.001"
+    out, n = catalog.QUERIES["interpolated_track"](spark, data), spark.read.parquet(f"{data}/orders.parquet").count()
+    assert out.rdd.getNumPartitions() == -(-n // 50)
