@@ -40,7 +40,7 @@ def face_count_check(faces: DataFrame, gaze: DataFrame, emotions: DataFrame, lea
     return counts.withColumn("ok", (F.col("faces") == F.col("gaze")) & (F.col("faces") == F.col("emotions")))
 
 
-def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, situations: DataFrame, width: float, threshold: float = 0.5) -> DataFrame:
+def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, situations: DataFrame, width: float, threshold: float = 0.5, n_rows: int | None = None) -> DataFrame:
     """Turns with the face that speaks longest in them, their role and situation.
 
     turns(video_id, idx, start, end, speaker), faces(video_id, time, face_id,
@@ -48,10 +48,12 @@ def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, sit
     situations(video_id, idx, situation). A turn is active if the extent of the
     face passes ``threshold`` of the turn; turns without length have no ratio;
     turns without a speaking face are inactive with ratio 0 and no face.
+    With ``n_rows``, the number of faces, faces and turns are dealt to as many
+    tasks as these need.
     """
     seen = faces.where("speaking").select("video_id", "time", "cluster_id", "face_id")
-    hits = point_join(seen, turns.select("video_id", "idx", "start", "end"), "video_id", "time", "start", "end", width)
-    best = longest_visible(hits, ["video_id", "idx", "start", "end"], "cluster_id", "time")
+    hits = point_join(seen, turns.select("video_id", "idx", "start", "end"), "video_id", "time", "start", "end", width, n_rows=n_rows)
+    best = longest_visible(hits, ["video_id", "idx", "start", "end"], "cluster_id", "time", n_rows, ["video_id", "idx"])
     extent = F.col("last_seen") - F.col("first_seen")
     face = F.struct(F.col("first_seen").alias("first_appearance"), F.col("last_seen").alias("last_appearance"), F.col("cluster_id"))
     found = best.select("video_id", "idx", F.when(F.col("end") > F.col("start"), extent / (F.col("end") - F.col("start"))).alias("active_ratio"), face.alias("face"))

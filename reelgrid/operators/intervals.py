@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.operators.dealing import dealt
+
 #: Named conditions of a point t in [s, e].
 INSIDE = {
     "closed": lambda t, s, e: (t >= s) & (t <= e),
@@ -62,11 +64,13 @@ def spread(intervals: DataFrame, s: str, e: str, width: float, levels: list[int]
     return intervals.withColumn("_own", own).withColumn("_b", F.explode(F.concat(*on)))
 
 
-def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str, e: str, width: float, ends: str = "closed", how: str = "inner") -> DataFrame:
+def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str, e: str, width: float, ends: str = "closed", how: str = "inner", n_rows: int | None = None) -> DataFrame:
     """Each point with the intervals of its key that it lies in. Apart from ``key`` the sides share no column.
 
     ``how`` is "inner", or "left" to keep intervals without a point, as
     "right" keeps points without an interval. Null times match nothing.
+    With ``n_rows``, the number of points or more, an inner join is dealt to as
+    many tasks as these rows need.
     """
     if how == "left":
         hits = point_join(points, intervals.select(key, s, e).distinct(), key, t, s, e, width, ends)
@@ -78,6 +82,11 @@ def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str
     wide = spread(intervals, s, e, width, levels).withColumnRenamed(key, "_k").withColumnsRenamed({"_b": "_c"}).drop("_own")
     asks = [F.struct(F.lit(m).alias("l"), _at(F.col(t), width, m).alias("b")) for m in levels]
     placed = points.withColumn("_b", asks[0] if len(levels) == 1 else F.explode(F.array(*asks)))
+    if n_rows is not None and how == "inner":
+        flat = lambda df, b: df.select("*", F.col(f"{b}.l").alias(f"{b}l"), F.col(f"{b}.b").alias(f"{b}b")).drop(b)
+        placed, wide = dealt(flat(placed, "_b"), n_rows, key, "_bl", "_bb"), dealt(flat(wide, "_c"), n_rows, "_k", "_cl", "_cb")
+        same = (placed[key] == wide["_k"]) & (F.col("_bl") == F.col("_cl")) & (F.col("_bb") == F.col("_cb"))
+        return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e))).drop("_bl", "_bb", "_cl", "_cb", "_k")
     same = (placed[key] == wide["_k"]) & (F.col("_b.l") == F.col("_c.l")) & (F.col("_b.b") == F.col("_c.b"))
     return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e)), "left" if how == "right" else "inner").drop("_b", "_c", "_k")
 

@@ -39,7 +39,7 @@ def speaker_turns_meta(spark, sf):
     )
     roles = turns.selectExpr("video_id", "idx", "'x' AS role_l0", "concat('role', idx % 3) AS role_l1")
     situations = turns.where("idx % 2 = 0").selectExpr("video_id", "idx", "'studio' AS situation")
-    m = fusion.speaker_turns_meta(turns, faces, roles, situations, 365)
+    m = fusion.speaker_turns_meta(turns, faces, roles, situations, 365, n_rows=li.count())
     face = [F.col(f"face.{c}").cast("long").alias(c) for c in ("first_appearance", "last_appearance", "cluster_id")]
     return m.select("video_id", "idx", "active_ratio", "active", *face, "role_l1", "situation")
 

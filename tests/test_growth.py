@@ -150,3 +150,22 @@ def test_made_rows_do_not_swell_a_task(spark, monkeypatch):
     data = "/root/testdata/sf0.001"
     out, n = catalog.QUERIES["interpolated_track"](spark, data), spark.read.parquet(f"{data}/orders.parquet").count()
     assert out.rdd.getNumPartitions() == -(-n // 50)
+
+
+def test_faces_in_turns_are_dealt_by_rows(spark, monkeypatch):
+    """Faces meet turns in as many tasks as their rows need, with the rows of the SQL."""
+    from reelgrid.operators import dealing
+
+    monkeypatch.setattr(dealing, "ROWS", 500)
+    data = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, n = catalog.QUERIES["speaker_turns_meta"](spark, data), spark.read.parquet(f"{data}/lineitem.parquet").count()
+        assert out.rdd.getNumPartitions() == -(-n // 500)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    want = con.sql(f"SELECT {', '.join(out.columns)} FROM ({catalog.ORACLES['speaker_turns_meta']})").fetchall()
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
