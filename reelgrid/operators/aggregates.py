@@ -79,14 +79,17 @@ def pooled_vector(df: DataFrame, by: list[str], vec: str, order: str) -> DataFra
     return x.groupBy(*by, "dim").agg(F.avg("_x").alias("mean"), F.max("_x").alias("max"), F.max_by("_x", order).alias("last"))
 
 
-def longest_visible(df: DataFrame, by: list[str], cluster: str, t: str, n_rows: int | None = None, on: list[str] = ()) -> DataFrame:
+def longest_visible(df: DataFrame, by: list[str], cluster: str, t: str, n_rows: int | None = None, on: list[str] = (), within: list[str] = ()) -> DataFrame:
     """Of each group the cluster seen over the longest time, the later one to appear on ties, with its extent.
 
     Rows without a cluster count only where a group has no other. With
-    ``n_rows``, groups are dealt by ``on``, some of ``by``, to as many tasks as these rows need.
+    ``n_rows``, groups are summed up ``within`` the columns that rows lie by, then dealt by ``on``,
+    some of ``by``, to as many tasks as these rows need.
     """
-    c = df.groupBy(*by, cluster).agg(F.min(t).alias("first_seen"), F.max(t).alias("last_seen"), F.count(F.lit(1)).alias("n"))
-    c = c if n_rows is None else dealt(c, n_rows, *(on or by))
+    c = df.groupBy(*by, cluster, *within).agg(F.min(t).alias("first_seen"), F.max(t).alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    if n_rows is not None:
+        parts = dealt(c.drop(*within), n_rows, *(on or by))
+        c = parts.groupBy(*by, cluster).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
     rank = F.struct(F.col(cluster).isNotNull(), (F.col("last_seen") - F.col("first_seen")), "first_seen", cluster)
     pick = lambda x: F.max_by(x, rank).alias(x)
     return c.groupBy(*by).agg(pick(cluster), pick("first_seen"), pick("last_seen"), pick("n"))

@@ -53,7 +53,7 @@ def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, sit
     """
     seen = faces.where("speaking").select("video_id", "time", "cluster_id", "face_id")
     hits = point_join(seen, turns.select("video_id", "idx", "start", "end"), "video_id", "time", "start", "end", width, n_rows=n_rows)
-    best = longest_visible(hits, ["video_id", "idx", "start", "end"], "cluster_id", "time", n_rows, ["video_id", "idx"])
+    best = longest_visible(hits, ["video_id", "idx", "start", "end"], "cluster_id", "time", n_rows, ["video_id", "idx"], [] if n_rows is None else ["_bl", "_bb"])
     extent = F.col("last_seen") - F.col("first_seen")
     face = F.struct(F.col("first_seen").alias("first_appearance"), F.col("last_seen").alias("last_appearance"), F.col("cluster_id"))
     found = best.select("video_id", "idx", F.when(F.col("end") > F.col("start"), extent / (F.col("end") - F.col("start"))).alias("active_ratio"), face.alias("face"))

@@ -70,7 +70,7 @@ def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str
     ``how`` is "inner", or "left" to keep intervals without a point, as
     "right" keeps points without an interval. Null times match nothing.
     With ``n_rows``, the number of points or more, an inner join is dealt to as
-    many tasks as these rows need.
+    many tasks as these rows need, and the buckets it met in stay as ``_bl`` and ``_bb``.
     """
     if how == "left":
         hits = point_join(points, intervals.select(key, s, e).distinct(), key, t, s, e, width, ends)
@@ -84,9 +84,10 @@ def point_join(points: DataFrame, intervals: DataFrame, key: str, t: str, s: str
     placed = points.withColumn("_b", asks[0] if len(levels) == 1 else F.explode(F.array(*asks)))
     if n_rows is not None and how == "inner":
         flat = lambda df, b: df.select("*", F.col(f"{b}.l").alias(f"{b}l"), F.col(f"{b}.b").alias(f"{b}b")).drop(b)
-        placed, wide = dealt(flat(placed, "_b"), n_rows, key, "_bl", "_bb"), dealt(flat(wide, "_c"), n_rows, "_k", "_cl", "_cb")
+        level = len(levels) > 1  # one level is a constant, which Spark leaves out of the join's keys
+        placed, wide = dealt(flat(placed, "_b"), n_rows, key, *["_bl"] * level, "_bb"), dealt(flat(wide, "_c"), n_rows, "_k", *["_cl"] * level, "_cb")
         same = (placed[key] == wide["_k"]) & (F.col("_bl") == F.col("_cl")) & (F.col("_bb") == F.col("_cb"))
-        return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e))).drop("_bl", "_bb", "_cl", "_cb", "_k")
+        return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e))).drop("_cl", "_cb", "_k")
     same = (placed[key] == wide["_k"]) & (F.col("_b.l") == F.col("_c.l")) & (F.col("_b.b") == F.col("_c.b"))
     return placed.join(wide, same & INSIDE[ends](F.col(t), F.col(s), F.col(e)), "left" if how == "right" else "inner").drop("_b", "_c", "_k")
 
