@@ -62,21 +62,38 @@ def speaker_turns_meta(turns: DataFrame, faces: DataFrame, roles: DataFrame, sit
     return out.withColumn("active_ratio", ratio).withColumn("active", F.coalesce(F.col("active_ratio") > threshold, F.lit(False)))
 
 
-def _points_inside(points: DataFrame, extents: DataFrame, cols: list[str], name: str, width: float) -> DataFrame:
-    """(video_id, idx, name): the points in each closed extent as an array of (t, cols)."""
-    hits = point_join(points.select("video_id", "t", *cols), extents.select("video_id", "idx", "h_start", "h_end"), "video_id", "t", "h_start", "h_end", width)
-    return hits.groupBy("video_id", "idx").agg(F.collect_list(F.struct("t", *cols)).alias(name))
+def _points_met(labels: DataFrame, density: DataFrame, extents: DataFrame, width: float) -> DataFrame:
+    """(video_id, idx, _labels, _ys): labelled values and densities in each closed extent as arrays, met in one join."""
+    none = F.lit(None).cast("double")
+    both = labels.select("video_id", "t", "l", "value", none.alias("y")).unionByName(density.select("video_id", "t", F.lit(0).alias("l"), none.alias("value"), F.col("y").cast("double").alias("y")))
+    hits = point_join(both, extents.select("video_id", "idx", "h_start", "h_end"), "video_id", "t", "h_start", "h_end", width)
+    kept = lambda own, *cols: F.collect_list(F.when(own, F.struct("t", *cols)))
+    return hits.groupBy("video_id", "idx").agg(kept(F.col("l") > 0, "l", "value").alias("_labels"), kept(F.col("l") == 0, "y").alias("_ys"))
 
 
-def _overlapping(segments: DataFrame, extents: DataFrame, width: float) -> DataFrame:
-    """Segments, without ``idx`` of their own, with each extent that they overlap."""
-    return overlap_join(segments, extents, "video_id", "s", "e", "h_start", "h_end", width)
+def _segments_met(shots: DataFrame, sentiment: DataFrame, firsts: list[DataFrame], sent: list[str], extents: DataFrame, width: float, least: float = 0.7) -> DataFrame:
+    """(video_id, idx, _shots, _sent, _first0, ...): shots and sentiment that overlap each extent as arrays, met in one join.
 
+    Each of ``firsts``, segments with ``idx`` and ``vector``, gives the key (_seq, s, e) of the first segment of
+    which more than ``least`` lies in the turn and whose vector isn't all zero; ``_vectors_of`` has its vector.
+    """
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    rows = lambda df, kind: df.withColumn("_kind", F.lit(kind))
+    every = rows(shots.select("video_id", "s", "e"), 0).unionByName(rows(sentiment.select("video_id", "s", "e", *[F.col(c).cast("double").alias(c) for c in sent]), 1), True)
+    for i, df in enumerate(firsts):
+        every = every.unionByName(rows(df.where(total != 0).select("video_id", "s", "e", F.col("idx").alias("_seq")), i + 2), True)
+    hits = overlap_join(every, extents, "video_id", "s", "e", "h_start", "h_end", width)
+    kind = lambda k: F.col("_kind") == k
+    inside = overlap_share(F.col("s"), F.col("e"), F.col("start"), F.col("end")) > least
+    return hits.groupBy("video_id", "idx").agg(
+        F.collect_list(F.when(kind(0), F.struct("s", "e"))).alias("_shots"), F.collect_list(F.when(kind(1), F.struct("s", "e", *sent))).alias("_sent"),
+        *[F.min(F.when(kind(i + 2) & inside, F.struct("_seq", "s", "e"))).alias(f"_first{i}") for i in range(len(firsts))],
+    )
 
-def _segments_over(segments: DataFrame, extents: DataFrame, cols: list[str], name: str, width: float) -> DataFrame:
-    """(video_id, idx, name): the segments that overlap each extent as an array of (s, e, cols)."""
-    hits = _overlapping(segments.select("video_id", "s", "e", *cols), extents, width)
-    return hits.groupBy("video_id", "idx").agg(F.collect_list(F.struct("s", "e", *cols)).alias(name))
+
+def _vectors_of(segments: DataFrame, first: str, out: str) -> DataFrame:
+    """(video_id, first, out): the vector at each key of ``_segments_met``; vectors join after the first is known."""
+    return segments.select("video_id", F.struct(F.col("idx").alias("_seq"), "s", "e").alias(first), F.col("vector").alias(out)).dropDuplicates(["video_id", first])
 
 
 def _mean(values: Column) -> Column:
@@ -84,20 +101,6 @@ def _mean(values: Column) -> Column:
     return bound(F.filter(values, lambda v: v.isNotNull()), lambda known: F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known)))
 
 
-def first_overlapping(extents: DataFrame, segments: DataFrame, width: float, least: float = 0.7) -> DataFrame:
-    """(video_id, idx, vector): the first segment of which more than ``least`` lies in the turn and whose vector isn't all zero.
-
-    segments(video_id, s, e, idx, vector). Vectors join after the first is known.
-    """
-    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    some = segments.where(total != 0).withColumnRenamed("idx", "_seq")
-    pairs = _overlapping(some.select("video_id", "s", "e", "_seq"), extents, width)
-    share = overlap_share(F.col("s"), F.col("e"), F.col("start"), F.col("end"))
-    firsts = pairs.where(share > least).groupBy("video_id", "idx").agg(F.min(F.struct("_seq", "s", "e")).alias("_f")).select("video_id", "idx", "_f.*")
-    at = ["video_id", "_seq", "s", "e"]
-    return firsts.join(some.select(*at, "vector").dropDuplicates(at), at).select("video_id", "idx", "vector")
-
-
 def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots: DataFrame, sentiment: DataFrame, pos: DataFrame, ner: DataFrame, context: DataFrame, label_order: list[str], window_lengths: list, width: float, snap=None, least_length=1.0) -> DataFrame:
     """(video_id, idx, seg_feature, sw_feature): features of a whole turn, and of windows in it.
 
@@ -114,12 +117,9 @@ def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots
     extents = written(long.select("video_id", "idx", "start", "end", F.least("start", begin).alias("h_start"), F.col("end").alias("h_end")), "extents")
     sent = ["positive", "negative", "neutral"]
     known = labels.select("video_id", "t", F.array_position(F.array(*map(F.lit, label_order)), F.col("label")).cast("int").alias("l"), F.col("value").cast("double").alias("value")).where("l > 0")
-    met = extents.select("video_id", "idx", "start", "end")
-    for part in (
-        _points_inside(known, extents, ["l", "value"], "_labels", width), _points_inside(density.withColumn("y", F.col("y").cast("double")), extents, ["y"], "_ys", width),
-        _segments_over(shots, extents, [], "_shots", width), _segments_over(sentiment.select("video_id", "s", "e", *[F.col(c).cast("double").alias(c) for c in sent]), extents, sent, "_sent", width),
-    ):
-        met = met.join(part, ["video_id", "idx"], "left")
+    on = ["video_id", "idx"]
+    firsts = ["_first0", "_first1"]
+    met = extents.select(*on, "start", "end").join(_points_met(known, density, extents, width), on, "left").join(_segments_met(shots, sentiment, [pos, ner], sent, extents, width), on, "left")
     # Windows are made in the rows of their turns, which hold all that a window can meet, so no window is shuffled.
     window = lambda length, a, z: F.struct(F.lit(float(length)).alias("length"), a.cast("double").alias("w_start"), z.cast("double").alias("w_end"))
 
@@ -128,33 +128,34 @@ def turn_features(turns: DataFrame, labels: DataFrame, density: DataFrame, shots
         return F.transform(numbers, lambda i: window(x, begin + i * x, F.least(begin + i * x + x, F.col("end"))))
 
     windows = [F.array(window(0, F.col("start"), F.col("end"))), *map(cut, window_lengths)]
-    each = met.withColumn("_win", F.explode(F.concat(*windows))).select("video_id", "idx", "_win.*", "_labels", "_ys", "_shots", "_sent")
+    each = met.withColumn("_win", F.explode(F.concat(*windows))).select("video_id", "idx", "_win.*", "_labels", "_ys", "_shots", "_sent", *firsts)
     of_label = lambda i: F.filter("_labels", lambda p: p["l"] == i)["value"]
     inside = lambda p: (p["t"] >= F.col("w_start")) & (p["t"] <= F.col("w_end"))
     over = lambda g: ~((g["e"] <= F.col("w_start")) | (g["s"] >= F.col("w_end")))
     share = lambda g: overlap_share(g["s"], g["e"], F.col("w_start"), F.col("w_end"))
     each = each.select(
-        "video_id", "idx", "length", F.filter("_labels", inside).alias("_labels"), F.filter("_ys", inside)["y"].alias("_ys"),
+        "video_id", "idx", *firsts, "length", F.filter("_labels", inside).alias("_labels"), F.filter("_ys", inside)["y"].alias("_ys"),
         F.size(F.filter(F.coalesce("_shots", F.array()), over)).alias("n_shots"), F.filter("_sent", lambda g: over(g) & (share(g) >= 0.8)).alias("_sent"),
     )
     each = each.select(
-        "video_id", "idx", "length", "n_shots", _mean(F.col("_ys")).alias("_density"), *[_mean(F.col("_sent")[c]).alias(c) for c in sent],
+        "video_id", "idx", *firsts, "length", "n_shots", _mean(F.col("_ys")).alias("_density"), *[_mean(F.col("_sent")[c]).alias(c) for c in sent],
         *[_mean(of_label(i + 1)).alias(x) for i, x in enumerate(label_order)],
     )
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     labelled = [F.coalesce(F.avg(F.col(f"`{x}`")), F.lit(0.0)) for x in label_order]
     pooled = each.groupBy("video_id", "idx", "length").agg(
-        F.array(*labelled, F.avg(zero("_density"))).alias("_a"), F.array(*[F.percentile(zero(c), 0.8) for c in sent]).alias("_q"), F.array(*[F.avg(zero(c)) for c in sent]).alias("_s"), F.avg(zero("n_shots")).alias("_n")
+        F.array(*labelled, F.avg(zero("_density"))).alias("_a"), F.array(*[F.percentile(zero(c), 0.8) for c in sent]).alias("_q"), F.array(*[F.avg(zero(c)) for c in sent]).alias("_s"), F.avg(zero("n_shots")).alias("_n"),
+        *[F.min(c).alias(c) for c in firsts],
     )
     n = len(label_order)
     by_length = pooled.groupBy("video_id", "idx").agg(
         F.max_by(F.struct("_a", "_s", "_n"), F.when(F.col("length") == 0, 1)).alias("_w"),
         F.flatten(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("length", "_a", "_q", "_n"))), lambda x: x["length"] > 0), lambda x: F.concat(x["_a"], x["_q"], F.array(x["_n"])))).alias("_windows"),
+        *[F.min(c).alias(c) for c in firsts],
     )
-    on = ["video_id", "idx"]
-    tags = first_overlapping(extents, pos, width).select(*on, l1_normalise(F.col("vector")).alias("_pos"))
-    flags = first_overlapping(extents, ner, width).select(*on, F.transform("vector", lambda x: (x > 0).cast("double")).alias("_ner"))
-    out = turns.join(by_length, on, "left").join(tags, on, "left").join(flags, on, "left").join(context.select(*on, F.col("context").cast("array<double>").alias("_ctx")), on, "left")
+    tags = _vectors_of(pos, "_first0", "_pos").withColumn("_pos", l1_normalise(F.col("_pos")))
+    flags = _vectors_of(ner, "_first1", "_ner").withColumn("_ner", F.transform("_ner", lambda x: (x > 0).cast("double")))
+    out = turns.join(by_length, on, "left").join(tags, ["video_id", "_first0"], "left").join(flags, ["video_id", "_first1"], "left").join(context.select(*on, F.col("context").cast("array<double>").alias("_ctx")), on, "left")
     sizes = {"_pos": 14, "_ner": 6, "_ctx": 6}
     rest = F.concat(*[F.coalesce(c, F.array_repeat(F.lit(0.0), k)) for c, k in sizes.items()])
     length = F.array(F.col("end").cast("double") - F.col("start"))

@@ -169,3 +169,16 @@ def test_faces_in_turns_are_dealt_by_rows(spark, monkeypatch):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     want = con.sql(f"SELECT {', '.join(out.columns)} FROM ({catalog.ORACLES['speaker_turns_meta']})").fetchall()
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_turn_features_meet_points_and_segments_once(spark):
+    """Each join and job costs the driver memory for its plan and code, whatever the tables' size."""
+    from reelgrid.plans.products import _turn_features
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("turn_features", "")
+    try:
+        plan = _turn_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert plan.count("Join ") <= 8 and len(tracker.getJobIdsForGroup("turn_features")) <= 20
