@@ -7,20 +7,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that an ensemble is fitted on, about; picked by a hash of their key.
-SAMPLE_ROWS = 200_000
 
-
-def fit_ensemble(labelled: DataFrame, features: str, label: str, kind: str = "forest", trees: int = 20, depth: int = 6, seed: int = 1, sample_rows: int = SAMPLE_ROWS):
-    """A fitted classifier of ``label`` (0, 1, ...) from an array column.
+def fit_ensemble(labelled: DataFrame, features: str, label: str, kind: str = "forest", trees: int = 20, depth: int = 6, seed: int = 1):
+    """A fitted classifier of ``label`` (0, 1, ...) from an array column, fitted on every labelled row.
 
     ``kind`` is "forest", "boosted" (one boosted ensemble a class) or "tree".
     Rows with a null label or feature array are left out.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(features).isNotNull())
-    chance = min(1.0, sample_rows / max(1, rows.count()))
-    if chance < 1:
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64(*rows.columns), 2) < F.lit(int(chance * 2**62)))
     rows = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
     if kind == "forest":
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)

@@ -182,3 +182,14 @@ def test_turn_features_meet_points_and_segments_once(spark):
     finally:
         spark.sparkContext._jsc.clearJobGroup()
     assert plan.count("Join ") <= 8 and len(tracker.getJobIdsForGroup("turn_features")) <= 20
+
+
+def test_ensembles_are_fitted_on_every_labelled_row(spark):
+    """A tree without a split counts in its root all rows that it was fitted on."""
+    from pyspark.ml.linalg import Vectors
+
+    from reelgrid.operators import classify
+
+    df = spark.range(230_000).select(F.array(F.lit(1.0)).alias("f"), (F.col("id") % 2).cast("int").alias("label"))
+    model = classify.fit_ensemble(df, "f", "label", "tree", depth=1)
+    assert sum(model.predictRaw(Vectors.dense(1.0))) == 230_000
