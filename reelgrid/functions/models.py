@@ -15,9 +15,13 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 _SCORES = "array<struct<label:string,prob:double>>"
 
@@ -95,13 +99,46 @@ def _stand_in(name: str):
     return lambda series: series.map(one)
 
 
-def apply_model(df: DataFrame, name: str, value: Column, out: str) -> DataFrame:
-    """``df`` with the slot's result; Arrow batches, no Python call a row in the JVM."""
-    f = _REGISTERED.get(name) or _stand_in(name)
-    kind = SLOTS[name][0]
+#: Bytes of text and number of values that a slot's function gets at once, beyond one value. Results may be many times as large.
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 500
+
 
-    @F.pandas_udf(kind)
-    def run(series: pd.Series) -> pd.Series:
-        return f(series)
+def _pieces(values: pa.Array):
+    """(start, length) of pieces of ``values``, one value at least."""
+    text = pa.types.is_string(values.type) or pa.types.is_binary(values.type)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if text else np.zeros(len(values), np.int64)
+    at = 0
+    while at < len(values):
+        fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_BYTES, side="right"))
+        end = min(at + PIECE_ROWS, max(at + 1, fits))
+        yield at, min(end, len(values)) - at
+        at = end
 
-    return df.withColumn(out, run(value))
+
+def apply_model(df: DataFrame, name: str, value: Column, out: str) -> DataFrame:
+    """``df`` with the slot's result; Arrow batches, no Python call a row in the JVM."""
+    return apply_models(df, {out: name}, value, [c for c in df.columns if c != out])
+
+
+def apply_models(df: DataFrame, slots: dict[str, str], value: Column, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df``, and a column of results for each slot in ``slots`` (column: name), all over one value.
+
+    All slots see a piece of the values together, and its results leave Python
+    before those of the next are made. Workers are handed ``PIECE_ROWS`` rows at
+    once; that setting stays in the session, as results are made after the caller has returned.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PIECE_ROWS))
+    rows = df.select(*keep, value.alias("_value"))
+    fs = {out: _REGISTERED.get(name) or _stand_in(name) for out, name in slots.items()}
+    types = {out: DataType.fromDDL(SLOTS[name][0]) for out, name in slots.items()}
+    kinds = {out: to_arrow_type(kind) for out, kind in types.items()}
+
+    def run(batches):
+        for batch in batches:
+            for at, n in _pieces(batch.column(len(keep))):
+                own = batch.slice(at, n)
+                piece = own.column(len(keep)).to_pandas()
+                results = [pa.Array.from_pandas(f(piece), type=kinds[out]) for out, f in fs.items()]
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *results], names=[*keep, *fs])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *[StructField(out, kind) for out, kind in types.items()]]))

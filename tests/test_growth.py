@@ -193,3 +193,13 @@ def test_ensembles_are_fitted_on_every_labelled_row(spark):
     df = spark.range(230_000).select(F.array(F.lit(1.0)).alias("f"), (F.col("id") % 2).cast("int").alias("label"))
     model = classify.fit_ensemble(df, "f", "label", "tree", depth=1)
     assert sum(model.predictRaw(Vectors.dense(1.0))) == 230_000
+
+
+def test_slots_see_pieces_of_bounded_text(spark):
+    """A slot's function gets 500 values and half a megabyte of text at most, as its results may be many times as large."""
+    from reelgrid.functions.models import apply_model, registered
+
+    df = spark.range(1300, numPartitions=1).select("id", F.when(F.col("id") % 5 != 0, F.repeat(F.lit("x "), 2000)).alias("t"))
+    with registered("caption", lambda s: s.map(lambda _: f"{len(s)} {sum(len(v) for v in s if v is not None)}")):
+        got = [r.c.split() for r in apply_model(df, "caption", F.col("t"), "c").select("c").collect()]
+    assert len(got) == 1300 and all(int(n) <= 500 and int(size) <= 1 << 19 for n, size in got)
